@@ -19,6 +19,8 @@ _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Every ASCII character but letters and digits, for words without punctuation.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -57,10 +59,15 @@ class Words:
     offsets: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    prefixes: np.ndarray | None = None
 
 
-def words(column: pa.Array) -> Iterator[Words]:
-    """The words of every row of a string column, in chunks of rows; null counts as empty."""
+def words(column: pa.Array, space: np.ndarray = _SPACE, prefix: int = 0) -> Iterator[Words]:
+    """The words of every row of a string column, in chunks of rows; null counts as empty.
+
+    ``space`` says for each byte whether it separates words. With ``prefix`` the hashes of the words' first bytes, so
+    many of them, are in ``prefixes``.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -72,13 +79,13 @@ def words(column: pa.Array) -> Iterator[Words]:
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
-        yield _chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a)
+        yield _chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a, space, prefix)
         a = b
 
 
-def _chunk(text: np.ndarray, bounds: np.ndarray, first: int) -> Words:
+def _chunk(text: np.ndarray, bounds: np.ndarray, first: int, separates: np.ndarray, prefix: int) -> Words:
     n = len(text)
-    space = _SPACE[text]
+    space = separates[text]
     before, after = np.ones(n, bool), np.ones(n, bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     full = bounds[:-1] < bounds[1:]
@@ -91,7 +98,8 @@ def _chunk(text: np.ndarray, bounds: np.ndarray, first: int) -> Words:
     hashes = mix((total[ends] - total[starts]) * down[starts])
     offsets = np.searchsorted(starts, bounds)
     base = np.repeat(bounds[:-1], np.diff(offsets))
-    return Words(first, hashes, offsets, starts - base, ends - base)
+    heads = mix((total[np.minimum(starts + prefix, ends)] - total[starts]) * down[starts], 9) if prefix else None
+    return Words(first, hashes, offsets, starts - base, ends - base, heads)
 
 
 def shingle_stream(hashes: np.ndarray, n: int) -> np.ndarray:
