@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .text import mix, shingle_stream, words
+from .text import mix, sequence_hash, words
 
 CAPACITY, GROUP = 1024, 4096
 _PIECES = "doc_id long, source string, cluster long, piece int, start_word long, n_words int, salt long"
@@ -38,7 +38,7 @@ def _piece_rows(capacity: int):  # noqa: ANN202
                 out: list[tuple] = []
                 for i in range(len(w.offsets) - 1):
                     r, h = w.first + i, w.hashes[w.offsets[i] : w.offsets[i + 1]]
-                    same = int(shingle_stream(h, len(h)).view(np.int64)[0]) if len(h) else 0
+                    same = sequence_hash(h) >> 1 if len(h) else 0
                     cluster = given[r] if given[r] is not None else same
                     name = (ids[r] if ids[r] is not None else -1, same)
                     seen[name] += 1

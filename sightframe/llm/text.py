@@ -76,10 +76,16 @@ def words(column: pa.Array, space: np.ndarray = _SPACE, prefix: int = 0) -> Iter
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    for a, b in row_chunks(offsets):
+        yield _chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a, space, prefix)
+
+
+def row_chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about CHUNK_BYTES of text each."""
     a = 0
-    while a < len(column):
+    while a < len(offsets) - 1:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
-        yield _chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a, space, prefix)
+        yield a, b
         a = b
 
 
@@ -114,6 +120,13 @@ def shingle_stream(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out, n)
 
 
+def sequence_hash(hashes: np.ndarray) -> int:
+    """One hash for a whole sequence of words."""
+    n = len(hashes)
+    up, _ = _power_tables(n + 1)
+    return int(mix(np.array([(hashes * up[:n]).sum(dtype=np.uint64)], np.uint64), n)[0])
+
+
 def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of each row, end to end, and their offsets.
 
