@@ -21,7 +21,7 @@ class KeyRuns:
         self.window, self.kept, self.seen = window, None, 0
         self.rows: tuple[np.ndarray, ...] = ()
 
-    def feed(self, key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, int]:
+    def feed(self, key: np.ndarray, *columns: np.ndarray, windows: bool = True) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, int]:
         old = self.kept
         n = len(old[0]) if old is not None else 0
         rows = tuple(np.concatenate([old[i], x]) if n else x for i, x in enumerate((key, *columns)))
@@ -36,7 +36,7 @@ class KeyRuns:
             first_run = head == 0
             index[first_run & (place >= n)] += self.seen - n
         previous = []
-        for w in range(1, self.window + 1):
+        for w in range(1, self.window * windows + 1):
             p = np.where((place - head >= w), place - w, -1)
             previous.append(p[n:])
         h = head[-1]

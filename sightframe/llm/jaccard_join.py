@@ -8,14 +8,16 @@ therefore cut into bands whose ends are a factor 1 / t apart; each band has k +
 in it, and by the pigeonhole principle a similar pair agrees in at least s + 1 words. A document takes part in its
 own band and in the next one, which covers every pair of sizes that can be similar.
 
-Words of at most one shingle say little and would bring unrelated documents together. A document with at most s such
-light blocks leaves them out: one of the s + 1 agreeing blocks is heavy then, and being equal it is heavy in both.
-A document with more of them keeps all its blocks. No similar pair is lost either way.
+Words of few shingles say little and would bring unrelated documents together. A document with at most s blocks of
+fewer than two shingles leaves these out: one of the s + 1 agreeing blocks has more then, and being equal it has more
+in both. Otherwise a document with at most s empty blocks leaves those out, and only one with more keeps all. Whatever
+the two documents of a similar pair do, a block in which they agree is kept by both.
 
 Equal words are found by sorting on them. In a run of documents with the same word each one is paired with the first
-and with the few before it. Runs that are longer than that are looked at again after the pairs have been verified:
-whatever is not yet in one component is paired again, until nothing is open. So a group of n near copies costs n
-pairs, not n squared, and the result is exact up to collisions of 64-bit hashes.
+and, in short runs, with all others. Longer runs are looked at again after the pairs have been verified: where they
+reach into different components, rows of these are compared by sketch, and the pairs that remain are verified in turn,
+until nothing is open. So a group of n near copies costs n pairs, not n squared, and the result is exact up to
+collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,16 +33,18 @@ from .groups import KeyRuns, connected_components
 from .store import materialize
 from .text import mix, shingle_sets, words
 
-#: Rows before it in a run that a document is paired with, besides the first; and in later rounds.
-WINDOW, LATER_WINDOW = 3, 64
-#: Bits of the parity sketch that verification compares before the sets.
-SKETCH_BITS = 1024
+#: A run of one row more is short; rows before it in a run that a document is compared with in the next round.
+WINDOW, LATER_WINDOW = 3, 4096
+#: Bits of the smallest parity sketch that is compared before the sets.
+LEAST_BITS = 64
+#: Pairs that are looked through for repeated ones at once.
+PAIR_ROWS = 1 << 19
 #: Rows of one output batch.
 OUT_ROWS = 1 << 16
 
-_ROWS = "key long, doc long, size long"
+_ROWS = "key long, doc long, copy boolean"
 _FOUND = "kind int, a long, b long"
-SIZE, COPY, PAIR, OPEN = 0, 1, 2, 3
+COPY, PAIR, OPEN = 0, 1, 2
 
 
 def bands(threshold: tuple[int, int], largest: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,9 +77,11 @@ def _signatures(sets: np.ndarray, bounds: np.ndarray, threshold: tuple[int, int]
         np.bitwise_xor.at(word, where, value)
         count = np.bincount(where, minlength=first[-1])
         owner = np.repeat(np.arange(len(sizes)), many)
-        light = count <= 1
-        drop = np.bincount(owner[light], minlength=len(sizes)) <= spare[band]
-        keep = ~(light & drop[owner])
+        keep = np.ones(len(owner), bool)
+        for most in (0, 1):
+            light = count <= most
+            drop = np.bincount(owner[light], minlength=len(sizes)) <= spare[band]
+            keep &= ~(light & drop[owner])
         block = np.arange(first[-1]) - first[owner]
         label = (band[owner].astype(np.uint64) << np.uint64(40)) | block.astype(np.uint64)
         keys.append((mix(label, 3) ^ mix(word, 4))[keep])
@@ -89,8 +95,8 @@ def _batch(*columns: np.ndarray | pa.Array, names: list[str]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + OUT_ROWS]) for x in columns], names=names)
 
 
-def _sketch_rows(n_words: int, threshold: tuple[int, int]):  # noqa: ANN202
-    names = ["key", "doc", "size"]
+def _block_rows(n_words: int, threshold: tuple[int, int]):  # noqa: ANN202
+    names = ["key", "doc", "copy"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int, int], int] = {}
@@ -100,7 +106,6 @@ def _sketch_rows(n_words: int, threshold: tuple[int, int]):  # noqa: ANN202
                 sets, bounds = shingle_sets(w, n_words)
                 ids = docs[w.first : w.first + len(bounds) - 1]
                 sizes = np.diff(bounds)
-                yield from _batch(mix(ids.view(np.uint64), 5).view(np.int64), ids, sizes, names=names)
                 full = np.flatnonzero(sizes)
                 if not len(full):
                     continue
@@ -114,63 +119,100 @@ def _sketch_rows(n_words: int, threshold: tuple[int, int]):  # noqa: ANN202
                         copies.append((first, int(ids[i])))
                 if copies:
                     c = np.array(copies, np.int64)
-                    yield from _batch(c[:, 0], c[:, 1], np.full(len(c), -2), names=names)
+                    yield from _batch(c[:, 0], c[:, 1], np.ones(len(c), bool), names=names)
                 keep = np.zeros(len(sizes), bool)
                 keep[fresh] = True
                 part = sets[np.repeat(keep, sizes)]
                 keys, owner = _signatures(part, np.concatenate([[0], np.cumsum(sizes[keep])]), threshold)
-                yield from _batch(keys.view(np.int64), ids[keep][owner], np.full(len(keys), -1), names=names)
+                yield from _batch(keys.view(np.int64), ids[keep][owner], np.zeros(len(keys), bool), names=names)
 
     return run
 
 
-def _pair_rows(window: int, sizes: bool):  # noqa: ANN202
-    """Pairs from rows sorted by key, and the rows of runs in which some pairs are still open."""
+class OpenRuns:
+    """Rows of the runs that are longer than ``limit``; the first ones wait until their run gets there."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.waiting = limit, np.zeros((0, 2), np.int64)
+
+    def feed(self, key: np.ndarray, doc: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each row is in a run that is too long by now, and (key, doc) of those rows and of the ones that waited."""
+        end = np.ones(len(key), bool)
+        end[:-1] = key[1:] != key[:-1]
+        stops = np.flatnonzero(end)
+        long = index[stops[np.searchsorted(stops, np.arange(len(index)))]] >= self.limit
+        rows = np.stack([key, doc], 1)
+        same = len(self.waiting) > 0 and self.waiting[0, 0] == key[0]
+        freed = self.waiting if same and long[0] else self.waiting[:0]
+        tail = rows[key == key[-1]] if not long[-1] else rows[:0]
+        whole_run = same and key[0] == key[-1] and not long[-1]
+        self.waiting = np.concatenate([self.waiting, tail]) if whole_run else tail
+        return long, np.concatenate([freed, rows[long]])
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Copies; all pairs of short runs; pairs with the first row of long runs, and the rows of these."""
+    names = ["kind", "a", "b"]
+    runs, opened, held = KeyRuns(WINDOW), OpenRuns(WINDOW + 1), []
+    for batch in batches:
+        key, doc = (batch.column(i).to_numpy() for i in (0, 1))
+        copy = batch.column(2).to_numpy(zero_copy_only=False)
+        yield from _out(COPY, key[copy], doc[copy], names)
+        key, doc = key[~copy], doc[~copy]
+        if not len(key):
+            continue
+        head, previous, index, _ = runs.feed(key, doc)
+        all_doc = runs.rows[1]
+        long, rows = opened.feed(key, doc, index)
+        yield from _out(OPEN, rows[:, 0], rows[:, 1], names)
+        pairs = [np.stack([all_doc[head], doc], 1)]
+        pairs += [np.stack([all_doc[p[good]], doc[good]], 1) for p in previous for good in [(p >= 0) & ~long]]
+        pair = np.concatenate(pairs)
+        held.append(np.sort(pair[pair[:, 0] != pair[:, 1]], 1))
+        if sum(map(len, held)) >= PAIR_ROWS:
+            yield from _out(PAIR, *_distinct(held), names)
+            held = []
+    if held:
+        yield from _out(PAIR, *_distinct(held), names)
+
+
+def _later_rows(window: int, threshold: tuple[int, int]):  # noqa: ANN202
+    """Pairs of different components within ``window`` rows of a run, where sizes and sketches leave them possible."""
     names = ["kind", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, waiting, last = KeyRuns(window), np.zeros((0, 2), np.int64), None
+        runs, opened, held = KeyRuns(window), OpenRuns(window + 1), []
+        sketches: dict[int, tuple[int, bytes]] = {}
         for batch in batches:
-            key, doc = (batch.column(i).to_numpy() for i in (0, 1))
-            if sizes:
-                size = batch.column(2).to_numpy()
-                known, copy = size >= 0, size == -2
-                yield from _out(SIZE, doc[known], size[known], names)
-                yield from _out(COPY, key[copy], doc[copy], names)
-                key, doc = key[size == -1], doc[size == -1]
-            if not len(key):
-                continue
-            head, previous, index, n = runs.feed(key, doc)
-            all_key, all_doc = runs.rows
-            pairs = [np.stack([all_doc[head], doc], 1)]
-            pairs += [np.stack([all_doc[p[p >= 0]], doc[p >= 0]], 1) for p in previous]
-            pair = np.concatenate(pairs)
-            pair = np.unique(np.sort(pair[pair[:, 0] != pair[:, 1]], 1), axis=0)
-            yield from _out(PAIR, pair[:, 0], pair[:, 1], names)
-            # A run is open from its (window + 3)rd row on: the rows so far wait until it gets there.
-            end = np.ones(len(key), bool)
-            end[:-1] = key[1:] != key[:-1]
-            long = _to_end(index, end) >= window + 2
-            if len(waiting):
-                if waiting[0, 0] == key[0] and long[0]:
-                    yield from _out(OPEN, waiting[:, 0], waiting[:, 1], names)
-                if waiting[0, 0] != key[0] or long[0]:
-                    waiting = waiting[:0]
-            yield from _out(OPEN, key[long], doc[long], names)
-            tail = key == key[-1]
-            if not long[-1]:
-                more = np.stack([key[tail], doc[tail]], 1)
-                waiting = np.concatenate([waiting, more]) if len(waiting) and waiting[0, 0] == key[-1] else more
-            else:
-                waiting = waiting[:0]
+            key, doc, root, size = (batch.column(i).to_numpy() for i in range(4))
+            sketches = {d: sketches[d] for d in (runs.kept[1].tolist() if runs.kept is not None else ())} | dict(zip(doc.tolist(), zip(size.tolist(), batch.column(4).to_pylist())))
+            _, _, index, n = runs.feed(key, doc, root, windows=False)
+            all_key, all_doc, all_root = runs.rows
+            _, rows = opened.feed(key, doc, index)
+            yield from _out(OPEN, rows[:, 0], rows[:, 1], names)
+            found: set[tuple[int, int]] = set()
+            for w in range(1, min(window, int(index.max())) + 1):
+                at = np.arange(max(n, w), len(all_key))
+                at = at[(all_key[at] == all_key[at - w]) & (all_root[at] != all_root[at - w])]
+                found.update(zip(all_doc[at - w].tolist(), all_doc[at].tolist()))
+            good = [p for p in found if p[0] != p[1] and _possible(*sketches[p[0]], *sketches[p[1]], threshold)]
+            if good:
+                held.append(np.sort(np.array(good, np.int64), 1))
+            if sum(map(len, held)) >= PAIR_ROWS:
+                yield from _out(PAIR, *_distinct(held), names)
+                held = []
+        if held:
+            yield from _out(PAIR, *_distinct(held), names)
 
     return run
 
 
-def _to_end(index: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For every row the place in its run of the run's last row so far."""
-    stops = np.flatnonzero(end)
-    return index[stops[np.searchsorted(stops, np.arange(len(index)))]]
+def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(pairs)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1)
+    return rows[new].T
 
 
 def _out(kind: int, a: np.ndarray, b: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -178,15 +220,64 @@ def _out(kind: int, a: np.ndarray, b: np.ndarray, names: list[str]) -> Iterator[
         yield from _batch(np.full(len(a), kind, np.int32), a, b, names=names)
 
 
-def _set_rows(n_words: int):  # noqa: ANN202
+def _outline_rows(n_words: int):  # noqa: ANN202
+    """Size and parity sketch of each row: one bit per shingle and more, a power of two, so that sketches can be folded."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0)
             for w in words(batch.column(1)):
                 sets, bounds = shingle_sets(w, n_words)
-                sketch = [np.packbits((np.bincount((sets[a:b] % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes() for a, b in zip(bounds, bounds[1:])]
+                sizes = np.diff(bounds)
+                bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+                first = np.concatenate([[0], np.cumsum(bits)])
+                at = np.repeat(first[:-1], sizes) + (sets & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+                raw = np.packbits((np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8)).tobytes()
+                sketch = [raw[a // 8 : b // 8] for a, b in zip(first, first[1:])]
+                yield pa.RecordBatch.from_arrays([docs.slice(w.first, len(sizes)), pa.array(sizes), pa.array(sketch, pa.binary())], names=["doc", "size", "sketch"])
+
+    return run
+
+
+def _near(threshold: tuple[int, int]):  # noqa: ANN202
+    """Pairs whose sizes and sketches leave it possible that they are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(len(batch), bool)
+            size_a, size_b, sketch_a, sketch_b = (batch.column(i).to_pylist() for i in range(2, 6))
+            for i, (m, n, x, y) in enumerate(zip(size_a, size_b, sketch_a, sketch_b)):
+                good[i] = _possible(m, x, n, y, threshold)
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def _possible(m: int, x: bytes, n: int, y: bytes, threshold: tuple[int, int]) -> bool:
+    num, den = threshold
+    most = (m + n) * (den - num) // (den + num)
+    if abs(m - n) > most:
+        return False
+    bits = 8 * min(len(x), len(y))
+    p, q = _folded(int.from_bytes(x, "big"), 8 * len(x), bits), _folded(int.from_bytes(y, "big"), 8 * len(y), bits)
+    return (p ^ q).bit_count() <= most
+
+
+def _folded(sketch: int, bits: int, to: int) -> int:
+    while bits > to:
+        bits //= 2
+        sketch = (sketch >> bits) ^ (sketch & ((1 << bits) - 1))
+    return sketch
+
+
+def _set_rows(n_words: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words(batch.column(1)):
+                sets, bounds = shingle_sets(w, n_words)
                 raw = [sets[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([docs.slice(w.first, len(raw)), pa.array(sketch, pa.binary()), pa.array(raw, pa.binary())], names=["doc", "sketch", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(raw)), pa.array(raw, pa.binary())], names=["doc", "members"])
 
     return run
 
@@ -197,14 +288,10 @@ def _verify(threshold: tuple[int, int]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(len(batch), bool)
-            ka, kb, sa, sb = (batch.column(i) for i in range(2, 6))
+            sa, sb = batch.column(2), batch.column(3)
             for i in range(len(batch)):
                 x, y = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in (sa, sb))
-                most = (len(x) + len(y)) * (den - num) // (den + num)
-                if abs(len(x) - len(y)) > most or not len(x) or not len(y):
-                    continue
-                p, q = (int.from_bytes(k[i].as_py(), "big") for k in (ka, kb))
-                if (p ^ q).bit_count() > most:
+                if not len(x) or not len(y):
                     continue
                 at = np.searchsorted(y, x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
@@ -214,15 +301,20 @@ def _verify(threshold: tuple[int, int]):  # noqa: ANN202
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n_words: int, threshold: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose documents are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _with(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b) with columns of ``rows`` for both of them: x_a, x_b, y_a, y_b and so on."""
+    for end in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("doc").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+    return pairs.select("a", "b", *(f"{c}_{end}" for c in columns for end in ("a", "b")))
+
+
+def _verified(docs: DataFrame, outlines: DataFrame, pairs: DataFrame, n_words: int, threshold: tuple[int, int]) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose documents are similar: by their sketches, and then by their sets."""
+    near = materialize(_with(pairs, outlines, "size", "sketch").mapInArrow(_near(threshold), "a long, b long").distinct())
+    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     kept = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = materialize(kept.mapInArrow(_set_rows(n_words), "doc long, sketch binary, members binary"))
-    left = sets.select(F.col("doc").alias("a"), F.col("sketch").alias("ka"), F.col("members").alias("sa"))
-    right = sets.select(F.col("doc").alias("b"), F.col("sketch").alias("kb"), F.col("members").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "kb", "sa", "sb")
-    return materialize(joined.mapInArrow(_verify(threshold), "a long, b long").distinct())
+    sets = materialize(kept.mapInArrow(_set_rows(n_words), "doc long, members binary"))
+    return materialize(_with(near, sets, "members").mapInArrow(_verify(threshold), "a long, b long").distinct())
 
 
 def jaccard_join(docs: DataFrame, n_words: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,38 +330,33 @@ def jaccard_join(docs: DataFrame, n_words: int = 5, threshold: tuple[int, int] =
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id is not null")
-    rows = known.mapInArrow(_sketch_rows(n_words, threshold), _ROWS)
+    outlines = materialize(docs.mapInArrow(_outline_rows(n_words), "doc long, size long, sketch binary"))
+    rows = known.mapInArrow(_block_rows(n_words, threshold), _ROWS)
     by_key = rows.repartition("key").sortWithinPartitions("key", "doc")
-    found = materialize(by_key.mapInArrow(_pair_rows(WINDOW, True), _FOUND))
+    found = materialize(by_key.mapInArrow(_pair_rows, _FOUND))
     of = lambda kind: found.where(F.col("kind") == kind).select("a", "b")
     links = of(COPY)
     pairs, open_rows = of(PAIR).distinct(), of(OPEN).select(F.col("a").alias("key"), F.col("b").alias("doc"))
     window, roots = LATER_WINDOW, None
     while True:
-        fresh = _verified(known, materialize(pairs), n_words, threshold)
+        fresh = _verified(known, outlines, materialize(pairs), n_words, threshold)
         if roots is None or not fresh.isEmpty():
             links = links.union(fresh)
             roots = materialize(connected_components(links))
             links = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
         mine = open_rows.join(roots, open_rows.doc == roots.node, "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
         apart = mine.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        again = materialize(mine.join(apart, "key", "left_semi").select("key", "doc"))
+        again = materialize(mine.join(apart, "key", "left_semi").select("key", "doc", "root"))
         if again.isEmpty():
             break
-        pairs, open_rows = _next_pairs(again, roots, window)
-        window *= 2
-    sizes = of(SIZE)
-    result = sizes.join(roots, sizes.a == roots.node, "left").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.coalesce("root", "a").alias("component_id"))
-    nameless = docs.where("doc_id is null").mapInArrow(_sketch_rows(n_words, threshold), _ROWS).where("size >= 0")
-    return result.union(nameless.select(F.lit(None).cast("long"), "size", F.lit(None).cast("long")))
+        pairs, open_rows = _next_pairs(again, outlines, window, threshold)
+        window *= 16
+    return outlines.join(roots, outlines.doc == roots.node, "left").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
 
 
-def _next_pairs(rows: DataFrame, roots: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+def _next_pairs(rows: DataFrame, outlines: DataFrame, window: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Pairs of the open runs that lie in different components, and the rows that stay open after them."""
-    by_key = rows.repartition("key").sortWithinPartitions("key", "doc")
-    found = materialize(by_key.mapInArrow(_pair_rows(window, False), _FOUND))
+    by_key = rows.join(outlines, "doc").select("key", "doc", "root", "size", "sketch").repartition("key").sortWithinPartitions("key", "doc")
+    found = materialize(by_key.mapInArrow(_later_rows(window, threshold), _FOUND))
     pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    pairs = pairs.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
     return pairs, found.where(F.col("kind") == OPEN).select(F.col("a").alias("key"), F.col("b").alias("doc"))
