@@ -95,14 +95,9 @@ def _meet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, ids, codes, side = int(rows[0][0]), rows[1], rows[2].view(np.uint64), rows[3]
-        mixed = side.min() != side.max()
-        n = len(ids)
-        if n < 2:
-            return
-        left = np.flatnonzero(side == 0) if mixed else np.arange(n)
-        right = np.flatnonzero(side == 1) if mixed else np.arange(n)
-        if not mixed and side[0] == 1:
-            return
+        mixed = last is not None and last[1] >> 31 != last[1] & ((1 << 31) - 1)
+        left = np.flatnonzero(side == 0) if mixed else np.arange(len(ids))
+        right = np.flatnonzero(side == 1) if mixed else np.arange(len(ids))
         for at in range(0, len(left), 256):
             i = left[at : at + 256]
             diff = np.bitwise_count(codes[i][:, None] ^ codes[right][None, :])
@@ -122,11 +117,11 @@ def _meet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
         for lo, hi in zip([0, *cut], [*cut, len(key)]):
             rows = np.stack([key[lo:hi], ids[lo:hi], codes[lo:hi], side[lo:hi]])
-            if held and last != (key[lo], part[lo]):
+            if held and last != (int(key[lo]), int(part[lo])):
                 yield from pairs(np.concatenate(held, 1))
                 held = []
             held.append(rows)
-            last = (key[lo], part[lo])
+            last = (int(key[lo]), int(part[lo]))
     if held:
         yield from pairs(np.concatenate(held, 1))
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
 
+#: Bits of the map of wanted documents; where more are wanted than it can tell apart it lets more through.
+MAP_BITS = 1 << 22
+
 
 class KeyRuns:
     """Runs of equal keys in a sorted stream of batches, with memory for a few rows of the last run only.
@@ -66,3 +72,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.union(least.select("u", "m")).where("u <> v").distinct())
+
+
+def mapped(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose place in a bit map of fixed size is set, so that few texts are shuffled for the join."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    words = wanted.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    table = np.zeros(MAP_BITS // 64, np.int64)
+    for r in words.collect():
+        table[r["word"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(2).to_numpy()
+            keep = shared.value[p // 64] >> (p % 64) & 1
+            yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
+
+    return docs.select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, text string")
