@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .text import PUNCTUATION, Words, words
+from .text import PUNCTUATION, Words, row_chunks, words
 
 LABELLERS = ("symbols", "shouting", "repetition", "tables", "insults", "word_length", "annotation")
 #: English insults that the labeller of that name looks for.
@@ -26,7 +26,7 @@ INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum",
 #: How often an annotator who says something is right about good and about bad documents; taken as known.
 ANNOTATOR = (0.98, 0.95)
 #: Documents that the scorer is fitted on at most; annotated ones, where there are any.
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Size of the hashed feature space, bytes of a word's beginning, score from which a document goes.
 BUCKETS, BEGINNING, REJECT = 1 << 18, 5, 0.5
 #: Buckets that get a weight at most, least log odds and least standard errors of those, and the penalty on weights.
@@ -44,13 +44,14 @@ def _class_counts(column: pa.Array) -> np.ndarray:
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     kinds = [_UPPER, _LOWER, _SYMBOLS, np.arange(256) == ord("|"), np.arange(256) > 0x20]
     out = np.zeros((len(kinds), len(column)), np.int64)
-    for k, kind in enumerate(kinds):
-        total = np.concatenate([[0], np.cumsum(kind[raw], dtype=np.int64)])
-        at = offsets - offsets[0]
-        out[k] = total[at[1:]] - total[at[:-1]]
+    for a, b in row_chunks(offsets):
+        part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        for k, kind in enumerate(kinds):
+            total = np.concatenate([[0], np.cumsum(kind[part], dtype=np.int64)])
+            out[k, a:b] = total[at[1:]] - total[at[:-1]]
     return out
 
 
