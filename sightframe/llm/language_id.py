@@ -35,7 +35,7 @@ def ngrams(texts: list[str]) -> Iterator[np.ndarray]:
     first = a
     b, c = np.append(a[1:], 0x20), np.append(a[2:], [0x20, 0x20])
     one, two = letter, letter | np.append(letter[1:], False)
-    three = np.append(letter[1:], False) & (letter | np.append(letter[2:], [False, False]))
+    three = np.append(letter[1:], False)
     codes = (first, first | b << 21, first | b << 21 | c << 42)
     for i, j in zip(wall, wall[1:]):
         # From the wall before the text on: the blank before the first word counts, the one after the last begins none.
