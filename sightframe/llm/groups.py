@@ -74,19 +74,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now = materialize(small.union(least.select("u", "m")).where("u <> v").distinct())
 
 
-def mapped(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose place in a bit map of fixed size is set, so that few texts are shuffled for the join."""
+def mapped(rows: DataFrame, wanted: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose doc_id may be in ``wanted`` (doc_id), or with ``inside`` false those whose doc_id is not.
+
+    Looks into a bit map of fixed size: rows outside it need no join at all, so few texts are shuffled for one. Where
+    more are wanted than the map can tell apart, more rows are inside. A null doc_id is outside.
+    """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
     words = wanted.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     table = np.zeros(MAP_BITS // 64, np.int64)
     for r in words.collect():
         table[r["word"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column(2).to_numpy()
-            keep = shared.value[p // 64] >> (p % 64) & 1
-            yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
+            p = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            found = p >= 0
+            found &= (shared.value[p // 64] >> (p % 64) & 1).astype(bool)
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(found == inside))
 
-    return docs.select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, text string")
+    place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place).cast("long")
+    return rows.withColumn("_place", place).mapInArrow(run, rows.schema)
