@@ -45,6 +45,11 @@ def mime_of(fmt: Column) -> Column:
     return F.concat(F.lit("image/"), fmt)
 
 
+def mime_of_name(name: Column) -> Column:
+    """MIME type of any format's name, as the legacy profile tells it; without a name it is a stream of bytes."""
+    return F.coalesce(mime_of(F.lower(name)), F.lit("application/octet-stream"))
+
+
 def color_type_of(fmt: Column) -> Column:
     """A label by format, not by pixels."""
     return F.when(fmt.isin("png", "webp", "gif"), "rgba-capable").when(fmt == "jpeg", "rgb").when(fmt.isin("tiff", "bmp"), "palette-or-rgb").otherwise("unknown")

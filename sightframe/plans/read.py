@@ -42,6 +42,17 @@ def parse_options(requests: DataFrame, input_col: str = "input") -> DataFrame:
     )
 
 
+def strict_error(text: Column) -> Column:
+    """The error of the legacy profile's strict reading of options: wrong types are told and not replaced."""
+    raw = lambda name: F.regexp_extract(text, rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*"|[^\s,}}\]\[{{]+|[\[{{])', 1)
+    flags = [F.when((raw(n) != "") & ~raw(n).isin("true", "false"), error(INVALID_PARAMS, f"{n} must be a boolean")) for n in ("include_metadata", "include_ocr", "include_region_image")]
+    limit = raw("max_region_dimension")
+    return first_error(
+        F.when(text.isNull() | ~raw("path").startswith('"') | (raw("path") == '""'), error(INVALID_PARAMS, "path must be a non-empty string")), *flags,
+        F.when((limit != "") & ~limit.rlike("^[1-9][0-9]*$"), error(INVALID_PARAMS, "max_region_dimension must be a positive integer")),
+    )
+
+
 def read_image(images: DataFrame, profile: str = "shipped") -> DataFrame:
     """``images`` (path, content, options, error) with probe, twin and error; exactly one of twin and error is set.
 

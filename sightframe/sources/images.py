@@ -6,6 +6,7 @@ import os
 import stat
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,15 @@ def read_requested(requests: DataFrame) -> DataFrame:
     return rows.withColumn("error", found).drop("_message")
 
 
+def resolve_paths(requests: DataFrame) -> DataFrame:
+    """``requests`` with ``path`` made absolute and free of links, as the legacy profile does; parts that don't exist stay."""
+
+    def real(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: None if p is None else os.path.realpath(p))
+
+    return requests.withColumn("path", F.pandas_udf(real, "string")(F.col("path")))
+
+
 def read_folder(spark: SparkSession, path: str, pattern: str | None = None, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """path, length, content and error of the files below a folder, by Spark's own reader.
 

@@ -177,3 +177,15 @@ def test_legacy_budget_and_diagnostics(spark):
     assert read.read_image(df).first()["error"] is None
     assert "67108864 pixel" in read.read_image(df, "legacy").first()["error"]["message"]
     assert diagnostics.overall(diagnostics.doctor(spark)).first()[0] in ("ready", "degraded")
+
+
+def test_legacy_options_paths_and_mime(spark, tmp_path):
+    (tmp_path / "real").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "real")
+    df = spark.createDataFrame([(f"{tmp_path}/link/../link/x.png",), (None,)], "path string")
+    assert [r[0] for r in images.resolve_paths(df).collect()] == [f"{tmp_path}/real/x.png", None]
+    names = spark.createDataFrame([("avif",), ("PNG",), (None,)], "n string")
+    assert [r[0] for r in names.select(sniff.mime_of_name(F.col("n"))).collect()] == ["image/avif", "image/png", "application/octet-stream"]
+    texts = [(0, '{"path": "a", "max_region_dimension": 5, "include_metadata": true}'), (1, '{"path": ""}'), (2, '{"path": "a", "include_ocr": 1}'), (3, '{"path": "a", "max_region_dimension": 0}'), (4, None)]
+    rows = spark.createDataFrame(texts, "id int, t string").select("id", read.strict_error(F.col("t")).alias("e")).orderBy("id").collect()
+    assert [r["e"] is None for r in rows] == [True, False, False, False, False] and "boolean" in rows[2]["e"]["message"]
