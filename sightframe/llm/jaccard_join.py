@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import KeyRuns, connected_components
+from .groups import KeyRuns, connected_components, mapped
 from .store import materialize
 from .text import mix, shingle_sets, words
 
 #: A run of one row more is short; rows before it in a run that a document is compared with in the next round.
 WINDOW, LATER_WINDOW = 3, 4096
 #: Bits of the smallest parity sketch that is compared before the sets.
-LEAST_BITS = 64
+LEAST_BITS = 1024
 #: Pairs that are looked through for repeated ones at once.
 PAIR_ROWS = 1 << 19
 #: Rows of one output batch.
@@ -221,7 +221,7 @@ def _out(kind: int, a: np.ndarray, b: np.ndarray, names: list[str]) -> Iterator[
 
 
 def _outline_rows(n_words: int):  # noqa: ANN202
-    """Size and parity sketch of each row: one bit per shingle and more, a power of two, so that sketches can be folded."""
+    """Size and parity sketch of each row: two bits per shingle and more, a power of two, so that sketches can be folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +229,7 @@ def _outline_rows(n_words: int):  # noqa: ANN202
             for w in words(batch.column(1)):
                 sets, bounds = shingle_sets(w, n_words)
                 sizes = np.diff(bounds)
-                bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+                bits = np.maximum(LEAST_BITS, 2 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
                 first = np.concatenate([[0], np.cumsum(bits)])
                 at = np.repeat(first[:-1], sizes) + (sets & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
                 raw = np.packbits((np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8)).tobytes()
@@ -312,7 +312,7 @@ def _verified(docs: DataFrame, outlines: DataFrame, pairs: DataFrame, n_words: i
     """Those of ``pairs`` (a, b) whose documents are similar: by their sketches, and then by their sets."""
     near = materialize(_with(pairs, outlines, "size", "sketch").mapInArrow(_near(threshold), "a long, b long").distinct())
     wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    kept = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    kept = mapped(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", "text")
     sets = materialize(kept.mapInArrow(_set_rows(n_words), "doc long, members binary"))
     return materialize(_with(near, sets, "members").mapInArrow(_verify(threshold), "a long, b long").distinct())
 
