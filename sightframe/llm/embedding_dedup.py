@@ -115,7 +115,12 @@ def _meet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(key):
             continue
         cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-        for lo, hi in zip([0, *cut], [*cut, len(key)]):
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
+            if hi - lo == 1 and 0 < lo and hi < len(key):  # alone in its bucket
+                if held:
+                    yield from pairs(np.concatenate(held, 1))
+                    held = []
+                continue
             rows = np.stack([key[lo:hi], ids[lo:hi], codes[lo:hi], side[lo:hi]])
             if held and last != (int(key[lo]), int(part[lo])):
                 yield from pairs(np.concatenate(held, 1))
