@@ -31,8 +31,6 @@ N_WORDS, N_HASHES, MIN_HASHES = 5, 6, 3
 SHORT = 4
 #: Places in a chunk that fit beside a hash when minima are taken.
 _PLACE_BITS = 28
-#: Shingles without a partner, and shifts between the two texts, that a passage may have in a row.
-GAP = 10
 OUT_ROWS = 1 << 16
 _WINDOWS = "key long, doc long, place long"
 _PAIRS = "a long, b long, place_a long, place_b long"
@@ -155,52 +153,95 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(raw)), pa.array(raw, pa.binary())], names=["doc", "tokens"])
 
 
-def _covered(places: np.ndarray, n: int) -> np.ndarray:
-    """The tokens of a text over which at least MIN_HASHES of its windows lie."""
-    at, left, right = places >> 32, (places >> 16) & 0xFFFF, places & 0xFFFF
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, np.clip(at - left, 0, n), 1)
-    np.add.at(step, np.clip(at + right + 1, 0, n), -1)
-    return np.cumsum(step[:n]) >= MIN_HASHES
+def _segments(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+    """Stretches of equal tokens, as rows (y0, x0, tokens): all on the diagonals given, and those that tokens lead to."""
+    order = np.argsort(x, kind="stable")
+    ranked = x[order]
+    low, high = np.searchsorted(ranked, y), np.searchsorted(ranked, y, "right")
+    once = np.flatnonzero(high - low == 1)
+    hit = np.flatnonzero(high > low)
+    more = np.unique(np.concatenate([diagonals, order[low[once]] - once]))
+    # A token with several places in x also counts where it goes on from the diagonal of its neighbours, so these are all.
+    if not len(hit):
+        return np.zeros((0, 3), np.int64)
+    rows = []
+    for d in more.tolist():
+        at = hit[max(0, np.searchsorted(hit, -d)) : np.searchsorted(hit, len(x) - d)]
+        at = at[x[at + d] == y[at]]
+        if not len(at):
+            continue
+        cut = np.flatnonzero(np.diff(at) > 1)
+        first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
+        rows.append(np.stack([first, first + d, last - first + 1], 1))
+    return np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
+
+
+def _chains(seg: np.ndarray) -> Iterator[np.ndarray]:
+    """Segments in order in both texts, the chains with most tokens first; no segment is in two."""
+    seg = seg[np.lexsort((seg[:, 1], seg[:, 0]))]
+    y0, x0, n = seg.T
+    best, back = n.astype(float), np.full(len(seg), -1)
+    for j in range(1, len(seg)):
+        y_gap, x_gap = y0[j] - y0[:j] - n[:j], x0[j] - x0[:j] - n[:j]
+        over = np.maximum(0, -np.minimum(y_gap, x_gap))
+        score = best[:j] + n[j] - over - 0.05 * (np.maximum(y_gap, 0) + np.maximum(x_gap, 0))
+        score[(over >= n[j]) | (over >= n[:j])] = -1
+        i = int(score.argmax())
+        if score[i] > best[j]:
+            best[j], back[j] = score[i], i
+    used = np.zeros(len(seg), bool)
+    for j in np.argsort(-best, kind="stable").tolist():
+        chain = []
+        while j >= 0 and not used[j]:
+            used[j] = True
+            chain.append(j)
+            j = int(back[j])
+        if chain:
+            yield seg[chain[::-1]]
 
 
 def passages(x: np.ndarray, y: np.ndarray, places_x: np.ndarray, places_y: np.ndarray, t: int, least: float) -> list[tuple[int, int, int, int, float]]:
-    """Verified passages of y that are near duplicates of passages of x, as tokens [y0, y1], [x0, x1] and similarity."""
+    """Verified passages of y that are near duplicates of passages of x, as tokens [y0, y1], [x0, x1] and similarity.
+
+    Stretches of equal tokens are chained, and the longest parts of a chain that are similar enough are the passages,
+    however long the gaps and shifts inside them. What no passage holds but is equal for t tokens is one by itself.
+    """
     if len(x) < t or len(y) < t:
         return []
-    order = np.argsort(x, kind="stable")
-    ranked = x[order]
-    found = np.minimum(np.searchsorted(ranked, y), len(x) - 1)
-    hit = np.flatnonzero((ranked[found] == y) & _covered(places_y, len(y)))
-    if not len(hit):
+    seg = _segments(x, y, np.unique((places_x >> 32) - (places_y >> 32)))
+    if seg[:, 2].sum() < least * t:
         return []
-    # Of several places in x the one on the diagonal of the nearest window, if it is there, or else the first.
-    by_place = np.argsort(places_y >> 32, kind="stable")
-    at, diagonal = (places_y >> 32)[by_place], ((places_x >> 32) - (places_y >> 32))[by_place]
-    after = np.minimum(np.searchsorted(at, hit), len(at) - 1)
-    before = np.maximum(after - 1, 0)
-    straight = hit + diagonal[np.where(np.abs(at[after] - hit) <= np.abs(at[before] - hit), after, before)]
-    on = (straight >= 0) & (straight < len(x))
-    on[on] = x[straight[on]] == y[hit[on]]
-    partner = np.where(on, straight, order[found[hit]])
-    shift = partner - hit
-    out = []
-
-    def stretches(gap: int, slip: int) -> Iterator[np.ndarray]:
-        cut = np.flatnonzero((np.diff(hit) > gap + 1) | (np.abs(np.diff(shift)) > slip)) + 1
-        yield from np.split(np.arange(len(hit)), cut)
-
-    taken = np.zeros(len(y), bool)
-    for part in [*stretches(GAP, GAP), *stretches(0, 0)]:
-        y0, y1 = int(hit[part[0]]), int(hit[part[-1]])
-        x0, x1 = int(partner[part].min()), int(partner[part].max())
-        if y1 - y0 + 1 < t or taken[y0] or taken[y1]:
-            continue
-        both = len(np.unique(y[hit[part]]))
-        similarity = both / (len(np.unique(x[x0 : x1 + 1])) + len(np.unique(y[y0 : y1 + 1])) - both)
-        if similarity >= least:
-            taken[y0 : y1 + 1] = True
-            out.append((y0, y1, x0, x1, similarity))
+    out, taken = [], np.zeros(len(y), bool)
+
+    def take(y0: int, y1: int, x0: int, x1: int) -> bool:
+        if y1 - y0 + 1 < t or y1 - y0 + 1 - np.count_nonzero(taken[y0 : y1 + 1]) < t:
+            return False
+        a, b = np.unique(x[x0 : x1 + 1]), np.unique(y[y0 : y1 + 1])
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        similarity = both / (len(a) + len(b) - both)
+        if similarity < least:
+            return False
+        taken[y0 : y1 + 1] = True
+        out.append((y0, y1, x0, x1, similarity))
+        return True
+
+    for chain in _chains(seg):
+        y0, x0, n = chain.T
+        y1, x1 = y0 + n - 1, x0 + n - 1
+        # Tokens that are equal up to each segment, without what two segments share.
+        over = np.maximum(0, np.maximum(y1[:-1] - y0[1:], x1[:-1] - x0[1:]) + 1)
+        equal = np.cumsum(n - np.concatenate([[0], over]))
+        i = 0
+        while i < len(chain):
+            both = equal[i:] - equal[i] + n[i]
+            size = (y1[i:] - y0[i] + 1) + (x1[i:] - x0[i] + 1)
+            ends = i + np.flatnonzero(both * (1 + least) >= least * size)
+            found = next((j for j in ends[::-1].tolist() if take(int(y0[i]), int(y1[j]), int(x0[i]), int(x1[j]))), None)
+            i = i + 1 if found is None else found + 1
+    for y0, x0, n in seg[np.argsort(-seg[:, 2], kind="stable")].tolist():
+        if n < t:
+            break
+        take(y0, y0 + n - 1, x0, x0 + n - 1)
     return out
 
 

@@ -168,6 +168,30 @@ def test_passages(docs):
     assert substring_dedup.substring_dedup(docs([])).count() == 0
 
 
+def tokens_of(ws):
+    h = np.array([hash(w) & (2**63 - 1) for w in ws], np.uint64)
+    return (text.shingle_stream(h, 5) >> np.uint64(32)).astype(np.uint32)
+
+
+def test_passage_whose_line_is_also_elsewhere():
+    """An equal passage is found whole where its middle line comes earlier in the kept text too, and across a long insertion."""
+    rng = random.Random(8)
+    p = words_of(rng, 60)
+    x = tokens_of(p[24:36] + words_of(rng, 40) + p + words_of(rng, 20))
+    y = tokens_of(words_of(rng, 10) + p + words_of(rng, 10))
+    line = int(np.flatnonzero(y == x[0])[0])
+    # Windows that pair the line with its first place in x only, beside one on the passage's own diagonal.
+    places = (np.array([line, line, line, 12]) << 32) | (30 << 16) | 30
+    firsts = (np.array([0, 0, 0, 54]) << 32) | (30 << 16) | 30
+    (found,) = substring_dedup.passages(x, y, firsts, places, 46, 0.8)
+    assert found[:4] == (10, 65, 52, 107) and found[4] == 1
+    (found,) = substring_dedup.passages(x, y, firsts[:3], places[:3], 46, 0.8)
+    assert found[:2] == (10, 65)
+    q = words_of(rng, 300)
+    (found,) = substring_dedup.passages(tokens_of(q), tokens_of(q[:150] + words_of(rng, 25) + q[150:]), firsts, places, 46, 0.8)
+    assert found[:4] == (0, 320, 0, 295)
+
+
 def test_passages_of_table(documents):
     """Every exact repeat of 51 words is found, and none is left after cutting."""
     rows = {r["doc_id"]: split(r["text"]) for r in documents.collect()}
