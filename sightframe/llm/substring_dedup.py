@@ -8,8 +8,14 @@ spans t tokens is the minimum of some t tokens in a row, so a sliding minimum fi
 tree is built over these alone.
 
 Windows with the same min-hash are brought together by sorting. In a short run all of them are paired; in a longer one
-each is paired with the first, which is of the smallest doc_id, so a passage in n documents costs about n pairs. The intervals of a pair of documents are then joined: where the windows of enough hash functions overlap,
-the shingles themselves are aligned, and stretches of enough words whose shingle sets are similar are the result.
+each is paired with the first, which is of the smallest doc_id, so a passage in n documents costs about n pairs. Of
+pairs of documents that enough windows bring together the shingles themselves are aligned, and stretches of enough
+words whose shingle sets are similar are the result.
+
+Rows of long runs that no passage covers after that stay open. With the shingles around their min-hash they go through
+the runs again: a row that is like none of the representatives before it becomes one itself, and every row is paired
+with all representatives that it is like. The pairs are verified in turn, and this goes on until nothing is open; each
+round asks for 16 times as many representatives before a row is none itself, so there are few rounds.
 """
 
 from __future__ import annotations
@@ -32,6 +38,12 @@ SHORT = 4
 #: Places in a chunk that fit beside a hash when minima are taken.
 _PLACE_BITS = 28
 OUT_ROWS = 1 << 16
+#: Representatives of a run in one round, and how many rows are compared with one another at once.
+REPRESENTATIVES, TOGETHER = 4096, 256
+#: Places that the tokens of a context are counted in, to see which contexts can share enough of them.
+BINS = 1024
+#: In ``place_b`` of hits: a row of a long run that is open, and one that is a representative.
+OPEN, HEAD = -1, -2
 _WINDOWS = "key long, doc long, place long"
 _PAIRS = "a long, b long, place_a long, place_b long"
 SPANS = "doc_id long, start_word long, end_word long, keep_doc_id long, keep_start_word long, keep_end_word long, similarity double"
@@ -143,6 +155,110 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for other in (np.where(short, -1, head), *(np.where(short, p, -1) for p in previous)):
             good = (other >= 0) & (all_doc[other] != doc)
             yield from _batches(all_doc[other[good]], doc[good], all_place[other[good]], place[good], names=names)
+        # The first row has been paired with all others; those after it are open from the one on that makes the run long.
+        grown = index == SHORT
+        for at in (*(p[grown] for p in previous), len(all_doc) - len(doc) + np.flatnonzero(index >= SHORT)):
+            yield from _batches(runs.rows[0][at], all_doc[at], all_place[at], np.full(len(at), OPEN), names=names)
+
+
+def _context_rows(t: int):  # noqa: ANN202
+    """key, doc and place of open rows, with the t - 1 tokens on both sides of the min-hash and itself in 16 bits, 0 where there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, rows, raw = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            for i, doc in enumerate(docs):
+                tokens = np.frombuffer(raw[i].as_buffer(), np.uint32)
+                walled = np.zeros(len(tokens) + 2 * t - 2, np.uint16)
+                walled[t - 1 : t - 1 + len(tokens)] = np.maximum(tokens >> np.uint32(16), 1)
+                key, place = (rows[i].values.field(j).to_numpy() for j in (0, 1))
+                around = np.lib.stride_tricks.sliding_window_view(walled, 2 * t - 1)
+                for a in range(0, len(key), OUT_ROWS):
+                    context = pa.array([around[c].tobytes() for c in (place[a : a + OUT_ROWS] >> 32).tolist()], pa.binary())
+                    part = [pa.array(key[a : a + OUT_ROWS]), pa.array(np.full(len(context), doc)), pa.array(place[a : a + OUT_ROWS]), context]
+                    yield pa.RecordBatch.from_arrays(part, names=["key", "doc", "place", "context"])
+
+    return run
+
+
+def alike(one: np.ndarray, many: np.ndarray, t: int, least: float) -> np.ndarray:
+    """Which of the contexts ``many`` have a stretch of t tokens around their middle that ``one`` holds so large a part of."""
+    known = np.zeros(1 << 16, bool)
+    known[one] = True
+    known[0] = False
+    hit = known[many]
+    score = np.concatenate([np.zeros((len(many), 1)), np.cumsum(hit - least, axis=1)], 1)
+    # The best score of a stretch that ends with a hit at each token or later, against every beginning up to the middle.
+    ends = np.where(hit, score[:, 1:], -np.inf)[:, t - 1 :]
+    ends = np.maximum.accumulate(ends[:, ::-1], axis=1)[:, ::-1]
+    return (hit[:, :t] & (ends - score[:, :t] >= -1e-9)).any(1)
+
+
+def _counts(contexts: np.ndarray) -> np.ndarray:
+    at = np.arange(len(contexts))[:, None] * BINS + contexts % BINS
+    return np.bincount(at[contexts > 0], minlength=len(contexts) * BINS).reshape(-1, BINS).astype(np.float32)
+
+
+class _Run:
+    """The representatives of one run, and the pairs of rows fed to it: a row like fewer than ``enough`` of them becomes one."""
+
+    def __init__(self, t: int, least: float, enough: int) -> None:
+        self.t, self.least, self.enough = t, least, enough
+        self.doc, self.place, self.context = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2 * t - 1), np.uint16)
+
+    def feed(self, doc: np.ndarray, place: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (doc, doc, place, place) of rows with representatives, and for each row whether it became one."""
+        pairs, likes, head = [], np.zeros(len(doc), np.int64), np.zeros(len(doc), bool)
+        few = len(doc) + len(self.doc) <= 32
+        counts = None if few else _counts(context)
+
+        def compare(d: int, p: int, c: np.ndarray, shared: np.ndarray | None, start: int) -> None:
+            at = np.arange(start, len(doc)) if shared is None else start + np.flatnonzero(shared[start:] >= self.least * self.t - 0.5)
+            at = at[alike(c, context[at], self.t, self.least)] if len(at) else at
+            at = at[doc[at] != d]
+            likes[at] += 1
+            pairs.append(np.stack([np.full(len(at), d), doc[at], np.full(len(at), p), place[at]]))
+
+        for a in range(0, len(self.doc), TOGETHER):
+            shared = None if few else _counts(self.context[a : a + TOGETHER]) @ counts.T
+            for i in range(a, min(a + TOGETHER, len(self.doc))):
+                compare(self.doc[i], self.place[i], self.context[i], None if few else shared[i - a], 0)
+        start = 0
+        while start < len(doc) and len(self.doc) + head.sum() < REPRESENTATIVES:
+            some = start + np.flatnonzero(likes[start:] < self.enough)[:TOGETHER]
+            shared = None if few or not len(some) else counts[some] @ counts.T
+            for k, i in enumerate(some.tolist()):
+                if likes[i] < self.enough and len(self.doc) + head.sum() < REPRESENTATIVES:
+                    head[i] = True
+                    compare(doc[i], place[i], context[i], None if few else shared[k], i + 1)
+            start = int(some[-1]) + 1 if len(some) else len(doc)
+        self.doc, self.place, self.context = np.concatenate([self.doc, doc[head]]), np.concatenate([self.place, place[head]]), np.concatenate([self.context, context[head]])
+        return np.concatenate(pairs, 1) if pairs else np.zeros((4, 0), np.int64), head
+
+
+def _later_rows(t: int, least: float, enough: int):  # noqa: ANN202
+    """Of open rows sorted by key and doc, the pairs with representatives, and the rows themselves."""
+    names = ["a", "b", "place_a", "place_b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, doc, place = (batch.column(i).to_numpy() for i in range(3))
+            context = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(len(key), 2 * t - 1)
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(key) != 0) + 1, [len(key)]])
+            pairs, heads = [], []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if state is None or key[a] != last:
+                    last, state = key[a], _Run(t, least, enough)
+                found, head = state.feed(doc[a:b], place[a:b], context[a:b])
+                pairs.append(found)
+                heads.append(head)
+            yield from _batches(*np.concatenate(pairs, 1), names=names)
+            yield from _batches(key, doc, place, np.where(np.concatenate(heads), HEAD, OPEN), names=names)
+
+    return run
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +380,40 @@ def _verify(min_words: int, least: float):  # noqa: ANN202
     return run
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """The passages of ``pairs`` (a, b, places)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    tokens = materialize(mapped(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_token_rows, "doc long, tokens binary"))
+    left = tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("tokens_a"))
+    right = tokens.select(F.col("doc").alias("b"), F.col("tokens").alias("tokens_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "places", "tokens_a", "tokens_b").mapInArrow(_verify(min_words, similarity), SPANS)
+
+
+def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id and its rows (key, place) that are still to be compared: of ``rows`` (key, doc, place, mark) as hits.
+
+    A row is settled once a passage found in its document covers its min-hash. A representative has been compared with
+    all rows after it, and has to be looked at again only where an open row that was like another one came before it.
+    """
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    at = F.shiftright("place", 32)
+    covered = F.exists("spans", lambda s: (at >= s["start_word"]) & (at <= s["end_word"] - N_WORDS))
+    rows = rows.select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("place_a").alias("place"), (F.col("place_b") == HEAD).alias("head"))
+    rows = rows.join(spans, "doc_id", "left").where(~F.coalesce(covered, F.lit(False))).select("key", "doc_id", "place", "head")
+    rows = materialize(rows)
+    by_key = rows.groupBy("key").agg(F.min(F.when(~F.col("head"), F.col("doc_id"))).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    runs = by_key.where("first is not null and low < high").select("key", "first")
+    rows = rows.join(runs, "key").where("not head or doc_id > first").select("key", "doc_id", "place")
+    several = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    return rows.join(several, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("key", "place")).alias("rows"))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of at least ``min_words`` words that are near duplicates of a passage of another document.
 
     One row per passage and partner: the span of words in ``doc_id``, and in ``keep_doc_id``, whose copy stays. Within
-    each group of windows the document with the smallest id keeps its copy, so of all copies of a passage one stays.
+    each group of windows the document with the smallest id keeps its copy, so of all copies of a passage one stays;
+    documents whose version is not similar to that one are compared with one another.
     ``similarity`` is the Jaccard similarity of the sets of five-word shingles, of both passages as a whole.
 
     Null and empty texts, texts of fewer words, and rows without doc_id take no part. Rows with the same doc_id are
@@ -276,17 +421,25 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     input partition all but the first are passages as a whole, kept in the first. An empty table gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    t = min_words - N_WORDS + 1
     windows = docs.mapInArrow(_window_rows(min_words), _WINDOWS)
     hits = materialize(windows.repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(_pair_rows, _PAIRS))
-    pairs = hits.where("place_a >= 0").groupBy("a", "b").agg(F.collect_list(F.struct("place_a", "place_b")).alias("places")).where(F.size("places") >= MIN_HASHES)
-    pairs = materialize(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    tokens = materialize(mapped(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_token_rows, "doc long, tokens binary"))
-    left = tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("tokens_a"))
-    right = tokens.select(F.col("doc").alias("b"), F.col("tokens").alias("tokens_b"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "places", "tokens_a", "tokens_b").mapInArrow(_verify(min_words, similarity), SPANS)
+    copies, rows, least_hits = hits.where("place_a < 0"), hits.where("place_a >= 0"), MIN_HASHES
+    found, enough = None, 1
+    while True:
+        pairs = rows.where("place_b >= 0").groupBy("a", "b").agg(F.collect_list(F.struct("place_a", "place_b")).alias("places")).where(F.size("places") >= least_hits)
+        fresh = materialize(_verified(docs, materialize(pairs), min_words, similarity))
+        found = fresh if found is None else found.union(fresh)
+        again = materialize(_open(rows.where("place_b < 0"), found))
+        if again.isEmpty():
+            break
+        tokens = mapped(docs, again.select("doc_id")).select("doc_id", "text").mapInArrow(_token_rows, "doc long, tokens binary")
+        contexts = again.join(tokens.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "rows", "tokens").mapInArrow(_context_rows(t), "key long, doc long, place long, context binary")
+        by_key = contexts.repartition("key").sortWithinPartitions("key", "doc", "place")
+        rows, least_hits = materialize(by_key.mapInArrow(_later_rows(t, similarity, enough), _PAIRS)), 1
+        enough *= 16
     n = -F.col("place_a")
-    whole = hits.where("place_a < 0").select(F.col("b").alias("doc_id"), F.lit(0).cast("long").alias("start_word"), n.alias("end_word"), F.col("a").alias("keep_doc_id"), F.lit(0).cast("long").alias("keep_start_word"), n.alias("keep_end_word"), F.lit(1.0).alias("similarity"))
+    whole = copies.select(F.col("b").alias("doc_id"), F.lit(0).cast("long").alias("start_word"), n.alias("end_word"), F.col("a").alias("keep_doc_id"), F.lit(0).cast("long").alias("keep_start_word"), n.alias("keep_end_word"), F.lit(1.0).alias("similarity"))
     return found.union(whole).distinct()
 
 

@@ -192,6 +192,24 @@ def test_passage_whose_line_is_also_elsewhere():
     assert found[:4] == (0, 320, 0, 295)
 
 
+def test_two_versions_and_hot_line(docs, monkeypatch):
+    """Copies of a version that the first document does not hold are found, and a line in many texts costs no passage."""
+    rng = random.Random(11)
+    made, twos = [], set()
+    for f in range(12):
+        a, b = words_of(rng, 56), words_of(rng, 56)
+        b[:34] = a[:34]
+        made += [(100 * f + i, " ".join(words_of(rng, 30) + (a if i == 0 else b) + words_of(rng, 30))) for i in range(10)]
+        twos |= {100 * f + i for i in range(2, 10)}
+    line = words_of(rng, 30)
+    made += [(5000 + i, " ".join(words_of(rng, 60) + line + words_of(rng, 60))) for i in range(150)]
+    for limit in (4096, 40):
+        monkeypatch.setattr(substring_dedup, "REPRESENTATIVES", limit, raising=False)
+        got = substring_dedup.repeated_passages(docs(made)).collect()
+        assert {r["doc_id"] for r in got} == twos
+        assert all(r["end_word"] - r["start_word"] >= 56 for r in got)
+
+
 def test_passages_of_table(documents):
     """Every exact repeat of 51 words is found, and none is left after cutting."""
     rows = {r["doc_id"]: split(r["text"]) for r in documents.collect()}
