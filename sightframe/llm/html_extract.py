@@ -7,8 +7,8 @@ are counted before they are shuffled, and are aligned in parts of a host before
 a third of all pages costs its number of layouts.
 
 The wrapper says where the text of a host lies: of the elements that its slots are in, the one that is marked as the
-article or else holds most text outside menus, adverts and the like is the main element. A single slot in it that has
-the same short text on all of many different pages belongs to the layout and not to the article.
+article or else holds most text outside menus, adverts and the like is the main element. What it holds is the article
+on every page, however many pages share a part of it.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from .url_filter import host_of
 
 #: Parts of a host whose wrappers are inferred side by side.
 PARTS = 16
-#: A slot is layout when at least so many pages with different texts of the host share its text of at most so many characters.
-SAME_PAGES, SAME_CHARS = 8, 200
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|title|textarea|svg|iframe|select|button|object|math)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -177,22 +175,20 @@ def _infer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _layout_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: the layout of a page; kind 1: a slot by its element, with its text's hash and length."""
-    names = ["kind", "host", "name", "hash", "chars"]
+    """kind 0: the layout of a page; kind 1: a slot by its element, with its text's length."""
+    names = ["kind", "host", "name", "chars"]
     for batch in batches:
         out: list[tuple] = []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = Page(html or "")
-            out.append((0, host, json.dumps(_items(page.stream())), None, 0))
-            slots: dict[str, list[str]] = {}
+            out.append((0, host, json.dumps(_items(page.stream())), 0))
+            slots: dict[str, int] = {}
             for path, text, aside in page.blocks:
                 if not aside:
-                    slots.setdefault(path, []).append(text)
-            for path, texts in slots.items():
-                only = texts[0] if len(texts) == 1 and len(texts[0]) <= SAME_CHARS else None
-                out.append((1, host, path, only, sum(map(len, texts))))
+                    slots[path] = slots.get(path, 0) + len(text)
+            out += [(1, host, path, chars) for path, chars in slots.items()]
         if out:
-            kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
@@ -214,30 +210,23 @@ def main_path(slots: dict[str, int]) -> str:
 
 
 def _choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    path = main_path({p: int(c) for p, c in zip(rows["name"], rows["chars"])})
-    same = rows[rows["same"].astype(bool)]
-    fixed = {n: t for n, t in zip(same["name"], same["text"]) if n == path or n.startswith(path + ">")}
-    return pd.DataFrame({"host": [key[0]], "main": [path], "fixed": [json.dumps(fixed)]})
+    return pd.DataFrame({"host": [key[0]], "main": [main_path({p: int(c) for p, c in zip(rows["name"], rows["chars"])})]})
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON items of token, optional, repeated), main element and fixed slots, for every host."""
-    rows = materialize(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(_layout_rows, "kind int, host string, name string, hash string, chars long"))
+    """host, wrapper (JSON items of token, optional, repeated), and main element, for every host."""
+    rows = materialize(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(_layout_rows, "kind int, host string, name string, chars long"))
     layouts = rows.where("kind = 0").groupBy("host", F.col("name").alias("wrapper")).count()
     parts = layouts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS))).groupBy("host", "part").applyInPandas(_infer, "host string, wrapper string")
     whole = parts.groupBy("host").applyInPandas(_infer, "host string, wrapper string")
-    slots = rows.where("kind = 1").groupBy("host", "name").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"), F.count("hash").alias("short"), F.min("hash").alias("text"), F.max("hash").alias("high"), F.approx_count_distinct("chars").alias("kinds"))
-    different = slots.groupBy("host").agg(F.max("kinds").alias("pages"))
-    slots = slots.join(different, "host")
-    same = (F.col("n") == F.col("short")) & (F.col("text") == F.col("high")) & (F.col("n") >= SAME_PAGES) & (F.col("pages") >= SAME_PAGES)
-    chosen = slots.select("host", "name", "chars", "text", F.coalesce(same, F.lit(False)).alias("same")).groupBy("host").applyInPandas(_choose, "host string, main string, fixed string")
+    slots = rows.where("kind = 1").groupBy("host", "name").agg(F.sum("chars").alias("chars"))
+    chosen = slots.groupBy("host").applyInPandas(_choose, "host string, main string")
     return materialize(whole.join(chosen, "host", "left"))
 
 
-def text_of(html: str | None, main: str | None, wrapper: str | None, fixed: str | None) -> str:
+def text_of(html: str | None, main: str | None, wrapper: str | None) -> str:
     """The blocks of the main element, without what is set aside in it, joined by two line ends."""
     page = Page(html or "")
-    keep = json.loads(fixed) if fixed else {}
     inside = lambda p, m: not m or p == m or p.startswith(m + ">")
     if not main or not any(inside(p, main) for p, _, aside in page.blocks if not aside):
         # A page that its host's wrapper says nothing about is its own host.
@@ -246,13 +235,13 @@ def text_of(html: str | None, main: str | None, wrapper: str | None, fixed: str
             if not aside:
                 slots[path] = slots.get(path, 0) + len(text)
         main = main_path(slots)
-    return "\n\n".join(text for path, text, aside in page.blocks if not aside and inside(path, main) and keep.get(path) != text)
+    return "\n\n".join(text for path, text, aside in page.blocks if not aside and inside(path, main))
 
 
 def _extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        html, main, wrapper, fixed = (batch.column(i).to_pylist() for i in range(2, 6))
-        texts = [text_of(*x) for x in zip(html, main, wrapper, fixed)]
+        html, main, wrapper = (batch.column(i).to_pylist() for i in range(2, 5))
+        texts = [text_of(*x) for x in zip(html, main, wrapper)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -264,5 +253,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     known = wrappers(pages, "url", "html")
-    rows = pages.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "main", "wrapper", "fixed")
+    rows = pages.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "main", "wrapper")
     return rows.mapInArrow(_extract_rows, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")

@@ -217,6 +217,16 @@ def test_extract_other_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_extract_shared_blocks(spark):
+    """Blocks of an article stay however many pages have them: headings of all articles, and parts of one that is copied."""
+    page = "<html><body><nav>Menu</nav><article><h1>%s</h1><h3>Summary</h3><p>%s</p>%s</article></body></html>"
+    made = [(i, f"http://a.b/{i}", page % (f"Head {i}", "word " * (10 + i), "")) for i in range(9)]
+    made += [(20 + i, f"http://a.b/{20 + i}", page % ("Same", "text of it " * 9, "<blockquote>Quoted</blockquote>")) for i in range(9)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_extract.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert all(got[i][:2] == [f"Head {i}", "Summary"] and len(got[i]) == 3 for i in range(9))
+    assert all(got[20 + i] == ["Same", "Summary", ("text of it " * 9).strip(), "Quoted"] for i in range(9))
+
+
 def test_wrapper_language():
     """A wrapper matches the streams that it was made of."""
     one, two, three = (html_extract.Page(x).stream() for x in ("<div><h1>a</h1><p>b</p><p>c</p></div>", "<div><h1>a</h1><p>b</p></div>", "<div><p>b</p><ul><li>x</li><li>y</li></ul></div>"))
