@@ -1,4 +1,4 @@
-"""Main text of web pages, by wrappers: union-free regular expressions inferred from the pages of a host.
+"""Main text of web pages by the text of element paths over a host, and wrappers: union-free regular expressions of its pages.
 
 Every page is read as a stream of structure tokens: its elements, with class or id, and text slots. Adjacent copies of
 the same tokens fold into repeated groups. The streams of a host are aligned one after another with its wrapper; what
@@ -6,9 +6,9 @@ only one side has becomes optional, so the wrapper stays free of unions and matc
 are counted before they are shuffled, and are aligned in parts of a host before the parts' wrappers are, so a host with
 a third of all pages costs its number of layouts.
 
-The wrapper says where the text of a host lies: of the elements that its slots are in, the one that is marked as the
-article or else holds most text outside menus, adverts and the like is the main element. What it holds is the article
-on every page, however many pages share a part of it.
+The wrappers are kept beside the result and decide no row of it. Of the elements that a host's text is in, the one that
+is marked as the article or else holds most text outside menus, adverts and the like is the main element. What it holds
+is the article on every page, however many pages share a part of it.
 """
 
 from __future__ import annotations
@@ -229,7 +229,7 @@ def text_of(html: str | None, main: str | None, wrapper: str | None) -> str:
     page = Page(html or "")
     inside = lambda p, m: not m or p == m or p.startswith(m + ">")
     if not main or not any(inside(p, main) for p, _, aside in page.blocks if not aside):
-        # A page that its host's wrapper says nothing about is its own host.
+        # A page without its host's main element is its own host.
         slots: dict[str, int] = {}
         for path, text, aside in page.blocks:
             if not aside:
