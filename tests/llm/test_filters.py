@@ -227,6 +227,12 @@ def test_extract_shared_blocks(spark):
     assert all(got[20 + i] == ["Same", "Summary", ("text of it " * 9).strip(), "Quoted"] for i in range(9))
 
 
+def test_extract_formulas_and_fallbacks():
+    """The text of formulas and of what stands in for an object stays; sources of formulas, which are not shown, go."""
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='tex'>x = 1</annotation></math> be so.</p><object data='a.pdf'><p>Read it here.</p></object></article>"
+    assert html_extract.text_of(page, "article", None) == "Let x=1 be so.\n\nRead it here."
+
+
 def test_wrapper_language():
     """A wrapper matches the streams that it was made of."""
     one, two, three = (html_extract.Page(x).stream() for x in ("<div><h1>a</h1><p>b</p><p>c</p></div>", "<div><h1>a</h1><p>b</p></div>", "<div><p>b</p><ul><li>x</li><li>y</li></ul></div>"))
