@@ -13,6 +13,8 @@ from .store import materialize
 
 #: Bits of the map of wanted documents; where more are wanted than it can tell apart it lets more through.
 MAP_BITS = 1 << 22
+#: Nodes whose links a task holds until it begins anew.
+FOREST_NODES = 1 << 20
 
 
 class KeyRuns:
@@ -74,6 +76,32 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now = materialize(small.union(least.select("u", "m")).where("u <> v").distinct())
 
 
+def _forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the links of a task as many as connect what they connect, and no more."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for batch in batches:
+        keep = np.zeros(len(batch), bool)
+        for i, (a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1)))):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                keep[i] = True
+        yield batch.filter(pa.array(keep))
+        if len(parent) > FOREST_NODES:
+            parent.clear()
+
+
+def spanning_links(links: DataFrame) -> DataFrame:
+    """Fewer of the ``links`` (a, b) with the same connected components: each task leaves out those that close a ring."""
+    return links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest_rows, "a long, b long")
+
+
 def mapped(rows: DataFrame, wanted: DataFrame, inside: bool = True) -> DataFrame:
     """The rows whose doc_id may be in ``wanted`` (doc_id), or with ``inside`` false those whose doc_id is not.
 
@@ -95,4 +123,12 @@ def mapped(rows: DataFrame, wanted: DataFrame, inside: bool = True) -> DataFrame
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(found == inside))
 
     place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place).cast("long")
-    return rows.withColumn("_place", place).mapInArrow(run, rows.schema)
+    return rows.withColumn(free_name(rows), place).mapInArrow(run, rows.schema)
+
+
+def free_name(rows: DataFrame, name: str = "place") -> str:
+    """A name that no column of ``rows`` has, in any case of its letters."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -7,15 +7,18 @@ the hashes that span enough tokens; a text of n tokens has about 2 n / t of them
 spans t tokens is the minimum of some t tokens in a row, so a sliding minimum finds the few nodes that matter and the
 tree is built over these alone.
 
-Windows with the same min-hash are brought together by sorting. In a short run all of them are paired; in a longer one
-each is paired with the first, which is of the smallest doc_id, so a passage in n documents costs about n pairs. Of
-pairs of documents that enough windows bring together the shingles themselves are aligned, and stretches of enough
-words whose shingle sets are similar are the result.
-
-Rows of long runs that no passage covers after that stay open. With the shingles around their min-hash they go through
-the runs again: a row that is like none of the representatives before it becomes one itself, and every row is paired
-with all representatives that it is like. The pairs are verified in turn, and this goes on until nothing is open; each
-round asks for 16 times as many representatives before a row is none itself, so there are few rounds.
+Windows with the same min-hash are brought together by sorting. The first SHORT rows of a run are paired with one
+another and every later one with the first, which is of the smallest doc_id, so a passage in n documents costs about n
+pairs. Of pairs of documents that enough windows bring together the shingles themselves are aligned, and stretches of
+enough words whose shingle sets are similar are the result.
+
+Rows of runs longer than SHORT that no passage covers after that stay open and are looked at again in rounds. A round
+intersects their windows with those of further hash functions: the places at which a passage of t tokens around the
+min-hash may begin are divided by what the further minima are, and each part is a row of its own, whose key names all
+minima. Texts that share no more than a line part company soon; passages that are equal never do, and similar ones
+seldom. The parts are paired like the rows of the first round. Round k has 2 ** (k - 1) further functions, so after
+ROUNDS of them rows that are still in one run agree in 2 ** ROUNDS min-hashes, and they have been compared with its
+first row. No round compares more pairs than SHORT times its rows, however large a run is.
 """
 
 from __future__ import annotations
@@ -28,24 +31,22 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import KeyRuns, mapped
+from .groups import KeyRuns, free_name, mapped
 from .store import materialize
-from .text import mix, sequence_hash, shingle_stream, words
+from .text import mix, shingle_stream, words
 
 N_WORDS, N_HASHES, MIN_HASHES = 5, 6, 3
-#: Windows of a run up to which all of them are paired.
-SHORT = 4
+#: Rows at the beginning of a run that are all paired; rounds in which longer runs are divided.
+SHORT, ROUNDS = 4, 6
 #: Places in a chunk that fit beside a hash when minima are taken.
 _PLACE_BITS = 28
 OUT_ROWS = 1 << 16
-#: Representatives of a run in one round, and how many rows are compared with one another at once.
-REPRESENTATIVES, TOGETHER = 4096, 256
-#: Places that the tokens of a context are counted in, to see which contexts can share enough of them.
-BINS = 1024
-#: In ``place_b`` of hits: a row of a long run that is open, and one that is a representative.
-OPEN, HEAD = -1, -2
+#: Tokens of documents, and rows, that a task divides at once.
+_TOKENS_AT_ONCE, _ROWS_AT_ONCE = 1 << 21, 1 << 12
+#: ``place`` of a row: the token of its min-hash, and how far before it passages begin, at least and at most.
 _WINDOWS = "key long, doc long, place long"
-_PAIRS = "a long, b long, place_a long, place_b long"
+#: A pair of documents and the distance of the equal tokens, or an open row: key, document, none, place.
+_PAIRS = "a long, b long, shift long, place long"
 SPANS = "doc_id long, start_word long, end_word long, keep_doc_id long, keep_start_word long, keep_end_word long, similarity double"
 
 
@@ -100,36 +101,27 @@ def _window_rows(min_words: int):  # noqa: ANN202
     names = ["key", "doc", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for w in words(batch.column(1)):
                 counts = np.diff(w.offsets)
-                parts, origin, owner, copies, at = [np.zeros(1, np.uint64)], [], [], [], 1
-                for i in np.flatnonzero(counts >= min_words):
-                    h = w.hashes[w.offsets[i] : w.offsets[i + 1]]
-                    mark = (len(h), sequence_hash(h))
-                    first = seen.setdefault(mark, int(docs[w.first + i]))
-                    if first != docs[w.first + i]:
-                        copies.append((first, int(docs[w.first + i]), -len(h)))
-                        continue
-                    s = shingle_stream(h, N_WORDS)
+                long = np.flatnonzero(counts >= min_words)
+                if not len(long):
+                    continue
+                parts, origin, at = [np.zeros(1, np.uint64)], [], 1
+                for i in long:
+                    s = shingle_stream(w.hashes[w.offsets[i] : w.offsets[i + 1]], N_WORDS)
                     s[s == 0] = 1
                     parts += [s, np.zeros(1, np.uint64)]
                     origin.append(at)
-                    owner.append(docs[w.first + i])
                     at += len(s) + 1
-                if copies:
-                    c = np.array(copies, np.int64)
-                    yield from _batches(c[:, 0], c[:, 1], c[:, 2], names=names)
-                if not origin:
-                    continue
-                tokens, origin, owner = np.concatenate(parts), np.array(origin), np.array(owner)
+                tokens, origin, owner = np.concatenate(parts), np.array(origin), docs[w.first + long]
                 for k in range(N_HASHES):
                     left, at_, right = _distinct_windows(tokens, *compact_windows(tokens, t, k))
                     doc = np.searchsorted(origin, at_, "right") - 1
-                    place = ((at_ - origin[doc]) << 32) | (np.minimum(at_ - left, 0xFFFF) << 16) | np.minimum(right - at_, 0xFFFF)
-                    yield from _batches(mix(tokens[at_], 64 + k).view(np.int64), owner[doc], place, names=names)
+                    # Passages of t tokens with this min-hash begin no farther before it than the window, and end in it.
+                    least, most = np.maximum(t - 1 - (right - at_), 0), np.minimum(at_ - left, t - 1)
+                    yield from _batches(mix(tokens[at_], 64 + k).view(np.int64), owner[doc], (at_ - origin[doc]) << 32 | least << 16 | most, names=names)
 
     return run
 
@@ -139,124 +131,79 @@ def _batches(*columns: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + OUT_ROWS]) for x in columns], names=names)
 
 
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs, names = KeyRuns(SHORT - 1), ["a", "b", "place_a", "place_b"]
-    for batch in batches:
-        key, doc, place = (batch.column(i).to_numpy() for i in range(3))
-        copy = place < 0
-        yield from _batches(key[copy], doc[copy], place[copy], place[copy], names=names)
-        key, doc, place = key[~copy], doc[~copy], place[~copy]
-        if not len(key):
-            continue
-        head, previous, index, _ = runs.feed(key, doc, place)
-        _, all_doc, all_place = runs.rows
-        stops = np.flatnonzero(np.append(key[1:] != key[:-1], True))
-        short = index[stops[np.searchsorted(stops, np.arange(len(key)))]] < SHORT
-        for other in (np.where(short, -1, head), *(np.where(short, p, -1) for p in previous)):
-            good = (other >= 0) & (all_doc[other] != doc)
-            yield from _batches(all_doc[other[good]], doc[good], all_place[other[good]], place[good], names=names)
-        # The first row has been paired with all others; those after it are open from the one on that makes the run long.
-        grown = index == SHORT
-        for at in (*(p[grown] for p in previous), len(all_doc) - len(doc) + np.flatnonzero(index >= SHORT)):
-            yield from _batches(runs.rows[0][at], all_doc[at], all_place[at], np.full(len(at), OPEN), names=names)
-
-
-def _context_rows(t: int):  # noqa: ANN202
-    """key, doc and place of open rows, with the t - 1 tokens on both sides of the min-hash and itself in 16 bits, 0 where there is none."""
+def _pair_rows(first_too: bool):  # noqa: ANN202
+    """Pairs of the first SHORT rows of each run, and of the others with the first; and the rows of longer runs.
+
+    The first row of a run is among these only with ``first_too``: where all pairs are verified it is done with.
+    """
+    names = ["a", "b", "shift", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = KeyRuns(SHORT - 1)
         for batch in batches:
-            docs, rows, raw = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            for i, doc in enumerate(docs):
-                tokens = np.frombuffer(raw[i].as_buffer(), np.uint32)
-                walled = np.zeros(len(tokens) + 2 * t - 2, np.uint16)
-                walled[t - 1 : t - 1 + len(tokens)] = np.maximum(tokens >> np.uint32(16), 1)
-                key, place = (rows[i].values.field(j).to_numpy() for j in (0, 1))
-                around = np.lib.stride_tricks.sliding_window_view(walled, 2 * t - 1)
-                for a in range(0, len(key), OUT_ROWS):
-                    context = pa.array([around[c].tobytes() for c in (place[a : a + OUT_ROWS] >> 32).tolist()], pa.binary())
-                    part = [pa.array(key[a : a + OUT_ROWS]), pa.array(np.full(len(context), doc)), pa.array(place[a : a + OUT_ROWS]), context]
-                    yield pa.RecordBatch.from_arrays(part, names=["key", "doc", "place", "context"])
+            key, doc, place = (batch.column(i).to_numpy() for i in range(3))
+            if not len(key):
+                continue
+            head, previous, index, n = runs.feed(key, doc, place)
+            all_key, all_doc, all_place = runs.rows
+            for w, other in enumerate((head, *previous)):
+                good = (index > 0 if w == 0 else (index < SHORT) & (index > w)) & (all_doc[other] != doc)
+                a, b = other[good], n + np.flatnonzero(good)
+                yield from _batches(all_doc[a], all_doc[b], (all_place[a] >> 32) - (all_place[b] >> 32), np.full(len(a), -1), names=names)
+            grown = index == SHORT
+            for at in (*(p[grown] for p in previous), *([head[grown]] if first_too else ()), n + np.flatnonzero(index >= SHORT)):
+                yield from _batches(all_key[at], all_doc[at], np.zeros(len(at), np.int64), all_place[at], names=names)
 
     return run
 
 
-def alike(one: np.ndarray, many: np.ndarray, t: int, least: float) -> np.ndarray:
-    """Which of the contexts ``many`` have a stretch of t tokens around their middle that ``one`` holds so large a part of."""
-    known = np.zeros(1 << 16, bool)
-    known[one] = True
-    known[0] = False
-    hit = known[many]
-    score = np.concatenate([np.zeros((len(many), 1)), np.cumsum(hit - least, axis=1)], 1)
-    # The best score of a stretch that ends with a hit at each token or later, against every beginning up to the middle.
-    ends = np.where(hit, score[:, 1:], -np.inf)[:, t - 1 :]
-    ends = np.maximum.accumulate(ends[:, ::-1], axis=1)[:, ::-1]
-    return (hit[:, :t] & (ends - score[:, :t] >= -1e-9)).any(1)
-
-
-def _counts(contexts: np.ndarray) -> np.ndarray:
-    at = np.arange(len(contexts))[:, None] * BINS + contexts % BINS
-    return np.bincount(at[contexts > 0], minlength=len(contexts) * BINS).reshape(-1, BINS).astype(np.float32)
-
-
-class _Run:
-    """The representatives of one run, and the pairs of rows fed to it: a row like fewer than ``enough`` of them becomes one."""
-
-    def __init__(self, t: int, least: float, enough: int) -> None:
-        self.t, self.least, self.enough = t, least, enough
-        self.doc, self.place, self.context = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2 * t - 1), np.uint16)
-
-    def feed(self, doc: np.ndarray, place: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (doc, doc, place, place) of rows with representatives, and for each row whether it became one."""
-        pairs, likes, head = [], np.zeros(len(doc), np.int64), np.zeros(len(doc), bool)
-        few = len(doc) + len(self.doc) <= 32
-        counts = None if few else _counts(context)
-
-        def compare(d: int, p: int, c: np.ndarray, shared: np.ndarray | None, start: int) -> None:
-            at = np.arange(start, len(doc)) if shared is None else start + np.flatnonzero(shared[start:] >= self.least * self.t - 0.5)
-            at = at[alike(c, context[at], self.t, self.least)] if len(at) else at
-            at = at[doc[at] != d]
-            likes[at] += 1
-            pairs.append(np.stack([np.full(len(at), d), doc[at], np.full(len(at), p), place[at]]))
-
-        for a in range(0, len(self.doc), TOGETHER):
-            shared = None if few else _counts(self.context[a : a + TOGETHER]) @ counts.T
-            for i in range(a, min(a + TOGETHER, len(self.doc))):
-                compare(self.doc[i], self.place[i], self.context[i], None if few else shared[i - a], 0)
-        start = 0
-        while start < len(doc) and len(self.doc) + head.sum() < REPRESENTATIVES:
-            some = start + np.flatnonzero(likes[start:] < self.enough)[:TOGETHER]
-            shared = None if few or not len(some) else counts[some] @ counts.T
-            for k, i in enumerate(some.tolist()):
-                if likes[i] < self.enough and len(self.doc) + head.sum() < REPRESENTATIVES:
-                    head[i] = True
-                    compare(doc[i], place[i], context[i], None if few else shared[k], i + 1)
-            start = int(some[-1]) + 1 if len(some) else len(doc)
-        self.doc, self.place, self.context = np.concatenate([self.doc, doc[head]]), np.concatenate([self.place, place[head]]), np.concatenate([self.context, context[head]])
-        return np.concatenate(pairs, 1) if pairs else np.zeros((4, 0), np.int64), head
-
-
-def _later_rows(t: int, least: float, enough: int):  # noqa: ANN202
-    """Of open rows sorted by key and doc, the pairs with representatives, and the rows themselves."""
-    names = ["a", "b", "place_a", "place_b"]
+def divided(tokens: np.ndarray, at: np.ndarray, key: np.ndarray, place: np.ndarray, t: int, seeds: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows (key, place), whose min-hash is at ``at`` in ``tokens``, divided by the minima of the functions ``seeds``.
+
+    Returns the row that each part is of, its key, and its place. Rows have t - 1 tokens on both sides, if of nought.
+    """
+    around = tokens[at[:, None] + np.arange(1 - t, t)]
+    keys = np.repeat(key.view(np.uint64)[:, None], t, 1)
+    for seed in seeds:
+        rank = mix(around, 256 + seed)
+        # Of the passage that begins s before the min-hash and has t tokens: the minimum up to it, and from it on.
+        before, after = np.minimum.accumulate(rank[:, t - 1 :: -1], axis=1), np.minimum.accumulate(rank[:, t - 1 :], axis=1)
+        keys = mix(keys ^ np.minimum(before, after[:, ::-1]), 1024 + seed)
+    s, least, most = np.arange(t), place[:, None] >> 16 & 0xFFFF, place[:, None] & 0xFFFF
+    inside = (s >= least) & (s <= most)
+    change = np.ones((len(at), t + 1), bool)
+    change[:, 1:t] = keys[:, 1:] != keys[:, :-1]
+    row, low = np.nonzero(inside & (change[:, :-1] | (s == least)))
+    _, high = np.nonzero(inside & (change[:, 1:] | (s == most)))
+    return row, keys[row, low].view(np.int64), place[row] >> 32 << 32 | low << 16 | high
+
+
+def _divided_rows(t: int, number: int):  # noqa: ANN202
+    """Open rows, given as lists by document with its tokens, divided by the functions of round ``number``."""
+    names, seeds = ["key", "doc", "place"], range(1 << number - 1, 1 << number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
         for batch in batches:
-            if not len(batch):
-                continue
-            key, doc, place = (batch.column(i).to_numpy() for i in range(3))
-            context = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(len(key), 2 * t - 1)
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(key) != 0) + 1, [len(key)]])
-            pairs, heads = [], []
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if state is None or key[a] != last:
-                    last, state = key[a], _Run(t, least, enough)
-                found, head = state.feed(doc[a:b], place[a:b], context[a:b])
-                pairs.append(found)
-                heads.append(head)
-            yield from _batches(*np.concatenate(pairs, 1), names=names)
-            yield from _batches(key, doc, place, np.where(np.concatenate(heads), HEAD, OPEN), names=names)
+            docs, lists, raw = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            i = 0
+            while i < len(docs):
+                parts, base, owner, keys, places, at = [np.zeros(t, np.uint32)], [], [], [], [], t
+                while i < len(docs) and at <= _TOKENS_AT_ONCE:
+                    own = np.frombuffer(raw[i].as_buffer(), np.uint32)
+                    key, place = (lists[i].values.field(j).to_numpy() for j in (0, 1))
+                    fits = place >> 32 < len(own)  # not in another text of the same doc_id
+                    owner.append(np.full(fits.sum(), docs[i]))
+                    base.append(np.full(fits.sum(), at))
+                    keys.append(key[fits])
+                    places.append(place[fits])
+                    parts += [own, np.zeros(t, np.uint32)]
+                    at += len(own) + t
+                    i += 1
+                tokens, base, owner, key, place = (np.concatenate(x) for x in (parts, base, owner, keys, places))
+                for a in range(0, len(key), _ROWS_AT_ONCE):
+                    part = slice(a, a + _ROWS_AT_ONCE)
+                    row, new, where = divided(tokens, base[part] + (place[part] >> 32), key[part], place[part], t, seeds)
+                    yield from _batches(new, owner[part][row], where, names=names)
 
     return run
 
@@ -316,7 +263,7 @@ def _chains(seg: np.ndarray) -> Iterator[np.ndarray]:
             yield seg[chain[::-1]]
 
 
-def passages(x: np.ndarray, y: np.ndarray, places_x: np.ndarray, places_y: np.ndarray, t: int, least: float) -> list[tuple[int, int, int, int, float]]:
+def passages(x: np.ndarray, y: np.ndarray, shifts: np.ndarray, t: int, least: float) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of y that are near duplicates of passages of x, as tokens [y0, y1], [x0, x1] and similarity.
 
     Stretches of equal tokens are chained, and the longest parts of a chain that are similar enough are the passages,
@@ -324,7 +271,7 @@ def passages(x: np.ndarray, y: np.ndarray, places_x: np.ndarray, places_y: np.nd
     """
     if len(x) < t or len(y) < t:
         return []
-    seg = _segments(x, y, np.unique((places_x >> 32) - (places_y >> 32)))
+    seg = _segments(x, y, np.unique(shifts))
     if seg[:, 2].sum() < least * t:
         return []
     out, taken = [], np.zeros(len(y), bool)
@@ -368,10 +315,10 @@ def _verify(min_words: int, least: float):  # noqa: ANN202
         for batch in batches:
             rows = []
             a, b = (batch.column(i).to_pylist() for i in (0, 1))
-            places, tx, ty = (batch.column(i) for i in (2, 3, 4))
+            shifts, tx, ty = (batch.column(i) for i in (2, 3, 4))
             for i in range(len(batch)):
                 x, y = (np.frombuffer(s[i].as_buffer(), np.uint32) for s in (tx, ty))
-                for y0, y1, x0, x1, s in passages(x, y, places[i].values.field(0).to_numpy(), places[i].values.field(1).to_numpy(), t, least):
+                for y0, y1, x0, x1, s in passages(x, y, shifts[i].values.to_numpy(), t, least):
                     rows.append((b[i], y0, y1 + N_WORDS, a[i], x0, x1 + N_WORDS, s))
             for i in range(0, len(rows), OUT_ROWS):
                 part = list(zip(*rows[i : i + OUT_ROWS]))
@@ -380,34 +327,45 @@ def _verify(min_words: int, least: float):  # noqa: ANN202
     return run
 
 
+def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc and tokens of the documents in ``wanted`` (doc_id)."""
+    return mapped(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_token_rows, "doc long, tokens binary")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """The passages of ``pairs`` (a, b, places)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    tokens = materialize(mapped(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_token_rows, "doc long, tokens binary"))
+    """The passages of ``pairs`` (a, b, shifts)."""
+    tokens = materialize(_tokens(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     left = tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("tokens_a"))
     right = tokens.select(F.col("doc").alias("b"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "places", "tokens_a", "tokens_b").mapInArrow(_verify(min_words, similarity), SPANS)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "shifts", "tokens_a", "tokens_b").mapInArrow(_verify(min_words, similarity), SPANS)
 
 
 def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id and its rows (key, place) that are still to be compared: of ``rows`` (key, doc, place, mark) as hits.
+    """doc_id and its rows (key, place) that are still open: no passage found in the document covers their min-hash.
 
-    A row is settled once a passage found in its document covers its min-hash. A representative has been compared with
-    all rows after it, and has to be looked at again only where an open row that was like another one came before it.
+    Runs of which rows of only one document are left are done.
     """
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     at = F.shiftright("place", 32)
     covered = F.exists("spans", lambda s: (at >= s["start_word"]) & (at <= s["end_word"] - N_WORDS))
-    rows = rows.select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("place_a").alias("place"), (F.col("place_b") == HEAD).alias("head"))
-    rows = rows.join(spans, "doc_id", "left").where(~F.coalesce(covered, F.lit(False))).select("key", "doc_id", "place", "head")
-    rows = materialize(rows)
-    by_key = rows.groupBy("key").agg(F.min(F.when(~F.col("head"), F.col("doc_id"))).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    runs = by_key.where("first is not null and low < high").select("key", "first")
-    rows = rows.join(runs, "key").where("not head or doc_id > first").select("key", "doc_id", "place")
+    rows = rows.select(F.col("a").alias("key"), F.col("b").alias("doc_id"), "place").join(spans, "doc_id", "left")
+    rows = materialize(rows.where(~F.coalesce(covered, F.lit(False))).select("key", "doc_id", "place"))
     several = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     return rows.join(several, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("key", "place")).alias("rows"))
 
 
+def _copies(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, mark of the text, keep_doc_id and n_words of the documents whose text an earlier one has, byte by byte."""
+    marks = docs.where("text is not null").select("doc_id", F.unhex(F.md5("text")).alias("mark"))
+    firsts = marks.groupBy("mark").agg(F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("last")).where("last > keep_doc_id").drop("last")
+    copies = materialize(marks.join(firsts, "mark").where("doc_id > keep_doc_id").distinct())
+    if copies.isEmpty():
+        return copies.withColumn("n_words", F.lit(0).cast("long"))
+    count = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    sizes = mapped(docs, copies.select("doc_id")).select("doc_id", F.unhex(F.md5("text")).alias("mark"), count.alias("n_words"))
+    return materialize(sizes.join(copies, ["doc_id", "mark"]).where(F.col("n_words") >= min_words).distinct())
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of at least ``min_words`` words that are near duplicates of a passage of another document.
 
@@ -417,36 +375,41 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     ``similarity`` is the Jaccard similarity of the sets of five-word shingles, of both passages as a whole.
 
     Null and empty texts, texts of fewer words, and rows without doc_id take no part. Rows with the same doc_id are
-    taken to be the same document and are not compared. Of equal texts in one
-    input partition all but the first are passages as a whole, kept in the first. An empty table gives an empty result; other columns are not read.
+    taken to be the same document and are not compared. Of equal texts all but the one of the smallest doc_id are
+    passages as a whole, kept in that one. An empty table gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     t = min_words - N_WORDS + 1
-    windows = docs.mapInArrow(_window_rows(min_words), _WINDOWS)
-    hits = materialize(windows.repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(_pair_rows, _PAIRS))
-    copies, rows, least_hits = hits.where("place_a < 0"), hits.where("place_a >= 0"), MIN_HASHES
-    found, enough = None, 1
-    while True:
-        pairs = rows.where("place_b >= 0").groupBy("a", "b").agg(F.collect_list(F.struct("place_a", "place_b")).alias("places")).where(F.size("places") >= least_hits)
-        fresh = materialize(_verified(docs, materialize(pairs), min_words, similarity))
+    copies = _copies(docs, min_words)
+    single = docs
+    if not copies.isEmpty():
+        others = mapped(docs, copies.select("doc_id")).withColumn("mark", F.unhex(F.md5("text"))).join(copies, ["doc_id", "mark"], "left_anti")
+        single = mapped(docs, copies.select("doc_id"), inside=False).union(others.select("doc_id", "text"))
+    rows, found = single.mapInArrow(_window_rows(min_words), _WINDOWS), None
+    for number in range(ROUNDS + 1):
+        by_key = rows.repartition("key").sortWithinPartitions("key", "doc", "place")
+        hits = materialize(by_key.mapInArrow(_pair_rows(number == 0), _PAIRS))
+        pairs = hits.where("place < 0").groupBy("a", "b").agg(F.count("*").alias("hits"), F.collect_set("shift").alias("shifts"))
+        # A row of a later round names more min-hashes than are asked for here.
+        fresh = materialize(_verified(docs, materialize(pairs.where(F.col("hits") >= (1 if number else MIN_HASHES)).select("a", "b", "shifts")), min_words, similarity))
         found = fresh if found is None else found.union(fresh)
-        again = materialize(_open(rows.where("place_b < 0"), found))
+        if number == ROUNDS:
+            break
+        again = materialize(_open(hits.where("place >= 0"), found))
         if again.isEmpty():
             break
-        tokens = mapped(docs, again.select("doc_id")).select("doc_id", "text").mapInArrow(_token_rows, "doc long, tokens binary")
-        contexts = again.join(tokens.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "rows", "tokens").mapInArrow(_context_rows(t), "key long, doc long, place long, context binary")
-        by_key = contexts.repartition("key").sortWithinPartitions("key", "doc", "place")
-        rows, least_hits = materialize(by_key.mapInArrow(_later_rows(t, similarity, enough), _PAIRS)), 1
-        enough *= 16
-    n = -F.col("place_a")
-    whole = copies.select(F.col("b").alias("doc_id"), F.lit(0).cast("long").alias("start_word"), n.alias("end_word"), F.col("a").alias("keep_doc_id"), F.lit(0).cast("long").alias("keep_start_word"), n.alias("keep_end_word"), F.lit(1.0).alias("similarity"))
+        rows = again.join(_tokens(docs, again.select("doc_id")), F.col("doc_id") == F.col("doc")).select("doc_id", "rows", "tokens").mapInArrow(_divided_rows(t, number + 1), _WINDOWS)
+    n, zero = F.col("n_words"), F.lit(0).cast("long")
+    whole = copies.select("doc_id", zero.alias("start_word"), n.alias("end_word"), "keep_doc_id", zero.alias("keep_start_word"), n.alias("keep_end_word"), F.lit(1.0).alias("similarity"))
     return found.union(whole).distinct()
 
 
 def _cut(schema_names: list[str], text_col: str, chars_col: str | None):  # noqa: ANN202
+    """Texts without the spans in the last column; rows of which nothing is left go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(batch.schema.get_field_index(text_col)), batch.column(batch.schema.get_field_index("_spans"))
+            texts, spans = batch.column(batch.schema.get_field_index(text_col)), batch.column(batch.num_columns - 1)
             new = texts.to_pylist()
             for w in words(texts):
                 for i in range(len(w.offsets) - 1):
@@ -487,9 +450,10 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, similarity: float = 0.
     Rows without repeated passages stay as they are.
     """
     spans = repeated_passages(docs, min_words, similarity, id_col, text_col)
-    by_doc = materialize(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans")))
+    by_doc = materialize(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("cuts")))
     named = docs if id_col == "doc_id" else docs.withColumnRenamed(id_col, "doc_id")
     named = named if dict(named.dtypes)["doc_id"] == "bigint" else named.withColumn("doc_id", F.col("doc_id").cast("long"))
-    touched = mapped(named, by_doc.select("doc_id")).join(by_doc, "doc_id", "left").select(*named.columns, "_spans")
+    cuts = by_doc.withColumnRenamed("cuts", free_name(named, "cuts"))
+    touched = mapped(named, by_doc.select("doc_id")).join(cuts, "doc_id", "left").select(*named.columns, cuts.columns[-1])
     cut = touched.mapInArrow(_cut(named.columns, text_col, chars_col), named.schema)
     return mapped(named, by_doc.select("doc_id"), inside=False).union(cut).toDF(*docs.columns)

@@ -5,6 +5,7 @@ A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``, with A-Z lower-
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once, unless a single document is longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -21,6 +22,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Every ASCII character but letters and digits, for words without punctuation.
 PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -78,6 +80,14 @@ def words(column: pa.Array, space: np.ndarray = _SPACE, prefix: int = 0) -> Iter
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     for a, b in row_chunks(offsets):
         yield _chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a, space, prefix)
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free to the system, since workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def row_chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
