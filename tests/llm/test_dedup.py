@@ -181,18 +181,17 @@ def test_passage_whose_line_is_also_elsewhere():
     y = tokens_of(words_of(rng, 10) + p + words_of(rng, 10))
     line = int(np.flatnonzero(y == x[0])[0])
     # Windows that pair the line with its first place in x only, beside one on the passage's own diagonal.
-    places = (np.array([line, line, line, 12]) << 32) | (30 << 16) | 30
-    firsts = (np.array([0, 0, 0, 54]) << 32) | (30 << 16) | 30
-    (found,) = substring_dedup.passages(x, y, firsts, places, 46, 0.8)
+    shifts = np.array([-line, -line, -line, 42])
+    (found,) = substring_dedup.passages(x, y, shifts, 46, 0.8)
     assert found[:4] == (10, 65, 52, 107) and found[4] == 1
-    (found,) = substring_dedup.passages(x, y, firsts[:3], places[:3], 46, 0.8)
+    (found,) = substring_dedup.passages(x, y, shifts[:3], 46, 0.8)
     assert found[:2] == (10, 65)
     q = words_of(rng, 300)
-    (found,) = substring_dedup.passages(tokens_of(q), tokens_of(q[:150] + words_of(rng, 25) + q[150:]), firsts, places, 46, 0.8)
+    (found,) = substring_dedup.passages(tokens_of(q), tokens_of(q[:150] + words_of(rng, 25) + q[150:]), shifts, 46, 0.8)
     assert found[:4] == (0, 320, 0, 295)
 
 
-def test_two_versions_and_hot_line(docs, monkeypatch):
+def test_two_versions_and_hot_line(docs):
     """Copies of a version that the first document does not hold are found, and a line in many texts costs no passage."""
     rng = random.Random(11)
     made, twos = [], set()
@@ -203,11 +202,67 @@ def test_two_versions_and_hot_line(docs, monkeypatch):
         twos |= {100 * f + i for i in range(2, 10)}
     line = words_of(rng, 30)
     made += [(5000 + i, " ".join(words_of(rng, 60) + line + words_of(rng, 60))) for i in range(150)]
-    for limit in (4096, 40):
-        monkeypatch.setattr(substring_dedup, "REPRESENTATIVES", limit, raising=False)
-        got = substring_dedup.repeated_passages(docs(made)).collect()
-        assert {r["doc_id"] for r in got} == twos
-        assert all(r["end_word"] - r["start_word"] >= 56 for r in got)
+    got = substring_dedup.repeated_passages(docs(made)).collect()
+    assert {r["doc_id"] for r in got} == twos
+    assert all(r["end_word"] - r["start_word"] >= 56 for r in got)
+
+
+@pytest.mark.parametrize("group", [3, 4, 9, 40])
+def test_groups_whose_first_is_edited(docs, group):
+    """Of groups with an exact passage whose first document holds an edited version, every other copy but one goes."""
+    rng = random.Random(group)
+    made, want = [], set()
+    for f in range(240 // group):
+        p = words_of(rng, 60)
+        edited = [w if k % 17 else f"z{k}" for k, w in enumerate(p)]
+        made += [(1000 * f + i, " ".join(words_of(rng, 20) + (edited if i == 0 else p) + words_of(rng, 20))) for i in range(group)]
+        want |= {1000 * f + i for i in range(2, group)}
+    got = {r["doc_id"] for r in substring_dedup.repeated_passages(docs(made)).collect()}
+    assert want <= got
+
+
+def near_passages(rng, n, size):
+    """Pairs of passages with a few changed words, and the Jaccard similarity of their shingles."""
+    for _ in range(n):
+        p = words_of(rng, size)
+        q = list(p)
+        for k in rng.sample(range(size), rng.randrange(1, max(2, size // 30) + 1)):
+            q[k] = f"y{rng.randrange(10**6)}"
+        a, b = (shingles(" ".join(x), 5) for x in (p, q))
+        yield p, q, len(a & b) / len(a | b)
+
+
+def test_recall_of_near_passages(docs):
+    """Of brute-force near duplicates, 0.9 and more are found; and of their copies in large families too."""
+    rng = random.Random(3)
+    made, want = [], set()
+    for f, (p, q, s) in enumerate(near_passages(rng, 220, 90)):
+        if s >= 0.8:
+            made += [(10 * f + i, " ".join(words_of(rng, 25) + x + words_of(rng, 25))) for i, x in enumerate((p, q))]
+            want.add(10 * f + 1)
+    for f, (p, q, s) in enumerate(near_passages(rng, 30, 90)):
+        if s >= 0.8:
+            made += [(10_000 + 100 * f + i, " ".join(words_of(rng, 25) + (q if i % 2 else p) + words_of(rng, 25))) for i in range(12)]
+            want |= {10_000 + 100 * f + i for i in range(1, 12)}
+    df = docs(made)
+    got = {tuple(r) for r in substring_dedup.repeated_passages(df).collect()}
+    assert len(want & {r[0] for r in got}) >= 0.9 * len(want) and {r[0] for r in got} <= {i for i, _ in made}
+    assert got == {tuple(r) for r in substring_dedup.repeated_passages(df.repartition(7)).collect()}
+
+
+def test_divided_rows():
+    """Parts of a row cover its beginnings, and have equal keys where their minima are equal."""
+    rng = np.random.default_rng(1)
+    t, tokens = 8, np.concatenate([np.zeros(8, np.uint32), rng.integers(1, 2**32, 60, dtype=np.uint32), np.zeros(8, np.uint32)])
+    at, key, place = np.array([30, 8]), np.array([5, 5]), np.array([(22 << 32) | (1 << 16) | 6, 0])
+    row, keys, where = substring_dedup.divided(tokens, at, key, place, t, range(2, 4))
+    assert [(w >> 32, w >> 16 & 0xFFFF, w & 0xFFFF) for w in where[row == 1]] == [(0, 0, 0)]
+    low, high = where[row == 0] >> 16 & 0xFFFF, where[row == 0] & 0xFFFF
+    assert low[0] == 1 and high[-1] == 6 and (low[1:] == high[:-1] + 1).all()
+    minima = lambda s: tuple(int(text.mix(tokens[30 - s : 30 - s + t], 256 + k).min()) for k in (2, 3))
+    for a, b in zip(low, high):
+        assert len({minima(s) for s in range(a, b + 1)}) == 1
+    assert len(set(keys[row == 0].tolist())) == len({minima(s) for s in range(1, 7)})
 
 
 def test_passages_of_table(documents):
@@ -231,7 +286,7 @@ def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((300, 64))
     x = [*base, *(base[5] + 0.05 * rng.standard_normal((120, 64))), *(base[9] + 0.2 * rng.standard_normal((60, 64))), *([base[7]] * 40)]
-    odd = [None, [], [0.0] * 64, [float("nan")] * 64, [float("inf")] + [1.0] * 63, [None] * 64, [1.0, 2.0]]
+    odd = [None, [], [0.0] * 64, [float("nan")] * 64, [float("inf")] + [1.0] * 63, [None] * 64, [1.0, 2.0], [3.0]]
     rows = [(i, [float(z) for z in v] if v is not None and len(v) == 64 and not isinstance(v, list) else v) for i, v in enumerate([*x, *odd])]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, key int")
     got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df).collect()}
@@ -246,6 +301,44 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def links_of(spark, vectors):
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    return {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df).collect()}
+
+
+@pytest.mark.parametrize("noise", [0.1, 0.2])
+@pytest.mark.parametrize("others", [0, 40])
+def test_tight_cluster(spark, noise, others):
+    """Vectors in one narrow cluster are found like any others."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal(64) + noise * rng.standard_normal((300, 64)), rng.standard_normal((others, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    got = links_of(spark, x)
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.95 * want.sum() > 0
+
+
+def test_recall_at_the_bound(spark):
+    """Pairs with a cosine just above the bound, among vectors with a strong common direction."""
+    rng = np.random.default_rng(6)
+    for common in (0.0, 1.0, 3.0):
+        x = rng.standard_normal((1500, 48)) + common
+        near = x[:500] / np.linalg.norm(x[:500], axis=1, keepdims=True)
+        turn = rng.standard_normal((500, 48))
+        turn -= (turn * near).sum(1, keepdims=True) * near
+        turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+        every = np.concatenate([x, near * 0.952 + turn * np.sqrt(1 - 0.952**2)])
+        unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+        want = (unit @ unit.T >= 0.95).sum(1) - 1
+        got = links_of(spark, every)
+        assert sum(got.values()) >= 0.95 * want.sum() >= 900
+
+
+def test_lengths_are_classes(spark):
+    got = links_of(spark, [*([[1.0, 2.0]] * 3), *([[1.0, 2.0, 3.0]] * 5), [1.0, 2.01], [5.0], [7.0]])
+    assert got == {0: 3, 1: 3, 2: 3, 3: 4, 4: 4, 5: 4, 6: 4, 7: 4, 8: 3, 9: 1, 10: 1}
+
+
 @pytest.mark.parametrize("block", [16])
 def test_large_buckets(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
