@@ -1,18 +1,21 @@
 """URL filters with a path-template tree: rules decide first, templates learned from the ruled URLs decide the rest.
 
 Per host the paths form a tree. Segments that vary (they hold digits, are long, or are rare among many siblings) become
-the wildcard ``*``; deeper segments than DEPTH become one ``**``. Branches of the same parent whose shares of blocked
-URLs a two-proportion test cannot tell apart are merged; those without labels are one branch of their own. A template
-is rejected when the share of blocked URLs among its labelled ones, with one more of either kind, reaches REJECT, so
-a template without labels never is. Labels are the verdicts of the rules.
+the wildcard ``*``; deeper segments than DEPTH become one ``**``. Branches of the same parent that cannot be told apart
+are merged: by the Hoeffding bound, neither the shares of what lies right below them nor their shares of blocked URLs
+differ, and they have enough URLs for the bound to be able to tell. A branch without labels is compared by what lies
+below it alone, so it may come to a template with labels. The branch with most labels, then most URLs, leads; every
+other one goes to the first leader that it is like. A template is rejected when the share of blocked URLs among its
+labelled ones, with one more of either kind, reaches REJECT. Labels are the verdicts of the rules.
 
 The tree is built from counts per distinct pattern, never from single URLs, so a host with a third of all rows weighs
-no more than its number of patterns. Only DataFrame expressions are used.
+no more than its number of patterns. Rare segments are folded first, by joining the totals of their parents, so when
+branches are compared a parent has 1 / RARE of them or MANY at most. Only DataFrame expressions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
@@ -23,8 +26,8 @@ DEPTH = 3
 #: A segment is rare when its parent has more kinds of segments than this and it has a smaller share of the parent's URLs.
 MANY, RARE = 16, 0.05
 LONG = 24
-#: Two branches are alike up to this normal deviate; smoothed share of blocked URLs that rejects a template.
-ALIKE, REJECT = 1.96, 0.6
+#: Hoeffding's factor at 5 % of errors, sqrt(ln(2 / 0.05) / 2); smoothed share of blocked URLs that rejects a template.
+HOEFFDING, REJECT = 1.3581, 0.8
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -55,27 +58,49 @@ def _segments(path: Column) -> list[Column]:
     return [pattern(F.get(parts, F.lit(i))) for i in range(DEPTH)] + [F.when(F.size(parts) > DEPTH, "**").otherwise("")]
 
 
+def _folded(tree: DataFrame) -> DataFrame:
+    """``tree`` with f{d} for each s{d}: the segment, or '*' where it is rare among many below the same parent."""
+    for d in range(DEPTH):
+        parent = ["host", *(f"f{i}" for i in range(d))]
+        kids = tree.groupBy(*parent, f"s{d}").agg(F.sum("n").alias("m"))
+        totals = kids.groupBy(*parent).agg(F.sum("m").alias("total"), F.count("*").alias("kinds"))
+        rare = (F.col("kinds") > MANY) & (F.col("m") < RARE * F.col("total")) & (F.col(f"s{d}") != "")
+        names = kids.join(totals, parent).select(*parent, f"s{d}", F.when(rare, "*").otherwise(F.col(f"s{d}")).alias(f"f{d}"))
+        tree = materialize(tree.join(names, [*parent, f"s{d}"]))
+    return tree.withColumn(f"f{DEPTH}", F.col(f"s{DEPTH}"))
+
+
+def _bound(n: Column, m: Column) -> Column:
+    return HOEFFDING * (F.try_divide(F.lit(1.0), F.sqrt(n)) + F.try_divide(F.lit(1.0), F.sqrt(m)))
+
+
+def _like(one: Column, two: Column) -> Column:
+    """Whether two branches (labelled, n, blocked, below) can't be told apart, though they have URLs enough for that."""
+    share = lambda k, c: F.aggregate(k["below"], F.lit(0.0), lambda sum_, e: sum_ + F.when(e["c"] == c, e["share"]).otherwise(F.lit(0.0)))
+    kinds = F.array_distinct(F.concat(F.transform(one["below"], lambda e: e["c"]), F.transform(two["below"], lambda e: e["c"])))
+    differ = F.coalesce(F.array_max(F.transform(kinds, lambda c: F.abs(share(one, c) - share(two, c)))), F.lit(0.0))
+    blocked = F.abs(F.try_divide(one["blocked"], one["labelled"]) - F.try_divide(two["blocked"], two["labelled"]))
+    bound = _bound(one["n"], two["n"])
+    return (bound < 1) & (differ < bound) & ~F.coalesce(blocked >= _bound(one["labelled"], two["labelled"]), F.lit(False))
+
+
 def _level(tree: DataFrame, d: int) -> DataFrame:
-    """``tree`` with t{d}: segment s{d} after rare ones have become '*' and like siblings one branch."""
+    """``tree`` with t{d}: segment f{d}, or the like sibling of it that leads."""
     parent = ["host", *(f"t{i}" for i in range(d))]
-    above = Window.partitionBy(*parent)
-    kids = tree.groupBy(*parent, f"s{d}").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-    rare = (F.count("*").over(above) > MANY) & (F.col("n") < RARE * F.sum("n").over(above)) & (F.col(f"s{d}") != "")
-    kids = kids.withColumn("g", F.when(rare, "*").otherwise(F.col(f"s{d}")))
-    groups = kids.groupBy(*parent, "g").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    pooled = F.try_divide(F.col("blocked") + F.col("b"), F.col("labelled") + F.col("l"))
-    inside = Window.partitionBy(*parent, F.col("labelled") > 0).orderBy("share", "g")
-    groups = groups.withColumn("share", F.try_divide(F.col("blocked"), F.col("labelled")))
-    groups = groups.withColumn("l", F.lag("labelled").over(inside)).withColumn("b", F.lag("blocked").over(inside))
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), F.col("l"))))
-    deviate = F.try_divide(F.col("share") - F.try_divide(F.col("b"), F.col("l")), spread)
-    apart = F.when(F.col("l").isNull() | (F.col("labelled") == 0) | (pooled * (1 - pooled) <= 0), 0).when(deviate > ALIKE, 1).otherwise(0)
-    number = F.sum("apart").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    groups = groups.withColumn("apart", apart).withColumn("branch", number)
-    name = F.when((F.col("labelled") == 0), F.lit("?")).otherwise(F.col("branch").cast("string"))
-    groups = groups.select(*parent, "g", name.alias(f"t{d}"))
-    names = kids.select(*parent, f"s{d}", "g").join(groups, [*parent, "g"]).drop("g")
-    return tree.join(names, [*parent, f"s{d}"])
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    below = tree.groupBy(*parent, F.col(f"f{d}").alias("g"), F.col(f"f{d + 1}").alias("c")).agg(*sums)
+    branches = below.groupBy(*parent, "g").agg(*sums, F.collect_list(F.struct("c", F.col("n").alias("m"))).alias("parts"))
+    branches = branches.withColumn("below", F.transform("parts", lambda e: F.struct(e["c"].alias("c"), (e["m"] / F.col("n")).alias("share"))))
+    # Lists of a parent's branches and of what is below each: as long as folding leaves them.
+    branch = F.struct((-F.col("labelled")).alias("r0"), (-F.col("n")).alias("r1"), "g", "labelled", "n", "blocked", "below")
+    rank = lambda x: F.struct(x["r0"], x["r1"], x["g"])
+    groups = branches.groupBy(*parent).agg(F.array_sort(F.collect_list(branch)).alias("all"))
+    leads = lambda x: ~F.exists("all", lambda y: (rank(y) < rank(x)) & _like(y, x))
+    groups = groups.withColumn("leaders", F.filter("all", leads))
+    leader = lambda x: F.get(F.filter("leaders", lambda y: (rank(y) < rank(x)) & _like(y, x)), F.lit(0))["g"]
+    named = F.transform("all", lambda x: F.struct(x["g"].alias("g"), F.coalesce(leader(x), x["g"]).alias(f"t{d}")))
+    names = groups.select(*parent, F.inline(named)).withColumnRenamed("g", f"f{d}")
+    return materialize(tree.join(names, [*parent, f"f{d}"]))
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -95,12 +120,12 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     label = F.col("_rule").isNotNull().cast("long")
     blocked = F.coalesce(F.col("_rule.verdict") == "block", F.lit(False)).cast("long")
     tree = rows.groupBy("host", *keys).agg(F.count("*").alias("n"), F.sum(label).alias("labelled"), F.sum(blocked).alias("blocked"))
-    tree = materialize(tree)
-    for d in range(DEPTH + 1):
+    tree = _folded(materialize(tree))
+    for d in range(DEPTH):
         tree = _level(tree, d)
-    template = Window.partitionBy("host", *(f"t{i}" for i in range(DEPTH + 1)))
-    purity = (F.sum("blocked").over(template) + 1) / (F.sum("labelled").over(template) + 2)
-    judged = materialize(tree.select("host", *keys, F.round(purity, 9).alias("purity")))
+    template = ["host", *(f"t{i}" for i in range(DEPTH)), f"f{DEPTH}"]
+    purity = tree.groupBy(*template).agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("purity"))
+    judged = materialize(tree.join(purity, template).select("host", *keys, F.round("purity", 9).alias("purity")))
     ruled = rows.where("_rule is not null").select("page_id", "host", "path", "_rule.rule", "_rule.verdict", F.lit(None).cast("double").alias("purity"))
     open_rows = rows.where("_rule is null").join(judged, ["host", *keys], "left")
     verdict = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
@@ -117,20 +142,34 @@ def _oracle() -> str:
         f"parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{_URL}', 1), ''), '{_UPPER}', '{_LOWER}') AS host, coalesce(regexp_extract(url, '{_URL}', 2), '') AS path FROM pages)",
         "parted AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM parsed)",
         f"ruled AS (SELECT page_id, host, path, {case(1)} AS rule, {case(0)} AS said, {', '.join(f'{pattern(f"parts[{i + 1}]")} AS s{i}' for i in range(DEPTH))}, CASE WHEN len(parts) > {DEPTH} THEN '**' ELSE '' END AS s{DEPTH} FROM parted)",
-        f"tree0 AS (SELECT host, {', '.join(keys)}, count(*) AS n, count(rule) AS labelled, count(*) FILTER (WHERE said = 'block') AS blocked FROM ruled GROUP BY ALL)",
+        f"fold0 AS (SELECT host, {', '.join(keys)}, count(*) AS n, count(rule) AS labelled, count(*) FILTER (WHERE said = 'block') AS blocked FROM ruled GROUP BY ALL)",
     ]
-    for d in range(DEPTH + 1):
-        up = ", ".join(["host", *(f"t{i}" for i in range(d))])
+    bound = lambda n, m: f"{HOEFFDING} * (1.0::DOUBLE / sqrt({n}) + 1.0::DOUBLE / sqrt({m}))"
+    for d in range(DEPTH):
+        up = ", ".join(["host", *(f"f{i}" for i in range(d))])
+        sql += [
+            f"kids{d} AS (SELECT *, CASE WHEN count(*) OVER w > {MANY} AND m < {RARE} * sum(m) OVER w AND s{d} <> '' THEN '*' ELSE s{d} END AS f{d} FROM (SELECT {up}, s{d}, sum(n) AS m FROM fold{d} GROUP BY ALL) WINDOW w AS (PARTITION BY {up}))",
+            f"fold{d + 1} AS (SELECT x.*, k.f{d} FROM fold{d} x JOIN kids{d} k USING ({up}, s{d}))",
+        ]
+    sql.append(f"tree0 AS (SELECT *, s{DEPTH} AS f{DEPTH} FROM fold{DEPTH})")
+    for d in range(DEPTH):
+        names = ["host", *(f"t{i}" for i in range(d))]
+        up = ", ".join(names)
+        of = lambda x: ", ".join(f"{x}.{n}" for n in names)
+        alike = f"coalesce(abs(a.blocked / nullif(a.labelled, 0) - b.blocked / nullif(b.labelled, 0)) < {bound('nullif(a.labelled, 0)', 'nullif(b.labelled, 0)')}, true) AND {bound('a.n', 'b.n')} < 1"
+        first = "(a.labelled > b.labelled OR a.labelled = b.labelled AND (a.n > b.n OR a.n = b.n AND a.g < b.g))"
         sql += [
-            f"kids{d} AS (SELECT *, CASE WHEN count(*) OVER w > {MANY} AND n < {RARE} * sum(n) OVER w AND s{d} <> '' THEN '*' ELSE s{d} END AS g FROM (SELECT {up}, s{d}, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM tree{d} GROUP BY ALL) WINDOW w AS (PARTITION BY {up}))",
-            f"groups{d} AS (SELECT {up}, g, sum(labelled) AS labelled, sum(blocked) AS blocked, CASE WHEN sum(labelled) > 0 THEN sum(blocked) / sum(labelled) END AS share FROM kids{d} GROUP BY {up}, g)",
-            f"lagged{d} AS (SELECT *, lag(labelled) OVER w AS l, lag(blocked) OVER w AS b FROM groups{d} WINDOW w AS (PARTITION BY {up}, labelled > 0 ORDER BY share, g))",
-            f"marked{d} AS (SELECT *, CASE WHEN l IS NULL OR labelled = 0 OR (blocked + b) = 0 OR (blocked + b) = labelled + l THEN 0 WHEN (share - b / l) / sqrt((blocked + b) / (labelled + l) * (1 - (blocked + b) / (labelled + l)) * (1 / labelled + 1 / l)) > {ALIKE} THEN 1 ELSE 0 END AS apart FROM lagged{d})",
-            f"named{d} AS (SELECT {up}, g, CASE WHEN labelled = 0 THEN '?' ELSE (sum(apart) OVER (PARTITION BY {up}, labelled > 0 ORDER BY share, g ROWS UNBOUNDED PRECEDING))::BIGINT::VARCHAR END AS t{d} FROM marked{d})",
-            f"tree{d + 1} AS (SELECT t.*, x.t{d} FROM tree{d} t JOIN kids{d} k USING ({up}, s{d}) JOIN named{d} x USING ({up}, g))",
+            f"groups{d} AS (SELECT {up}, f{d} AS g, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM tree{d} GROUP BY ALL)",
+            f"below{d} AS (SELECT {up}, f{d} AS g, f{d + 1} AS c, sum(n) AS m FROM tree{d} GROUP BY ALL)",
+            f"near{d} AS (SELECT {of('a')}, a.g AS ga, b.g AS gb, a.n AS na, b.n AS nb FROM groups{d} a JOIN groups{d} b USING ({up}) WHERE {first} AND {alike})",
+            f"shares{d} AS (SELECT {of('p')}, ga, gb, na, nb, c, m / na AS share FROM near{d} p JOIN below{d} x ON ({of('p')}, ga) = ({of('x')}, x.g) UNION ALL SELECT {of('p')}, ga, gb, na, nb, c, -m / nb FROM near{d} p JOIN below{d} x ON ({of('p')}, gb) = ({of('x')}, x.g))",
+            f"pairs{d} AS (SELECT {up}, ga, gb FROM (SELECT {up}, ga, gb, na, nb, c, abs(sum(share)) AS differ FROM shares{d} GROUP BY ALL) GROUP BY {up}, ga, gb, na, nb HAVING max(differ) < {bound('na', 'nb')})",
+            f"leaders{d} AS (SELECT * FROM groups{d} x WHERE NOT EXISTS (SELECT 1 FROM pairs{d} p WHERE ({of('p')}, p.gb) = ({of('x')}, x.g)))",
+            f"led{d} AS (SELECT {of('p')}, gb AS g, arg_min(ga, (-l.labelled, -l.n, ga)) AS leader FROM pairs{d} p JOIN leaders{d} l ON ({of('p')}, ga) = ({of('l')}, l.g) GROUP BY ALL)",
+            f"tree{d + 1} AS (SELECT f.*, coalesce(x.leader, f.f{d}) AS t{d} FROM tree{d} f LEFT JOIN led{d} x ON ({of('f')}, f.f{d}) = ({of('x')}, x.g))",
         ]
-    last = ", ".join(["host", *(f"t{i}" for i in range(DEPTH + 1))])
-    sql.append(f"judged AS (SELECT host, {', '.join(keys)}, round((sum(blocked) OVER w + 1) / (sum(labelled) OVER w + 2), 9)::DOUBLE AS purity FROM tree{DEPTH + 1} WINDOW w AS (PARTITION BY {last}))")
+    last = ", ".join(["host", *(f"t{i}" for i in range(DEPTH)), f"f{DEPTH}"])
+    sql.append(f"judged AS (SELECT host, {', '.join(keys)}, round((sum(blocked) OVER w + 1) / (sum(labelled) OVER w + 2), 9)::DOUBLE AS purity FROM tree{DEPTH} WINDOW w AS (PARTITION BY {last}))")
     return f"WITH {', '.join(sql)} SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN purity END AS purity FROM ruled r JOIN judged j USING (host, {', '.join(keys)})"
 
 

@@ -194,6 +194,24 @@ def test_url_templates(spark):
     assert (got[40], got[41]) == ("block", "allow")
 
 
+def test_url_tree_decides(spark):
+    """Branches without labels follow the like branch that has them; unlike ones, and ones of few URLs, are left alone."""
+    rules = (("block", "spam.org", "/a/"), ("block", "spam.org", "/b/"), ("allow", "spam.org", "/news/"), ("block", "tiny.org", "/a/"))
+    made = [f"http://spam.org/{s}/item/{k}" for s in ("a", "b", "c") for k in range(60)]
+    made += [f"http://spam.org/{s}/{k}/by/author" for s in ("news", "essay") for k in range(60)]
+    made += [f"http://spam.org/rare/item/{k}" for k in range(3)] + [f"http://tiny.org/{s}/item/{k}" for s in "ac" for k in range(2)]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    got = {}
+    for r in url_filter.filter_urls(df, rules).collect():
+        got.setdefault((r["host"], r["path"].split("/")[1]), set()).add((r["rule"] is None, r["verdict"]))
+    assert got == {
+        ("spam.org", "a"): {(False, "block")}, ("spam.org", "b"): {(False, "block")}, ("spam.org", "c"): {(True, "block")}, ("spam.org", "news"): {(False, "allow")},
+        ("spam.org", "essay"): {(True, "allow")}, ("spam.org", "rare"): {(True, "allow")}, ("tiny.org", "a"): {(False, "block")}, ("tiny.org", "c"): {(True, "allow")},
+    }
+    slugs = [f"http://slug.org/{'x' * (i % 20 + 1)}{chr(97 + i % 26)}/a" for i in range(400)]
+    assert url_filter.filter_urls(spark.createDataFrame(list(enumerate(slugs)), "page_id long, url string")).count() == 400
+
+
 def test_extract_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
@@ -227,20 +245,70 @@ def test_extract_shared_blocks(spark):
     assert all(got[20 + i] == ["Same", "Summary", ("text of it " * 9).strip(), "Quoted"] for i in range(9))
 
 
-def test_extract_formulas_and_fallbacks():
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+
+
+def test_extract_formulas_and_fallbacks(spark):
     """The text of formulas and of what stands in for an object stays; sources of formulas, which are not shown, go."""
     page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='tex'>x = 1</annotation></math> be so.</p><object data='a.pdf'><p>Read it here.</p></object></article>"
-    assert html_extract.text_of(page, "article", None) == "Let x=1 be so.\n\nRead it here."
+    assert extracted(spark, [("http://a.b/", page)]) == {0: "Let x=1 be so.\n\nRead it here."}
+
+
+WORDS = "river stone garden window morning letter paper silver bridge winter summer music engine market doctor island".split()
+
+
+def plain_pages(host, n, seed=0):
+    """Pages without telling elements or names: menu, title, article, and a foot; the articles."""
+    rng = np.random.default_rng(seed)
+    say = lambda k: " ".join(rng.choice(WORDS, k))
+    menu = "<div><ul><li><a href='/1'>Home of everything</a></li><li><a href='/2'>All of our products</a></li></ul></div>"
+    out, want = [], []
+    for i in range(n):
+        parts = [say(int(rng.integers(15, 40))) for _ in range(int(rng.integers(2, 6)))]
+        title = f"{say(4)} {i}"
+        body = "".join(f"<p>{p}</p>" for p in parts[:-1]) + "<h2>Summary</h2>" + f"<p>{parts[-1]}</p>"
+        out.append((f"http://{host}/{i}", f"<html><body>{menu}<div><h1>{title}</h1><div>{body}</div></div><div><p>All rights are reserved by the owners of this site, who wish you a good day and a pleasant stay.</p></div></body></html>"))
+        want.append("\n\n".join([title, *parts[:-1], "Summary", parts[-1]]))
+    return out, want
+
+
+def test_extract_by_wrapper_alone(spark, monkeypatch):
+    """Menu and foot go because different articles share them, and a constant heading inside the article stays."""
+    pages, want = plain_pages("plain.example", 30)
+    assert extracted(spark, pages) == dict(enumerate(want))
+    at = [html_extract.Page(h).stream() for _, h in pages]
+    wrapper = html_extract.merged(html_extract.labelled(s) for s, _ in at)
+    assert all(min(html_extract.places(wrapper, s)) >= 0 for s, _ in at)
+    assert html_extract.text_of("\n".join(at[0][0]), ["x"], [0], [0], html_extract.places([], at[0][0]), frozenset()) == ""
+    monkeypatch.setattr(html_extract, "GROUP", 3)
+    assert extracted(spark, pages) == dict(enumerate(want))
+
+
+def test_extract_names_that_may_mean_either(spark):
+    """A block by the name of related, share or alert is layout only where its slots are; comments are no part of any article."""
+    rng = np.random.default_rng(5)
+    say = lambda k: " ".join(rng.choice(WORDS, k))
+    pages, want = [], []
+    for i in range(12):
+        a, b, c = say(30), say(20), say(6)
+        pages.append((f"http://x.y/{i}", f"<article><h2 id='social-history'>{c}</h2><p>{a}</p><section id='related-work'><p>{b}</p></section><p class='share'>Share of {i}</p>"
+                      f"<div class='related'><ul><li><a href='/1'>More of this</a></li></ul></div><div class='alert'>Our shop is open</div><section class='comments'><p>{say(50)}</p></section></article>"))
+        want.append("\n\n".join([c, a, b, f"Share of {i}"]))
+    assert extracted(spark, pages) == dict(enumerate(want))
 
 
 def test_wrapper_language():
     """A wrapper matches the streams that it was made of."""
-    one, two, three = (html_extract.Page(x).stream() for x in ("<div><h1>a</h1><p>b</p><p>c</p></div>", "<div><h1>a</h1><p>b</p></div>", "<div><p>b</p><ul><li>x</li><li>y</li></ul></div>"))
-    assert "</p>+" in one and "</p>" in two
-    wrapper = html_extract._merge(html_extract._items(s) for s in (one, two, three))
+    streams = [html_extract.Page(x).stream()[0] for x in ("<div><h1>a</h1><p>b</p><p>c</p></div>", "<div><h1>a</h1><p>b</p></div>", "<div><p>b</p><ul><li>x</li><li>y</li></ul></div>")]
+    assert "/p+" in streams[0] and "/p" in streams[1]
+    wrapper = html_extract.merged(html_extract.labelled(s) for s in streams)
     pattern = "".join(f"(?:{re.escape(t)} ){'?' if o else ''}" for t, o, _ in wrapper)
-    for s in (one, two, three):
-        assert re.fullmatch(pattern, "".join(t.removesuffix("+") + " " for t in s))
+    for s in streams:
+        assert re.fullmatch(pattern, "".join(t + " " for t, _, _ in html_extract.labelled(s)))
+        at = html_extract.places(wrapper, s)
+        assert at == sorted(set(at)) and at[0] == 0
 
 
 def test_packing(docs, documents):
