@@ -16,9 +16,9 @@ Rows of runs longer than SHORT that no passage covers after that stay open and a
 intersects their windows with those of further hash functions: the places at which a passage of t tokens around the
 min-hash may begin are divided by what the further minima are, and each part is a row of its own, whose key names all
 minima. Texts that share no more than a line part company soon; passages that are equal never do, and similar ones
-seldom. The parts are paired like the rows of the first round. Round k has 2 ** (k - 1) further functions, so after
-ROUNDS of them rows that are still in one run agree in 2 ** ROUNDS min-hashes, and they have been compared with its
-first row. No round compares more pairs than SHORT times its rows, however large a run is.
+seldom. The parts are paired like the rows of the first round. After
+round k 4 ** (k - 1) further functions have had their turn, so rows that are in one run after the last of the ROUNDS
+agree in 65 min-hashes, and they have been compared with its first row. No round compares more pairs than SHORT times its rows, however large a run is.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from .text import mix, shingle_stream, words
 
 N_WORDS, N_HASHES, MIN_HASHES = 5, 6, 3
 #: Rows at the beginning of a run that are all paired; rounds in which longer runs are divided.
-SHORT, ROUNDS = 4, 6
+SHORT, ROUNDS = 4, 4
 #: Places in a chunk that fit beside a hash when minima are taken.
 _PLACE_BITS = 28
 OUT_ROWS = 1 << 16
@@ -180,7 +180,7 @@ def divided(tokens: np.ndarray, at: np.ndarray, key: np.ndarray, place: np.ndarr
 
 def _divided_rows(t: int, number: int):  # noqa: ANN202
     """Open rows, given as lists by document with its tokens, divided by the functions of round ``number``."""
-    names, seeds = ["key", "doc", "place"], range(1 << number - 1, 1 << number)
+    names, seeds = ["key", "doc", "place"], range(4 ** (number - 2) if number > 1 else 0, 4 ** (number - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,9 +332,8 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return mapped(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_token_rows, "doc long, tokens binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """The passages of ``pairs`` (a, b, shifts)."""
-    tokens = materialize(_tokens(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+def _verified(tokens: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """The passages of ``pairs`` (a, b, shifts), from the tokens of their documents."""
     left = tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("tokens_a"))
     right = tokens.select(F.col("doc").alias("b"), F.col("tokens").alias("tokens_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "shifts", "tokens_a", "tokens_b").mapInArrow(_verify(min_words, similarity), SPANS)
@@ -391,14 +390,19 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
         hits = materialize(by_key.mapInArrow(_pair_rows(number == 0), _PAIRS))
         pairs = hits.where("place < 0").groupBy("a", "b").agg(F.count("*").alias("hits"), F.collect_set("shift").alias("shifts"))
         # A row of a later round names more min-hashes than are asked for here.
-        fresh = materialize(_verified(docs, materialize(pairs.where(F.col("hits") >= (1 if number else MIN_HASHES)).select("a", "b", "shifts")), min_words, similarity))
+        pairs = materialize(pairs.where(F.col("hits") >= (1 if number else MIN_HASHES)).select("a", "b", "shifts"))
+        if number == 0:
+            tokens = materialize(_tokens(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+        fresh = materialize(_verified(tokens, pairs, min_words, similarity))
         found = fresh if found is None else found.union(fresh)
         if number == ROUNDS:
             break
         again = materialize(_open(hits.where("place >= 0"), found))
         if again.isEmpty():
             break
-        rows = again.join(_tokens(docs, again.select("doc_id")), F.col("doc_id") == F.col("doc")).select("doc_id", "rows", "tokens").mapInArrow(_divided_rows(t, number + 1), _WINDOWS)
+        if number == 0:  # those of later rounds are among these
+            tokens = materialize(_tokens(docs, again.select("doc_id")))
+        rows = again.join(tokens, F.col("doc_id") == F.col("doc")).select("doc_id", "rows", "tokens").mapInArrow(_divided_rows(t, number + 1), _WINDOWS)
     n, zero = F.col("n_words"), F.lit(0).cast("long")
     whole = copies.select("doc_id", zero.alias("start_word"), n.alias("end_word"), "keep_doc_id", zero.alias("keep_start_word"), n.alias("keep_end_word"), F.lit(1.0).alias("similarity"))
     return found.union(whole).distinct()
