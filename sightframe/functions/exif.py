@@ -66,25 +66,30 @@ def value_json(order: str, kind: int, count: int, raw: bytes, tag: int = 0) -> s
     return json.dumps(numbers[0] if len(numbers) == 1 else numbers)
 
 
-def _entries(data: bytes, order: str, at: int, tags: dict[int, str], seen: set[int]) -> Iterator[tuple[str, str]]:
-    if at in seen or at + 2 > len(data):
-        return
-    seen.add(at)
-    (n,) = struct.unpack_from(order + "H", data, at)
-    deeper: list[tuple[int, dict[int, str]]] = []
-    for i in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        size = _KINDS.get(kind, (1, ""))[0] * count
-        place = at + 10 + 12 * i
-        if size > 4:
-            (place,) = struct.unpack_from(order + "I", data, place)
-        raw = data[place : place + size]
-        if tag in (EXIF_DIRECTORY, GPS_DIRECTORY):
-            deeper.append((struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0], TAGS if tag == EXIF_DIRECTORY else GPS_TAGS))
-        elif tag in tags and len(raw) == size:
-            yield tags[tag], value_json(order, kind, count, raw, tag)
-    for place, names in deeper:
-        yield from _entries(data, order, place, names, seen)
+def _entries(data: bytes, order: str, start: int) -> Iterator[tuple[str, str]]:
+    """Names and fragments of a directory's values, then of the directories that it names, each once."""
+    open_: list[tuple[int, dict[int, str]]] = [(start, TAGS)]
+    seen: set[int] = set()
+    while open_:
+        at, tags = open_.pop()
+        if at in seen or at + 2 > len(data):
+            continue
+        seen.add(at)
+        (n,) = struct.unpack_from(order + "H", data, at)
+        deeper: list[tuple[int, dict[int, str]]] = []
+        for i in range(n):
+            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+            place = at + 10 + 12 * i
+            size = _KINDS.get(kind, (0, ""))[0] * count
+            if tag in (EXIF_DIRECTORY, GPS_DIRECTORY):
+                deeper.append((struct.unpack_from(order + "I", data, place)[0], TAGS if tag == EXIF_DIRECTORY else GPS_TAGS))
+                continue
+            if size > 4:
+                (place,) = struct.unpack_from(order + "I", data, place)
+            raw = data[place : place + size]
+            if tag in tags and len(raw) == size:
+                yield tags[tag], value_json(order, kind, count, raw, tag)
+        open_ += reversed(deeper)
 
 
 def _block(data: bytes) -> bytes | None:
@@ -122,7 +127,7 @@ def exif_of(data: bytes | None) -> dict[str, str]:
         block = _block(data or b"")
         if block and block[:4] in (b"II*\0", b"MM\0*"):
             order = "<" if block[:2] == b"II" else ">"
-            for key, value in _entries(block, order, struct.unpack_from(order + "I", block, 4)[0], TAGS, set()):
+            for key, value in _entries(block, order, struct.unpack_from(order + "I", block, 4)[0]):
                 out.setdefault(key, value)
     except struct.error:
         pass

@@ -18,6 +18,7 @@ PLACE_KEYS = ("lat", "lon", "lng")
 EDITORS = ("photoshop", "gimp", "ai", "generative", "midjourney", "stable diffusion")
 ODD_CAMERAS = ("unknown", "fake", "synthetic")
 REDACTED = "[redacted]"
+#: Texts of the warnings.
 GPS_WARNING = "GPS coordinates were present in metadata and have been redacted from the response."
 CAMERA_WARNING = "Camera make/model metadata looks inconsistent or synthetic."
 
@@ -97,5 +98,5 @@ def trust_warnings(metadata: Column, had_gps: Column) -> Column:
 
 def metadata_json(metadata: Column) -> Column:
     """The map as one JSON object with sorted keys."""
-    pairs = F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
+    pairs = F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.concat(F.regexp_replace(F.to_json(F.array(e["key"])), r"^\[|\]$", ""), F.lit(":"), e["value"]))
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))

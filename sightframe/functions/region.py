@@ -11,23 +11,28 @@ FIELDS = ("x", "y", "width", "height")
 _WRAP = 1 << 32
 
 
-def _unsigned(text: Column) -> Column:
-    """An unsigned whole number of JSON as its value modulo 2**32; null for all else."""
-    value = F.when(text.rlike("^(0|[1-9][0-9]{0,19})$"), text.cast("decimal(20,0)"))
-    return F.when(value < F.lit(str(2**64)).cast("decimal(20,0)"), (value % F.lit(_WRAP).cast("decimal(20,0)")).cast("long"))
+def member(value: Column, name: str) -> Column:
+    """A member of a parsed JSON object; null where it is missing or ``value`` is none."""
+    return F.try_variant_get(value, f"$.{name}", "variant")
 
 
-def _raw(json: Column, field: str) -> Column:
-    """The JSON text of a field: strings keep their quotes, so that they don't count as numbers."""
-    return F.regexp_extract(json, rf'"{field}"\s*:\s*("(?:[^"\\]|\\.)*"|[^\s,}}\]]+)', 1)
+def is_kind(value: Column, *kinds: str) -> Column:
+    """Whether a parsed JSON value is of one of the kinds, as ``schema_of_variant`` names them; false for a missing one."""
+    return F.coalesce(F.schema_of_variant(value).rlike("^(" + "|".join(kinds) + ")$"), F.lit(False))
 
 
-def parse_region(region_json: Column) -> tuple[Column, Column]:
-    """struct<x,y,width,height> of a JSON object, and the error of its first bad field in that order.
+def unsigned(value: Column) -> Column:
+    """A parsed JSON whole number from nought to 2**64 - 1; null for all else."""
+    number = F.when(is_kind(value, "BIGINT", r"DECIMAL\([0-9]+,0\)"), F.try_variant_get(value, "$", "decimal(38,0)"))
+    return F.when((number >= 0) & (number < F.lit(str(2**64)).cast("decimal(38,0)")), number)
+
+
+def parse_region(value: Column) -> tuple[Column, Column]:
+    """struct<x,y,width,height> of a parsed JSON object, and the error of its first bad field in that order.
 
     Strings, negative and broken numbers, nulls and missing fields are bad. Values wrap at 2**32.
     """
-    values = {f: _unsigned(_raw(region_json, f)) for f in FIELDS}
+    values = {f: (unsigned(member(value, f)) % F.lit(_WRAP).cast("decimal(38,0)")).cast("long") for f in FIELDS}
     found = first_error(*(F.when(values[f].isNull(), error(INVALID_PARAMS, f"region.{f} is required")) for f in FIELDS))
     return F.when(found.isNull(), F.struct(*(values[f].alias(f) for f in FIELDS))), found
 

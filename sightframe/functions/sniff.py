@@ -47,7 +47,7 @@ def mime_of(fmt: Column) -> Column:
 
 def mime_of_name(name: Column) -> Column:
     """MIME type of any format's name, as the legacy profile tells it; without a name it is a stream of bytes."""
-    return F.coalesce(mime_of(F.lower(name)), F.lit("application/octet-stream"))
+    return F.coalesce(mime_of(F.when(name != "", name)), F.lit("application/octet-stream"))
 
 
 def color_type_of(fmt: Column) -> Column:

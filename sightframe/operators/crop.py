@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels
 from ..functions.errors import INVALID_REQUEST, error, first_error
+from ..functions.names import free_names
 from ..functions.region import budget_error, region_error, shrunk_size
 from ..sources.images import MAX_PIXELS
 from .probe import CROP_ROUTE
@@ -19,49 +19,48 @@ from .probe import CROP_ROUTE
 _CUT = "region_hash string, pixel_hash string, image_base64 string, failure string"
 
 
-def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for i in range(len(batch)):
-            content, box, width, height, shrinks, image = (batch.column(n)[i].as_py() for n in ("content", "region", "_width", "_height", "_shrinks", "include_region_image"))
-            if batch.column("_go")[i].as_py() is not True:
-                out.append((None, None, None, None))
-                continue
-            try:
-                x = pixels.decode(content)[box["y"] : box["y"] + box["height"], box["x"] : box["x"] + box["width"]]
-                x = pixels.shrink(x, width, height) if shrinks else x
-                png = pixels.encode_png(x)
-                out.append((hashlib.sha256(png).hexdigest(), hashlib.sha256(x.tobytes()).hexdigest(), base64.b64encode(png).decode() if image else None, None))
-            except (pixels.CannotDecode, ValueError, IndexError) as e:
-                out.append((None, None, None, f"Failed to decode image for crop: {e}"))
-        kinds = [pa.string()] * 4
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(zip(*out), kinds))] if out else [*batch.columns, *(pa.array([], k) for k in kinds)], names=[*batch.schema.names, *(x.split()[0] for x in _CUT.split(", "))])
+def _cut(content: pd.Series, region: pd.DataFrame, width: pd.Series, height: pd.Series, shrinks: pd.Series, image: pd.Series) -> pd.DataFrame:
+    """What is cut out of each image; rows without content, which are not to be cut, get nulls."""
+    out: list[tuple] = []
+    for i, data in enumerate(content):
+        if data is None:
+            out.append((None, None, None, None))
+            continue
+        x0, y0, w, h = (int(region[f].iat[i]) for f in ("x", "y", "width", "height"))
+        try:
+            x = pixels.decode(data, y0 + h)[y0 : y0 + h, x0 : x0 + w]
+            x = pixels.shrink(x, int(width.iat[i]), int(height.iat[i])) if shrinks.iat[i] else x
+            png = pixels.encode_png(x)
+            out.append((hashlib.sha256(png).hexdigest(), hashlib.sha256(x.tobytes()).hexdigest(), base64.b64encode(png).decode() if image.iat[i] else None, None))
+        except (pixels.CannotDecode, ValueError, IndexError) as e:
+            out.append((None, None, None, f"Failed to decode image for crop: {e}"))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _CUT.split(", ")])
 
 
 def crop(probed: DataFrame) -> DataFrame:
     """``probed`` (content, probe, error, region, and options) with region_evidence where a region is asked for.
 
     Options are the columns max_pixels, max_region_dimension and include_region_image, with the usual defaults where
-    they are null or missing. Geometry and budgets are checked in expressions, so only rows that pass are decoded; a
-    broken image that is also over budget gets the budget's error. ``region_hash`` is of the PNG that this library
-    writes, ``pixel_hash`` of the RGBA bytes alone.
+    they are null or missing. Geometry and budgets are checked in expressions, so only the content of rows that pass
+    goes to Python, and none comes back; a broken image that is also over budget gets the budget's error.
+    ``region_hash`` is of the PNG that this library writes, ``pixel_hash`` of the RGBA bytes alone.
     """
     have = lambda name, kind, value: (F.coalesce(F.col(name).cast(kind), value) if name in probed.columns else value)
     none = F.lit(None)
     rows = probed.withColumn("max_pixels", have("max_pixels", "long", F.lit(MAX_PIXELS).cast("long")))
     rows = rows.withColumn("max_region_dimension", have("max_region_dimension", "long", none.cast("long"))).withColumn("include_region_image", have("include_region_image", "boolean", F.lit(False)))
+    (cut,) = free_names(rows, "cut")
     r, most = F.col("region"), F.col("max_pixels")
     width, height, shrinks = shrunk_size(r["width"], r["height"], F.col("max_region_dimension"))
-    rows = rows.withColumn("_width", width).withColumn("_height", height).withColumn("_shrinks", shrinks)
-    checks = first_error(region_error(r, F.col("probe.width"), F.col("probe.height")), budget_error(r["width"], r["height"], most), budget_error(F.col("_width"), F.col("_height"), most, "Resized region"))
-    rows = rows.withColumn("error", F.coalesce(F.col("error"), F.when(r.isNotNull(), checks))).withColumn("_go", F.col("error").isNull() & r.isNotNull())
-    rows = rows.withColumn("_all", F.col("content")).withColumn("content", F.when(F.col("_go"), F.col("content")))
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    rows = rows.mapInArrow(_cut_rows, f"{columns}, {_CUT}")
+    checks = first_error(region_error(r, F.col("probe.width"), F.col("probe.height")), budget_error(r["width"], r["height"], most), budget_error(width, height, most, "Resized region"))
+    rows = rows.withColumn("error", F.coalesce(F.col("error"), F.when(r.isNotNull(), checks)))
+    go = F.col("error").isNull() & r.isNotNull()
+    done = F.pandas_udf(_cut, _CUT)(F.when(go, F.col("content")), r, width, height, shrinks, F.col("include_region_image"))
+    rows = rows.withColumn(cut, done)
     evidence = F.struct(
-        F.col("region").alias("bbox"), F.col("_width").alias("width"), F.col("_height").alias("height"), (F.col("_width") * F.col("_height")).alias("pixel_count"),
-        "region_hash", "pixel_hash", F.lit("image/png").alias("mime"), F.lit(CROP_ROUTE).alias("route"), F.col("_shrinks").alias("resized"), "image_base64",
+        r.alias("bbox"), width.alias("width"), height.alias("height"), (width * height).alias("pixel_count"),
+        F.col(cut)["region_hash"].alias("region_hash"), F.col(cut)["pixel_hash"].alias("pixel_hash"), F.lit("image/png").alias("mime"), F.lit(CROP_ROUTE).alias("route"), shrinks.alias("resized"), F.col(cut)["image_base64"].alias("image_base64"),
     )
-    rows = rows.withColumn("error", F.coalesce("error", F.when(F.col("failure").isNotNull(), error(INVALID_REQUEST, F.col("failure")))))
-    rows = rows.withColumn("region_evidence", F.when(F.col("region_hash").isNotNull(), evidence)).withColumn("content", F.col("_all"))
-    return rows.drop("_all", "_go", "_width", "_height", "_shrinks", "region_hash", "pixel_hash", "image_base64", "failure")
+    failure = F.col(cut)["failure"]
+    rows = rows.withColumn("region_evidence", F.when(F.col(cut)["region_hash"].isNotNull(), evidence))
+    return rows.withColumn("error", F.coalesce("error", F.when(failure.isNotNull(), error(INVALID_REQUEST, failure)))).drop(cut)

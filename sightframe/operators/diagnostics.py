@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import platform
-import shutil
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.images import MAX_FILE_BYTES, MAX_PIXELS
+from .ocr import available
 
 
 def doctor(spark: SparkSession) -> DataFrame:
     """id, status (ok, warn or fail) and message of each check."""
     import pyarrow
 
-    tool = shutil.which("tesseract")
+    tool = available()
     rows = [
-        ("python", "ok" if platform.python_version_tuple() >= ("3", "10") else "warn", f"Python {platform.python_version()}"),
+        ("python", "ok" if sys.version_info >= (3, 10) else "warn", f"Python {platform.python_version()}"),
         ("spark", "ok" if spark.version.startswith("4") else "warn", f"Spark {spark.version}"),
         ("arrow", "ok", f"Arrow {pyarrow.__version__}"),
         ("safety_limits", "ok" if MAX_FILE_BYTES > 0 and MAX_PIXELS > 0 else "fail", f"Safety limits active: {MAX_FILE_BYTES} bytes, {MAX_PIXELS} pixels."),
-        ("text_recogniser", "ok" if tool else "warn", tool or "Not installed; text recognition is optional."),
+        ("shared_folder", "ok" if spark.conf.get("spark.checkpoint.dir", None) else "warn", "spark.checkpoint.dir names the folder that tasks share." if spark.conf.get("spark.checkpoint.dir", None) else "spark.checkpoint.dir is not set; the training-data operators need it."),
+        ("text_recogniser", "ok" if tool else "warn", "The text recogniser runs." if tool else "The text recogniser does not run here; text recognition is optional."),
     ]
     return spark.createDataFrame(rows, "id string, status string, message string")
 

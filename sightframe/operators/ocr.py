@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import shutil
 import subprocess
-import tempfile
-from collections.abc import Iterator
+from functools import cache
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import free_names
+
 #: Columns of the recogniser's table: level, line, left, top, width, height, confidence, text; and what a word's level is.
 _LEVEL, _LINE, _LEFT, _TOP, _WIDTH, _HEIGHT, _SURE, _TEXT, WORD = 0, 4, 6, 7, 8, 9, 10, 11, "5"
 _BLANK = r"[\s   -     　﻿]"
+#: Seconds for the check and for a run, and bytes of output.
+CHECK_SECONDS, RUN_SECONDS, MOST_OUTPUT = 2.5, 60, 10 << 20
+TOOL = "tesseract"
 LINES = "array<struct<text:string,x:long,y:long,width:long,height:long,confidence:double>>"
 
 
@@ -31,60 +34,96 @@ def real(text: Column) -> Column:
     return F.regexp_extract(text, rf"^{_BLANK}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
 
 
-def words(tables: DataFrame, id_col: str = "image_id", tsv_col: str = "tsv") -> DataFrame:
-    """One row per word: its line number, place in the table, box, confidence and text."""
-    lines = F.filter(F.split(F.col(tsv_col), "\r?\n"), lambda x: F.length(_trim(x)) > 0)
-    rows = tables.select(F.col(id_col), F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))).alias("ord", "line"))
-    cell = lambda i: F.get(F.col("cells"), F.lit(i))
-    rows = rows.withColumn("cells", F.split("line", "\t")).where((F.size("cells") >= 12) & (cell(_LEVEL) == WORD))
-    rows = rows.select(id_col, "ord", whole(cell(_LINE)).alias("line"), whole(cell(_LEFT)).alias("left"), whole(cell(_TOP)).alias("top"), F.coalesce(whole(cell(_WIDTH)), F.lit(0)).alias("width"), F.coalesce(whole(cell(_HEIGHT)), F.lit(0)).alias("height"), F.coalesce(real(cell(_SURE)), F.lit(0.0)).alias("sure"), _trim(cell(_TEXT)).alias("text"))
-    return rows.where((F.length("text") > 0) & F.col("line").isNotNull() & F.col("left").isNotNull() & F.col("top").isNotNull())
+def word_array(tsv: Column) -> Column:
+    """The words of a table: line number, place in the table, box, confidence and text of each."""
+    rows = F.filter(F.split(tsv, "\r?\n"), lambda x: F.length(_trim(x)) > 0)
+    cells = F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda x: F.split(x, "\t"))
+    cell = lambda c, i: F.get(c, F.lit(i))
+
+    def word(c: Column, i: Column) -> Column:
+        number = lambda k: whole(cell(c, k))
+        return F.struct(
+            number(_LINE).alias("line"), i.alias("ord"), number(_LEFT).alias("left"), number(_TOP).alias("top"), F.coalesce(number(_WIDTH), F.lit(0)).cast("long").alias("width"),
+            F.coalesce(number(_HEIGHT), F.lit(0)).cast("long").alias("height"), F.coalesce(real(cell(c, _SURE)), F.lit(0.0)).alias("sure"), _trim(cell(c, _TEXT)).alias("text"), cell(c, _LEVEL).alias("level"),
+        )
+
+    full = lambda w: (w["level"] == WORD) & (F.length(w["text"]) > 0) & w["line"].isNotNull() & w["left"].isNotNull() & w["top"].isNotNull()
+    return F.filter(F.transform(cells, word), full)
+
+
+def _line(words: Column, number: Column) -> Column:
+    of = lambda f: F.transform(words, f)
+    x, y = F.array_min(of(lambda w: w["left"])), F.array_min(of(lambda w: w["top"]))
+    text = F.transform(F.array_sort(of(lambda w: F.struct(w["left"], w["ord"], w["text"]))), lambda w: w["text"])
+    known = F.filter(of(lambda w: w["sure"]), lambda s: s >= 0)
+    return F.struct(
+        y.alias("y"), x.alias("x"), F.array_min(of(lambda w: w["ord"])).alias("first"), number.alias("line"), F.array_join(text, " ").alias("text"),
+        F.greatest(F.array_max(of(lambda w: w["left"] + w["width"])) - x, F.lit(0)).alias("width"), F.greatest(F.array_max(of(lambda w: w["top"] + w["height"])) - y, F.lit(0)).alias("height"),
+        F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, b: a + b), F.size(known).cast("double")).alias("confidence"),
+    )
 
 
-def lines(tables: DataFrame, id_col: str = "image_id", tsv_col: str = "tsv") -> DataFrame:
-    """One row per line of an image: text, box, mean confidence, and its rank from the top.
+def with_lines(tables: DataFrame, tsv_col: str = "tsv", out: str = "lines") -> DataFrame:
+    """``tables`` with the lines of each word table, from top to bottom and then left to right, as an array.
 
     Words belong together by line number alone. They go from left to right; words at the same place keep the table's
-    order, and so do lines. The confidence is the mean of those that are not negative, null if there are none.
+    order, and so do lines. The confidence is the mean of those that are not negative, null if there are none. A table
+    is one row and is worked on where it is.
     """
-    right, bottom = F.max(F.col("left") + F.col("width")), F.max(F.col("top") + F.col("height"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "ord", "text"))), lambda w: w["text"]), " ")
-    rows = words(tables, id_col, tsv_col).groupBy(id_col, "line").agg(
-        text.alias("text"), F.min("left").alias("x"), F.min("top").alias("y"), F.greatest(right - F.min("left"), F.lit(0)).alias("width"), F.greatest(bottom - F.min("top"), F.lit(0)).alias("height"),
-        F.avg(F.when(F.col("sure") >= 0, F.col("sure"))).alias("confidence"), F.min("ord").alias("first"),
-    )
+    (words,) = free_names(tables, "words")
+    numbers = F.array_distinct(F.transform(words, lambda w: w["line"]))
+    made = F.transform(numbers, lambda n: _line(F.filter(words, lambda w: w["line"] == n), n))
+    return tables.withColumn(words, word_array(F.col(tsv_col))).withColumn(out, F.array_sort(made)).drop(words)
+
+
+def lines(tables: DataFrame, id_col: str = "image_id", tsv_col: str = "tsv") -> DataFrame:
+    """One row per line of an image: text, box, mean confidence, and the place of its first word in the table."""
+    rows = with_lines(tables.select(id_col, tsv_col), tsv_col, "found").select(id_col, F.inline("found"))
     return rows.select(id_col, "line", "text", "x", "y", "width", "height", "confidence", "first")
 
 
 def line_lists(tables: DataFrame, id_col: str = "image_id", tsv_col: str = "tsv") -> DataFrame:
-    """One row per image with its lines from top to bottom, then left to right."""
-    order = F.array_sort(F.collect_list(F.struct("y", "x", "first", "text", "width", "height", "confidence")))
-    shape = lambda v: F.struct(v["text"].alias("text"), v["x"].alias("x"), v["y"].alias("y"), v["width"].alias("width"), v["height"].alias("height"), v["confidence"].alias("confidence"))
-    return lines(tables, id_col, tsv_col).groupBy(id_col).agg(F.transform(order, shape).alias("lines"))
-
-
-def _recognise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tool = shutil.which("tesseract")
-    for batch in batches:
-        out = []
-        for i in range(len(batch)):
-            content, langs = batch.column("content")[i].as_py(), batch.column("ocr_languages")[i].as_py() or ["eng"]
-            if tool is None:
-                out.append((None, "The text recogniser is not installed or not on the path."))
-                continue
-            try:
-                with tempfile.NamedTemporaryFile() as f:
-                    f.write(content or b"")
-                    f.flush()
-                    done = subprocess.run([tool, f.name, "stdout", "-l", "+".join(langs), "tsv"], capture_output=True, timeout=60, check=False)
-                said = done.stderr.decode("utf-8", "replace").strip()
-                out.append((done.stdout.decode("utf-8", "replace"), None) if done.returncode == 0 else (None, said or f"The text recogniser exited with status {done.returncode}."))
-            except (OSError, subprocess.TimeoutExpired) as e:
-                out.append((None, f"The text recogniser failed to start: {e}"))
-        yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], names=["image_id", "tsv", "skipped_reason"])
-
-
-def recognise(images: DataFrame) -> DataFrame:
-    """image_id, tsv and skipped_reason of images (image_id, content, ocr_languages); never an error."""
-    kind = dict(images.dtypes)["image_id"]
-    return images.select("image_id", "content", "ocr_languages").mapInArrow(_recognise, f"image_id {kind}, tsv string, skipped_reason string")
+    """One row per image with its lines from top to bottom, then left to right; none for a table without words."""
+    rows = with_lines(tables.select(id_col, tsv_col), tsv_col, "found").where(F.size("found") > 0)
+    return rows.select(id_col, shown(F.col("found")).alias("lines"))
+
+
+def shown(lines: Column) -> Column:
+    return F.transform(lines, lambda v: F.struct(v["text"].alias("text"), v["x"].alias("x"), v["y"].alias("y"), v["width"].alias("width"), v["height"].alias("height"), v["confidence"].alias("confidence")))
+
+
+@cache
+def available(tool: str = TOOL) -> bool:
+    """Whether the recogniser runs here and tells its version in time."""
+    try:
+        return subprocess.run([tool, "--version"], capture_output=True, timeout=CHECK_SECONDS, check=False).returncode == 0
+    except (OSError, subprocess.TimeoutExpired):
+        return False
+
+
+def _run(content: bytes, languages: list[str], tool: str) -> tuple[str | None, str | None]:
+    if not available(tool):
+        return None, "The text recogniser is not installed or not on the path."
+    try:
+        done = subprocess.run([tool, "stdin", "stdout", "-l", "+".join(languages) or "eng", "tsv"], input=content, capture_output=True, timeout=RUN_SECONDS, check=False)
+    except (OSError, subprocess.TimeoutExpired) as e:
+        return None, f"The text recogniser failed to start: {e}"
+    if len(done.stdout) > MOST_OUTPUT:
+        return None, f"The text recogniser failed to start: more than {MOST_OUTPUT} bytes of output"
+    said = done.stderr.decode("utf-8", "replace").strip()
+    return (done.stdout.decode("utf-8", "replace"), None) if done.returncode == 0 else (None, said or f"The text recogniser exited with status {done.returncode}.")
+
+
+def recognised(content: Column, languages: Column, tool: str = TOOL) -> Column:
+    """struct<tsv, skipped_reason> of an image; never an error, and null where content is null."""
+
+    def run(contents: pd.Series, langs: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if c is None else _run(c, [] if x is None else list(x), tool) for c, x in zip(contents, langs)]
+        return pd.DataFrame(rows, columns=["tsv", "skipped_reason"])
+
+    return F.pandas_udf(run, "tsv string, skipped_reason string")(content, languages)
+
+
+def recognise(images: DataFrame, tool: str = TOOL) -> DataFrame:
+    """image_id, tsv and skipped_reason of images (image_id, content, ocr_languages)."""
+    return images.select("image_id", recognised(F.col("content"), F.col("ocr_languages"), tool).alias("r")).select("image_id", "r.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sniff
 from ..functions.errors import INVALID_REQUEST, error, first_error
+from ..functions.names import free_names
 
 DECODE_ROUTE, CROP_ROUTE, READ_ROUTE = "spark.probe", "spark.crop", "spark.read"
 PROBE = ("format", "mime", "width", "height", "pixel_count", "has_alpha", "color_type", "source_hash", "file_size", "route")
@@ -20,15 +21,16 @@ def probe(images: DataFrame) -> DataFrame:
     content = F.col("content")
     before = F.col("error") if "error" in images.columns else F.lit(None).cast("struct<code:string,message:string>")
     fmt = sniff.image_format(content)
-    rows = images.withColumn("_before", before).withColumn("_format", fmt).withColumn("_size", sniff.dimensions(content, F.col("_format")))
-    w, h = F.col("_size.width"), F.col("_size.height")
+    was, name, size = free_names(images, "before", "sniffed", "size")
+    rows = images.withColumn(was, before).withColumn(name, fmt).withColumn(size, sniff.dimensions(content, F.col(name)))
+    w, h = F.col(size)["width"], F.col(size)["height"]
     found = first_error(
-        F.col("_before"),
-        F.when(F.col("_format").isNull(), error(INVALID_REQUEST, "Unable to determine image format: no known signature")),
+        F.col(was),
+        F.when(F.col(name).isNull(), error(INVALID_REQUEST, "Unable to determine image format: no known signature")),
         F.when(w.isNull() | h.isNull(), error(INVALID_REQUEST, "Invalid image dimensions: broken header")),
         F.when((w <= 0) | (h <= 0), error(INVALID_REQUEST, "Image dimensions must be positive.")),
     )
-    values = (F.col("_format"), sniff.mime_of(F.col("_format")), w, h, F.try_multiply(w, h), sniff.has_alpha(content, F.col("_format")), sniff.color_type_of(F.col("_format")), sniff.content_hash(content), F.length(content).cast("long"), F.lit(DECODE_ROUTE))
+    values = (F.col(name), sniff.mime_of(F.col(name)), w, h, F.try_multiply(w, h), sniff.has_alpha(content, F.col(name)), sniff.color_type_of(F.col(name)), sniff.content_hash(content), F.length(content).cast("long"), F.lit(DECODE_ROUTE))
     rows = rows.withColumn("error", found)
     rows = rows.withColumn("probe", F.when(F.col("error").isNull(), F.struct(*(v.alias(n) for v, n in zip(values, PROBE)))))
-    return rows.drop("_before", "_format", "_size")
+    return rows.drop(was, name, size)

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import metadata as meta
 from ..functions.errors import INVALID_PARAMS, UNSUPPORTED_TOOL, error, first_error, tool_route
 from ..functions.exif import exif_fields
-from ..functions.region import budget_error, parse_region
+from ..functions.region import FIELDS, budget_error, is_kind, member, parse_region, unsigned
 from ..functions.sniff import basename
+from ..functions.names import free_names
+from ..operators import ocr
 from ..operators.crop import crop
 from ..operators.probe import READ_ROUTE, probe
-from ..sources.images import MAX_FILE_BYTES, MAX_PIXELS, read_requested
+from ..sources.images import MAX_FILE_BYTES, MAX_PIXELS, read_requested, resolve_paths
 
 CONTRACT, ENGINE, VERSION = "evidence.v1", "spark", "1"
 NO_METADATA = {"shipped": "No EXIF metadata was found in this image (XMP and IPTC are not read).", "legacy": "No EXIF, XMP, or IPTC metadata was found in this image."}
-NEXT_ACTIONS = ("Re-run read_image after file changes to refresh sourceHash.", "Use crop_region for citeable pixel-region evidence.")
-HINTS = {"path": "Pass an absolute or cwd-relative image path.", "region": 'Pass {"x":0,"y":0,"width":10,"height":10}.', "image_probe": "Provide a readable image file within configured safety limits.", "crop_region": "Provide a readable region within image bounds and safety limits."}
+NEXT_ACTIONS = ("Read the file again when it has changed: the source hash then differs.", "Ask for a region to cite pixels.")
+HINTS = {"path": "Give path as text: where the image is.", "region": "Give region as an object of four whole numbers: x, y, width, height.", "image_probe": "Check that the file is an image that can be read and keeps to the limits.", "crop_region": "Check that the box lies inside the image and keeps to the limits."}
 
 
 def parse_options(requests: DataFrame, input_col: str = "input") -> DataFrame:
@@ -26,30 +28,36 @@ def parse_options(requests: DataFrame, input_col: str = "input") -> DataFrame:
     ``path`` must be a string. Other options of a wrong type take their defaults, silently. A region that is there but
     null or broken is an error, which comes before anything that the file could say.
     """
-    text = F.col(input_col)
-    raw = lambda name: F.regexp_extract(text, rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*"|[^\s,}}\]\[{{]+)', 1)
-    flag = lambda name, value: F.when(raw(name) == "true", True).when(raw(name) == "false", False).otherwise(value)
-    number = lambda name: F.when(raw(name).rlike("^[0-9]{1,18}$"), raw(name).cast("long"))
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    asked = F.array_contains(keys, "region")
-    region, region_fault = parse_region(F.coalesce(F.get_json_object(text, "$.region"), F.lit("null")))
-    path = F.when(raw("path").startswith('"'), F.get_json_object(text, "$.path"))
-    fault = first_error(F.when(path.isNull(), error(INVALID_PARAMS, "path is required")), F.when(asked, region_fault))
+    asked, value = F.try_parse_json(F.col(input_col)), {}
+    for name in ("path", "region", "include_metadata", "include_region_image", "include_ocr", "ocr_languages", "max_file_bytes", "max_pixels", "max_region_dimension"):
+        value[name] = member(asked, name)
+    flag = lambda name, default: F.coalesce(F.when(is_kind(value[name], "BOOLEAN"), F.try_variant_get(value[name], "$", "boolean")), F.lit(default))
+    limit = lambda name, default: F.coalesce(F.least(unsigned(value[name]), F.lit(2**63 - 1)).cast("long"), F.lit(default).cast("long"))
+    region, region_fault = parse_region(value["region"])
+    has_region = value["region"].isNotNull()
+    path = F.when(is_kind(value["path"], "STRING"), F.try_variant_get(value["path"], "$", "string"))
+    fault = first_error(F.when(path.isNull(), error(INVALID_PARAMS, "path is required")), F.when(has_region, region_fault))
+    languages = F.when(is_kind(value["ocr_languages"], "ARRAY<STRING>"), F.try_variant_get(value["ocr_languages"], "$", "array<string>"))
     return requests.select(
         "*", path.alias("path"), flag("include_metadata", True).alias("include_metadata"), flag("include_region_image", False).alias("include_region_image"),
-        F.coalesce(number("max_file_bytes"), F.lit(MAX_FILE_BYTES)).cast("long").alias("max_file_bytes"), F.coalesce(number("max_pixels"), F.lit(MAX_PIXELS)).cast("long").alias("max_pixels"),
-        (number("max_region_dimension") % 2**32).alias("max_region_dimension"), F.when(asked, region).alias("region"), fault.alias("fault"),
+        limit("max_file_bytes", MAX_FILE_BYTES).alias("max_file_bytes"), limit("max_pixels", MAX_PIXELS).alias("max_pixels"),
+        (unsigned(value["max_region_dimension"]) % 2**32).cast("long").alias("max_region_dimension"), F.when(has_region, region).alias("region"),
+        flag("include_ocr", False).alias("include_ocr"), F.coalesce(languages, F.array(F.lit("eng"))).alias("ocr_languages"), fault.alias("fault"),
     )
 
 
 def strict_error(text: Column) -> Column:
     """The error of the legacy profile's strict reading of options: wrong types are told and not replaced."""
-    raw = lambda name: F.regexp_extract(text, rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*"|[^\s,}}\]\[{{]+|[\[{{])', 1)
-    flags = [F.when((raw(n) != "") & ~raw(n).isin("true", "false"), error(INVALID_PARAMS, f"{n} must be a boolean")) for n in ("include_metadata", "include_ocr", "include_region_image")]
-    limit = raw("max_region_dimension")
+    asked = F.try_parse_json(text)
+    value = lambda name: member(asked, name)
+    has = lambda name: value(name).isNotNull()
+    flags = [F.when(has(n) & ~is_kind(value(n), "BOOLEAN"), error(INVALID_PARAMS, f"{n} must be a boolean")) for n in ("include_metadata", "include_ocr", "include_region_image")]
+    path, languages = F.try_variant_get(value("path"), "$", "string"), F.try_variant_get(value("ocr_languages"), "$", "array<string>")
+    boxes = [F.when(has("region") & ~(F.coalesce(unsigned(member(value("region"), f)) >= (0 if f in "xy" else 1), F.lit(False))), error(INVALID_PARAMS, f"region.{f} must be a whole number")) for f in FIELDS]
     return first_error(
-        F.when(text.isNull() | ~raw("path").startswith('"') | (raw("path") == '""'), error(INVALID_PARAMS, "path must be a non-empty string")), *flags,
-        F.when((limit != "") & ~limit.rlike("^[1-9][0-9]*$"), error(INVALID_PARAMS, "max_region_dimension must be a positive integer")),
+        F.when(~is_kind(value("path"), "STRING") | (path == ""), error(INVALID_PARAMS, "path must be a non-empty string")), *flags,
+        F.when(has("ocr_languages") & ~(is_kind(value("ocr_languages"), "ARRAY<STRING>", "ARRAY<VOID>") & ~F.coalesce(F.exists(languages, lambda x: x == ""), F.lit(False))), error(INVALID_PARAMS, "ocr_languages must be an array of non-empty strings")),
+        *boxes, F.when(has("max_region_dimension") & ~F.coalesce(unsigned(value("max_region_dimension")) > 0, F.lit(False)), error(INVALID_PARAMS, "max_region_dimension must be a positive integer")),
     )
 
 
@@ -57,7 +65,8 @@ def read_image(images: DataFrame, profile: str = "shipped") -> DataFrame:
     """``images`` (path, content, options, error) with probe, twin and error; exactly one of twin and error is set.
 
     Metadata that can't be read is never an error; a region that can't be cut is. With the ``legacy`` profile an image
-    over the pixel budget as a whole is one as well, and the orientation is told.
+    over the pixel budget as a whole is one as well, the orientation is told, and so is recognised text where
+    ``include_ocr`` asks for it; a recogniser that does not run is told in its place.
     """
     rows = probe(images)
     have = lambda name, value: F.coalesce(F.col(name), F.lit(value)) if name in images.columns else F.lit(value)
@@ -68,14 +77,25 @@ def read_image(images: DataFrame, profile: str = "shipped") -> DataFrame:
         rows = crop(rows)
     else:
         rows = rows.withColumn("region_evidence", F.lit(None).cast("struct<bbox:struct<x:bigint,y:bigint,width:bigint,height:bigint>,width:bigint,height:bigint,pixel_count:bigint,region_hash:string,pixel_hash:string,mime:string,route:string,resized:boolean,image_base64:string>"))
+    fields, said, tsv, found = free_names(rows, "fields", "said", "tsv", "found")
+    added = [fields]
     wanted = have("include_metadata", True) & F.col("error").isNull()
-    rows = rows.withColumn("_fields", exif_fields(F.when(wanted, F.col("content"))))
-    return rows.withColumn("twin", twin(profile, wanted)).withColumn("twin", F.when(F.col("error").isNull(), F.col("twin"))).drop("_fields")
-
-
-def twin(profile: str, wanted: Column) -> Column:
-    """The record from the columns path, probe, _fields and region_evidence."""
-    p, fields, region = F.col("probe"), F.col("_fields"), F.col("region_evidence")
+    rows = rows.withColumn(fields, exif_fields(F.when(wanted, F.col("content"))))
+    text = None
+    if profile == "legacy":
+        asked = have("include_ocr", False) & F.col("error").isNull()
+        languages = F.col("ocr_languages") if "ocr_languages" in images.columns else F.array(F.lit("eng"))
+        rows = rows.withColumn(said, ocr.recognised(F.when(asked, F.col("content")), languages)).withColumn(tsv, F.col(said)["tsv"])
+        rows = ocr.with_lines(rows, tsv, found)
+        none = F.array().cast(ocr.LINES)
+        text = F.when(asked, F.struct(F.col(tsv).isNotNull().alias("available"), F.coalesce(ocr.shown(F.col(found)), none).alias("lines"), F.col(said)["skipped_reason"].alias("skipped_reason")))
+        added += [said, tsv, found]
+    return rows.withColumn("twin", F.when(F.col("error").isNull(), twin(profile, wanted, F.col(fields), text))).drop(*added)
+
+
+def twin(profile: str, wanted: Column, fields: Column, text: Column | None = None) -> Column:
+    """The record from the columns path, probe and region_evidence, the EXIF fields, and recognised text."""
+    p, region = F.col("probe"), F.col("region_evidence")
     present = F.size(fields) > 0
     clean, had_gps = meta.redact_flat(fields)
     none = F.array().cast("array<string>")
@@ -88,7 +108,7 @@ def twin(profile: str, wanted: Column) -> Column:
     orientation = [F.element_at(fields, F.lit("Orientation")).try_cast("int").alias("orientation")] if profile == "legacy" else []
     return F.struct(
         basename(F.col("path")).alias("filename"), p["mime"].alias("mime"), F.struct(p["width"].alias("width"), p["height"].alias("height")).alias("dimensions"), *orientation, p["has_alpha"].alias("has_alpha"), p["color_type"].alias("color_space"),
-        F.when(wanted & present, meta.metadata_json(clean)).alias("metadata"), F.when(region.isNotNull(), shown).alias("region_evidence"), warnings.alias("trust_warnings"),
+        F.when(wanted & present, meta.metadata_json(clean)).alias("metadata"), F.when(region.isNotNull(), shown).alias("region_evidence"), *([text.alias("ocr")] if text is not None else []), warnings.alias("trust_warnings"),
     )
 
 
@@ -108,8 +128,13 @@ def envelope(rows: DataFrame) -> DataFrame:
 
 
 def answer(requests: DataFrame, profile: str = "shipped") -> DataFrame:
-    """One JSON answer per request (tool, input): ``{"status": "ok", ...}`` or an error with code and next action."""
+    """One JSON answer per request (tool, input): ``{"status": "ok", ...}`` or an error with code and next action.
+
+    The ``legacy`` profile reads options strictly and follows links in paths.
+    """
     rows = parse_options(requests)
+    if profile == "legacy":
+        rows = resolve_paths(rows.withColumn("fault", F.coalesce(strict_error(F.col("input")), "fault")))
     rows = read_requested(rows).withColumn("error", F.coalesce("fault", "error"))
     unknown = F.when(tool_route(F.col("tool")).isNull(), error(UNSUPPORTED_TOOL, F.concat(F.lit("Unsupported tool: "), F.coalesce("tool", F.lit("null")))))
     missing = F.when((F.col("tool") == "crop_region") & F.col("region").isNull(), error(INVALID_PARAMS, "region is required"))

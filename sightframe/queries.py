@@ -6,6 +6,7 @@ operator; the SQL computes the answer from the columns and never sees the bytes.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -147,7 +148,7 @@ def bbox_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     seven, nine = F.lit("7"), F.lit("9")
     k = F.col("event_id") % 8
     text = F.when(k == 1, box(F.concat(F.lit('"'), e, F.lit('"')), seven, u, nine)).when(k == 2, box(e, F.lit("-7"), u, nine)).when(k == 3, box(e, seven, F.concat(u, F.lit(".5")), nine)).when(k == 4, F.concat(F.lit('{"x": '), e, F.lit(', "y": 7, "width": '), u, F.lit("}"))).when(k == 5, F.lit("null")).when(k == 6, box(big, seven, u, nine)).otherwise(box(e, seven, u, nine))
-    value, found = region.parse_region(F.col("text"))
+    value, found = region.parse_region(F.try_parse_json("text"))
     return _table(spark, sf_dir, "events").select("event_id", "user_id", text.alias("text")).select("event_id", found["message"].alias("message"), *(value[f].alias(f) for f in region.FIELDS))
 
 
@@ -200,6 +201,71 @@ def crop_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("p_partkey", "width", "height", "pixel_count", "s.red", "s.green", "s.blue")
 
 
+def _gray_jpeg(values: list[int], across: int, down: int) -> bytes:
+    """A JPEG of flat 8 x 8 blocks with these values, row by row: a 4-bit code for each size of a difference, and 0 ends a block."""
+    segment = lambda kind, body: bytes((0xFF, kind)) + struct.pack(">H", len(body) + 2) + body
+    bits, before = [], 128
+    for v in values:
+        size = abs(v - before).bit_length()
+        bits.append(f"{size:04b}" + (f"{v - before if v > before else v - before + (1 << size) - 1:0{size}b}" if size else "") + "0")
+        before = v
+    line = "".join(bits)
+    line += "1" * (-len(line) % 8)
+    data = int(line, 2).to_bytes(len(line) // 8, "big").replace(b"\xff", b"\xff\0")
+    frame = struct.pack(">BHHB", 8, 8 * down, 8 * across, 1) + b"\x01\x11\0"
+    codes = segment(0xC4, b"\0" + bytes((0, 0, 0, 9, *[0] * 12)) + bytes(range(9))) + segment(0xC4, b"\x10" + bytes((1, *[0] * 15)) + b"\0")
+    return b"\xff\xd8" + segment(0xDB, b"\0" + bytes([8] * 64)) + segment(0xC0, frame) + codes + segment(0xDA, b"\x01\x01\0\0\x3f\0") + data + b"\xff\xd9"
+
+
+def _drawn(made: Callable[[int], bytes]):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([made(k) for k in batch.column(0).to_pylist()], pa.binary())], names=["p_partkey", "p_size", "content"])
+
+    return run
+
+
+def _cropped(spark: SparkSession, sf_dir: str, made: Callable[[int], bytes], box: Column, limit: int | None = None) -> DataFrame:
+    rows = _table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(_drawn(made), "p_partkey long, p_size int, content binary")
+    rows = rows.withColumn("region", box).withColumn("include_region_image", F.lit(True)).withColumn("max_region_dimension", F.lit(limit).cast("long"))
+    return crop_op.crop(probe_op.probe(rows))
+
+
+def _box(x: Column, y: Column, width: int, height: int) -> Column:
+    return F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(width).cast("long").alias("width"), F.lit(height).cast("long").alias("height"))
+
+
+@_query("""WITH p AS (SELECT p_partkey, p_partkey % 17 AS x, p_size % 9 AS y FROM part), px AS (SELECT p_partkey, (p_partkey + 40 * ((y + j) // 8 * 3 + (x + i) // 8)) % 200 + 20 AS v FROM p, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j))
+SELECT p_partkey, 8::BIGINT AS width, 8::BIGINT AS height, sum(v)::BIGINT AS red, sum(v)::BIGINT AS green, sum(v)::BIGINT AS blue FROM px GROUP BY p_partkey""")
+def crop_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lambda key: _gray_jpeg([(key + 40 * k) % 200 + 20 for k in range(6)], 3, 2)
+    done, e = _cropped(spark, sf_dir, made, _box(F.col("p_partkey") % 17, F.col("p_size") % 9, 8, 8)), F.col("region_evidence")
+    return done.select("p_partkey", e["width"].alias("width"), e["height"].alias("height"), F.pandas_udf(_sums, "struct<red:long,green:long,blue:long>")(F.unbase64(e["image_base64"])).alias("s")).select("p_partkey", "width", "height", "s.*")
+
+
+def _ramp(key: int) -> bytes:
+    x = np.broadcast_to(key % 50 + 8 * np.arange(16), (4, 16)).astype(np.uint8)
+    return pixels.encode_png(np.stack([x, x, x, np.full_like(x, 255)], 2))
+
+
+def _middle(png: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else int(pixels.decode(x)[:, 2:6, 0].astype(int).sum()) for x in png], dtype="Int64")
+
+
+@_query("SELECT p_partkey, 8::BIGINT AS width, 2::BIGINT AS height, 16::BIGINT AS pixel_count, true AS resized, (8 * (p_partkey % 50) + 480)::BIGINT AS middle FROM part")
+def crop_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, e = _cropped(spark, sf_dir, _ramp, _box(F.lit(0), F.lit(0), 16, 4), 8), F.col("region_evidence")
+    return done.select("p_partkey", e["width"].alias("width"), e["height"].alias("height"), e["pixel_count"].alias("pixel_count"), e["resized"].alias("resized"), F.pandas_udf(_middle, "long")(F.unbase64(e["image_base64"])).alias("middle"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 OR p_size % 2 = 0 THEN 'INVALID_REQUEST' END AS code, CASE WHEN p_partkey % 3 = 0 OR p_size % 2 = 0 THEN 'Image dimensions must be positive.' END AS message,
+CASE WHEN p_partkey % 3 > 0 AND p_size % 2 > 0 THEN (p_partkey % 3)::BIGINT END AS width FROM part""")
+def zero_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = _png_header(F.col("p_partkey") % 3, F.col("p_size") % 2, F.lit(2))
+    rows = probe_op.probe(_table(spark, sf_dir, "part").select("p_partkey", content.alias("content")))
+    return rows.select("p_partkey", F.col("error.code").alias("code"), F.col("error.message").alias("message"), F.col("probe.width").alias("width"))
+
+
 @_query("SELECT doc_id, to_base64(encode(text)) AS base64 FROM documents")
 def base64_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", sniff.plain_base64(F.col("text").cast("binary")).alias("base64"))
@@ -283,18 +349,30 @@ def exif_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", text("Make").alias("make"), text("Model").alias("model"), clean["Orientation"].alias("orientation"), clean["ExposureTime"].cast("double").alias("exposure"), clean["GPSLatitudeRef"].alias("gps"))
 
 
-@_query("""WITH w AS (SELECT l_orderkey AS image_id, l_linenumber AS line, l_partkey AS l, l_suppkey AS t, (l_quantity::BIGINT) AS w, l_linenumber + 5 AS h, CASE WHEN l_suppkey % 4 = 0 THEN -1 ELSE l_partkey % 100 END AS sure, l_shipdate, l_extendedprice, l_returnflag || l_partkey AS text FROM lineitem),
-o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY l, t, l_extendedprice, l_shipdate) AS ord FROM w)
-SELECT image_id, line::BIGINT AS line, string_agg(text, ' ' ORDER BY l, ord) AS text, min(l) AS x, min(t) AS y, (max(l + w) - min(l))::BIGINT AS width, (max(t + h) - min(t))::BIGINT AS height, avg(CASE WHEN sure >= 0 THEN sure END)::DOUBLE AS confidence FROM o GROUP BY image_id, line""")
-def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _word_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = F.when(F.col("l_suppkey") % 4 == 0, "-1").otherwise((F.col("l_partkey") % 100).cast("string"))
     s = lambda c: c.cast("string")
     cells = [F.lit("5"), F.lit("1"), (F.col("l_linenumber") % 2).cast("string"), F.lit("1"), s(F.col("l_linenumber")), F.lit("1"), s(F.col("l_partkey")), s(F.col("l_suppkey")), s(F.col("l_quantity").cast("long")), s(F.col("l_linenumber") + 5), sure, F.concat(F.lit(" "), F.col("l_returnflag"), s(F.col("l_partkey")), F.lit(" "))]
     row = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", F.concat_ws("\t", *cells).alias("text"))
     rows = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["text"])
     noise = F.array(F.lit("level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"), F.lit("1\t1\t0\t0\t0\t0\t0\t0\t9\t9\t-1\t"), F.lit(""))
-    tables = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.array_join(F.concat(noise, rows), "\r\n").alias("tsv"))
-    return ocr.lines(tables).drop("first")
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.array_join(F.concat(noise, rows), "\r\n").alias("tsv"))
+
+
+@_query("""WITH w AS (SELECT l_orderkey AS image_id, l_linenumber AS line, l_partkey AS l, l_suppkey AS t, (l_quantity::BIGINT) AS w, l_linenumber + 5 AS h, CASE WHEN l_suppkey % 4 = 0 THEN -1 ELSE l_partkey % 100 END AS sure, l_shipdate, l_extendedprice, l_returnflag || l_partkey AS text FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY l, t, l_extendedprice, l_shipdate) AS ord FROM w)
+SELECT image_id, line::BIGINT AS line, string_agg(text, ' ' ORDER BY l, ord) AS text, min(l) AS x, min(t) AS y, (max(l + w) - min(l))::BIGINT AS width, (max(t + h) - min(t))::BIGINT AS height, avg(CASE WHEN sure >= 0 THEN sure END)::DOUBLE AS confidence FROM o GROUP BY image_id, line""")
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.lines(_word_tables(spark, sf_dir)).drop("first")
+
+
+@_query("""WITH w AS (SELECT l_orderkey AS image_id, l_linenumber AS line, l_partkey AS l, l_suppkey AS t, l_shipdate, l_extendedprice, l_returnflag || l_partkey AS text FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY l, t, l_extendedprice, l_shipdate) AS ord FROM w),
+x AS (SELECT image_id, line, string_agg(text, ' ' ORDER BY l, ord) AS text, min(l) AS x, min(t) AS y, min(ord) AS first FROM o GROUP BY image_id, line)
+SELECT image_id, string_agg(text, '|' ORDER BY y, x, first) AS lines FROM x GROUP BY image_id""")
+def line_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ocr.line_lists(_word_tables(spark, sf_dir))
+    return rows.select("image_id", F.array_join(F.transform("lines", lambda v: v["text"]), "|").alias("lines"))
 
 
 @_query("""SELECT event_id, CASE event_id % 4 WHEN 3 THEN 'UNSUPPORTED_TOOL' END AS code, CASE event_id % 4 WHEN 3 THEN -32601 END AS rpc_code, CASE WHEN event_id % 4 < 3 THEN 'core' END AS route FROM events""")
@@ -350,3 +428,51 @@ def requested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_requested(_table(spark, sf_dir, "region").select("r_regionkey", path.alias("path")))
     message = F.col("error.message")
     return rows.select("r_regionkey", F.col("error.code").alias("code"), F.when(message.startswith("Unable to access image"), "Unable to access image").otherwise(F.regexp_extract(message, "is not a regular file.$", 0)).alias("said"))
+
+
+@_query("""SELECT p_partkey, p_brand AS make, (p_size % 8 + 1)::VARCHAR AS orientation, '"unknown:tag=305:type=99:count=3"' AS software FROM part""")
+def exif_png_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda v, size: _le(F.lit(v), size)
+    make = F.concat(F.col("p_brand").cast("binary"), _raw(b"\0\0\0\0\0"))
+    entry = lambda tag, kind, count, value: F.concat(n(tag, 2), n(kind, 2), _le(count, 4), value)
+    directory = F.concat(n(3, 2), entry(0x010F, 2, F.length(make), n(50, 4)), entry(0x0112, 3, F.lit(1), F.concat(_le(F.col("p_size") % 8 + 1, 2), n(0, 2))), entry(0x0131, 99, F.lit(3), n(1 << 30, 4)), n(0, 4))
+    block = F.concat(_raw(b"II*\0"), n(8, 4), directory, make)
+    png = F.concat(_raw(b"\x89PNG\r\n\x1a\n\0\0\0\0tEXt\0\0\0\0"), _be(F.length(block), 4), _raw(b"eXIf"), block, _raw(b"\0\0\0\0"))
+    webp = F.concat(_raw(b"RIFF\0\0\0\0WEBPVP8 \x01\0\0\0\0\0EXIF"), _le(F.length(block), 4), block)
+    rows = _table(spark, sf_dir, "part").select("p_partkey", exif.exif_fields(F.when(F.col("p_partkey") % 2 == 0, png).otherwise(webp)).alias("m"))
+    make = F.get_json_object(F.concat(F.lit('{"v":'), F.col("m")["Make"], F.lit("}")), "$.v")
+    return rows.select("p_partkey", make.alias("make"), F.col("m")["Orientation"].alias("orientation"), F.col("m")["Software"].alias("software"))
+
+
+@_query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'application/octet-stream' WHEN 1 THEN 'image/' || event_type ELSE 'image/' || upper(event_type) END AS mime FROM events")
+def legacy_mime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    name = F.when(k == 1, F.col("event_type")).when(k == 2, F.upper("event_type")).when(F.col("event_id") % 2 == 0, "")
+    return _table(spark, sf_dir, "events").select("event_id", sniff.mime_of_name(name).alias("mime"))
+
+
+@_query("""SELECT event_id, 'error' AS status, CASE event_id % 6 WHEN 0 THEN 'UNSUPPORTED_TOOL' WHEN 4 THEN 'INVALID_REQUEST' WHEN 5 THEN 'INVALID_REQUEST' ELSE 'INVALID_PARAMS' END AS code,
+CASE event_id % 6 WHEN 0 THEN 'Unsupported tool: read_video' WHEN 1 THEN 'path is required' WHEN 2 THEN 'region is required' WHEN 3 THEN 'region.x is required' ELSE 'Unable to access image' END AS message FROM events""")
+def answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user, k = F.col("user_id").cast("string"), F.col("event_id") % 6
+    at = F.concat(F.lit('"path": "/no/such/place/'), user, F.lit('"'))
+    tool = F.get(F.array(*map(F.lit, ("read_video", "read_image", "crop_region", "read_image", "image_probe", "read_image"))), k.cast("int"))
+    body = (
+        F.when(k == 1, F.concat(F.lit('{"region": {"path": 1, "x": 1, "y": 2, "width": 3, "height": '), user, F.lit('}, "max_pixels": "9"}')))
+        .when(k == 3, F.concat(F.lit('{"region": {"x": "1", "inner": {"x": 1}}, '), at, F.lit("}")))
+        .when(k == 5, F.concat(F.lit(r'{"note": "\"path\": 7", "region": {"path": 1, "x": 1, "y": 1, "width": 1, "height": 1}, '), at, F.lit("}")))
+        .otherwise(F.concat(F.lit("{"), at, F.lit("}")))
+    )
+    rows = read.answer(_table(spark, sf_dir, "events").select("event_id", tool.alias("tool"), body.alias("input")))
+    value = lambda name: F.get_json_object("answer", f"$.{name}")
+    return rows.select("event_id", value("status").alias("status"), value("code").alias("code"), F.regexp_replace(value("message"), "^(Unable to access image).*$", "$1").alias("message"))
+
+
+@_query("""SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'path must be a non-empty string' WHEN 2 THEN 'include_ocr must be a boolean' WHEN 3 THEN 'region.width must be a whole number' WHEN 4 THEN 'max_region_dimension must be a positive integer'
+WHEN 5 THEN 'ocr_languages must be an array of non-empty strings' WHEN 7 THEN 'path must be a non-empty string' END AS message FROM events""")
+def strict_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.col("user_id").cast("string")
+    texts = ["{}", '{"path": ""}', '{"path": "/a", "include_ocr": "yes"}', '{"path": "/a", "region": {"x": 0, "y": 0, "width": 0, "height": 1}}', '{"path": "/a", "max_region_dimension": 0}',
+             '{"path": "/a", "ocr_languages": ["eng", ""]}', '{"path": "/a", "include_metadata": false, "region": {"x": 1, "y": 2, "width": 3, "height": 4}, "ocr_languages": []}', "not json"]
+    text = F.get(F.array(F.concat(F.lit('{"path": "/in/'), user, F.lit('"}')), *map(F.lit, texts[1:])), (F.col("event_id") % 8).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", read.strict_error(text)["message"].alias("message"))

