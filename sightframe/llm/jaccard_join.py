@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ from .text import mix, shingle_sets, words
 WINDOW, LATER_WINDOW = 3, 4096
 #: Bits of the smallest parity sketch that is compared before the sets.
 LEAST_BITS = 1024
-#: Pairs that are looked through for repeated ones at once.
-PAIR_ROWS = 1 << 19
+#: Pairs that are looked through for repeated ones at once, and whose sketches are compared at once.
+PAIR_ROWS, PAIRS_AT_ONCE = 1 << 19, 1 << 12
 #: Rows of one output batch.
 OUT_ROWS = 1 << 16
 
@@ -241,19 +242,34 @@ def _outline_rows(n_words: int):  # noqa: ANN202
 
 def _near(threshold: tuple[int, int]):  # noqa: ANN202
     """Pairs whose sizes and sketches leave it possible that they are similar."""
+    num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(len(batch), bool)
-            size_a, size_b, sketch_a, sketch_b = (batch.column(i).to_pylist() for i in range(2, 6))
-            for i, (m, n, x, y) in enumerate(zip(size_a, size_b, sketch_a, sketch_b)):
-                good[i] = _possible(m, x, n, y, threshold)
+            m, n = (batch.column(i).to_numpy() for i in (2, 3))
+            most = (m + n) * (den - num) // (den + num)
+            good = np.abs(m - n) <= most
+            lengths = np.stack([pc.binary_length(batch.column(i)).to_numpy() for i in (4, 5)])
+            for x, y in np.unique(lengths[:, good], axis=1).T.tolist():
+                rows = np.flatnonzero(good & (lengths[0] == x) & (lengths[1] == y))
+                for at in range(0, len(rows), PAIRS_AT_ONCE):
+                    part = rows[at : at + PAIRS_AT_ONCE]
+                    one, two = (_sketches(batch.column(4 + i), part, min(x, y)) for i in (0, 1))
+                    good[part] = np.bitwise_count(one ^ two).sum(1, dtype=np.int64) <= most[part]
             keep = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
 
+def _sketches(column: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sketches of equal length as rows of 64-bit words, folded to ``size`` bytes."""
+    x = np.frombuffer(b"".join(column.take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1)
+    while x.shape[1] * 8 > size:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
 def _possible(m: int, x: bytes, n: int, y: bytes, threshold: tuple[int, int]) -> bool:
     num, den = threshold
     most = (m + n) * (den - num) // (den + num)
