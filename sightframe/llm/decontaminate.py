@@ -5,7 +5,8 @@ lie on diagonals (place in the document minus place in the text) at most e apart
 of diagonals, each overlapping the next by half; bands that reach the count are verified by banded alignment. The
 counting loses nothing, so the result is that of aligning every text with every document.
 
-Characters are compared as letters and digits in lower case, with everything between them as one space.
+Characters are compared as letters and digits in lower case, with everything between them as one space. Texts that are
+shorter than a q-gram are looked for as they are, as whole words in a row.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ Q, EDITS = 12, 0.05
 #: Characters of benchmark texts that are sent to the tasks at once; more of them are searched for in further passes.
 BLOCK_CHARS = 4_000_000
 #: Characters of documents that are searched at once, unless a single one is longer.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 _TABLE_BITS = 22
 _BASE = 0x9E3779B97F4A7C15
 LEAKS = "doc_id long, item_id long, start_char long, end_char long, edits int"
@@ -78,16 +79,20 @@ class Texts:
     item: np.ndarray  # of each gram
     place: np.ndarray
     table: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: hashes, sorted, and the texts that they are of
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Texts | None:
         ids, chars, grams, item, place, edits, least = [], [], [], [], [], [], []
+        brief: dict[int, list[tuple[int, int]]] = {}
         for key, text in rows:
             c, _ = normal(text)
             c = c[:-1] if len(c) and c[-1] == 0x20 else c
-            if len(c) < Q:
+            if 0 < len(c) < Q:
+                brief.setdefault(len(c), []).append((int(_hashed(c, np.zeros(1, np.int64), len(c))[0]), len(ids)))
+            elif not len(c):
                 continue
-            e = min(int(len(c) * EDITS), len(c) // Q - 1)
+            e = max(0, min(int(len(c) * EDITS), len(c) // Q - 1))
             g = qgrams(c)
             grams.append(g)
             item.append(np.full(len(g), len(ids)))
@@ -95,17 +100,35 @@ class Texts:
             ids.append(key)
             chars.append(c)
             edits.append(e)
-            least.append(len(c) + 1 - Q * (e + 1))
+            least.append(len(c) + 1 - Q * (e + 1) if len(c) >= Q else 1 << 40)
         if not ids:
             return None
         g, i, p = np.concatenate(grams), np.concatenate(item), np.concatenate(place)
         order = np.argsort(g, kind="stable")
         table = np.zeros(1 << _TABLE_BITS, bool)
         table[g >> np.uint64(64 - _TABLE_BITS)] = True
-        return cls(ids, chars, np.array(edits), np.array(least), g[order], i[order], p[order], table)
+        short = {n: tuple(np.array(x) for x in zip(*sorted(rows))) for n, rows in brief.items()}
+        return cls(ids, chars, np.array(edits), np.array(least), g[order], i[order], p[order], table, short)
 
     def find(self, chars: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """Text, first and last-but-one place, and edits, of every band that verifies."""
+        """Text, first and last-but-one place, and edits, of every band that verifies, and of short texts."""
+        return self._brief(chars) + self._long(chars)
+
+    def _brief(self, chars: np.ndarray) -> list[tuple[int, int, int, int]]:
+        wall = np.concatenate([[True], (chars == 0) | (chars == 0x20), [True]])
+        begins, found = np.flatnonzero(wall[:-2] & ~wall[1:-1]), []
+        for n, (hashes, items) in self.short.items():
+            at = begins[begins + n <= len(chars)]
+            at = at[wall[at + n + 1]]
+            h = _hashed(chars, at, n)
+            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+            for k in np.flatnonzero(high > low).tolist():
+                found += [(int(i), int(at[k]), int(at[k]) + n, 0) for i in items[low[k] : high[k]] if np.array_equal(chars[at[k] : at[k] + n], self.chars[i])]
+        return found
+
+    def _long(self, chars: np.ndarray) -> list[tuple[int, int, int, int]]:
+        if not len(self.grams):
+            return []
         g = qgrams(chars)
         hit = np.flatnonzero(self.table[g >> np.uint64(64 - _TABLE_BITS)])
         span = max(len(c) for c in self.chars) + int(self.edits.max())
@@ -181,6 +204,15 @@ def aligned(text: np.ndarray, chars: np.ndarray, low: int, high: int, most: int)
     return int(begin[j]), end, int(cost[j])
 
 
+def _hashed(chars: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n characters from each place ``at`` on."""
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = out * np.uint64(_BASE) + chars[at + k].astype(np.uint64) + np.uint64(1)
+    return out
+
+
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     a, size = 0, 0
     for i, t in enumerate(texts):
@@ -222,8 +254,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Texts]
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per benchmark text in a document, with its characters there and the number of edits.
 
-    Null and empty texts hold nothing; benchmark texts that are null or of fewer than Q compared characters are not
-    looked for. Rows that repeat a doc_id or have none are searched like any other. With an empty table on either side
+    Null and empty texts hold nothing; benchmark texts that are null or have no compared characters are not looked for,
+    and those of fewer than Q must be there exactly, as whole words. Rows that repeat a doc_id or have none are searched like any other. With an empty table on either side
     the result is empty; other columns are not read.
     """
     spark = docs.sparkSession

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Length of a profile; characters that are worked on at once; distinct n-grams that a task holds before it passes them on.
-PROFILE, CHUNK_CHARS, HELD = 300, 1 << 20, 1 << 21
+PROFILE, CHUNK_CHARS, HELD = 300, 1 << 18, 1 << 21
 UNKNOWN = "und"
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, embedding_dedup, html_extract, language_id, packing, quality, sharding, substring_dedup, url_filter
 from .jaccard_join import jaccard_join
+from .store import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +29,9 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"), 8)
+    docs, path = _table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}"
+    sharding.write_map(spark, sharding.new_map(*sharding.slot_sums(sharding.records(docs, "doc_id", "text")), 8), path)
+    return sharding.shard(docs, 8, sharding.read_map(spark, path))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def shard(docs: DataFrame, n_shards: int = 8, made: SlotMap | None = None, id_co
     Without ``made`` a first map is made from the table's own sums, so shards differ by less than the smallest slot
     they were filled with (the law ``bytes``). ``slot`` numbers the rows of a shard without gaps from 0: rows are
     numbered within their virtual slot, and the map's row counts say where each virtual slot begins, so no window is
-    larger than a virtual slot. With a map made for other rows the numbers may have gaps or collide; make it anew.
+    larger than a virtual slot. Of a given map only the shards of its slots count: rows are counted anew.
 
     A null text has size 1 and a null text_crc32; a null doc_id takes part like any other. Rows that repeat in all
     columns get numbers of their own. An empty table gives an empty result; other columns are not read.
@@ -132,8 +132,8 @@ def shard(docs: DataFrame, n_shards: int = 8, made: SlotMap | None = None, id_co
     from pyspark.sql import Window
 
     rows = records(docs, id_col, text_col)
-    if made is None:
-        made = new_map(*slot_sums(rows), n_shards)
+    counted = slot_sums(rows)
+    made = new_map(*counted, n_shards) if made is None else SlotMap(made.version, made.n_shards, made.shard, *map(tuple, counted))
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     at = F.col("virtual_slot")
     return rows.select(

@@ -16,6 +16,33 @@ import corpus_pipeline
 from sightframe.llm import decontaminate, html_extract, language_id, packing, quality, queries, sharding, url_filter
 
 SF = "/root/testdata/sf0.001"
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def split(t):
+    return [w for w in re.split("[\x20\x09-\x0d]+", (t or "").translate(LOWER)) if w]
+
+
+def shingles(t, n):
+    w = split(t)
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
+
+
+def components(sets, num, den):
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in sets}
 
 
 def plain(s):
@@ -100,6 +127,38 @@ def test_language_by_hand(spark):
     assert got == want
 
 
+def test_language_by_brute_force(spark, documents):
+    """Profiles, distances, predictions and scores, counted one by one."""
+    rows = documents.collect()
+
+    def grams(t):
+        out = {}
+        for w in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in t.lower())):
+            for n in (1, 2, 3):
+                for i in range(len(w) + 3 - n):
+                    g = f" {w} "[i : i + n]
+                    if len(g) == n and (n > 1 or g != " "):
+                        out[g] = out.get(g, 0) + 1
+        return out
+
+    code = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(g))
+    ranked = lambda counts: sorted(counts, key=lambda g: (-counts[g], code(g)))[: language_id.PROFILE]
+    totals = {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None:
+            mine = totals.setdefault(r["lang"], {})
+            for g, n in grams(r["text"] or "").items():
+                mine[g] = mine.get(g, 0) + n
+    profiles = {lang: {g: i for i, g in enumerate(ranked(c))} for lang, c in totals.items()}
+    got = {r["doc_id"]: r for r in language_id.language_id(documents).collect()}
+    for r in rows[:120]:
+        mine = ranked(grams(r["text"] or ""))
+        far = {lang: sum(min(abs(p[g] - i), language_id.PROFILE) if g in p else language_id.PROFILE for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[r["doc_id"]]["lang_pred"] == best
+        assert abs(got[r["doc_id"]]["score"] - (1 - far[best] / (language_id.PROFILE * len(mine)))) < 1e-12
+
+
 def test_language_odd_rows(docs):
     got = {r["doc_id"]: r for r in language_id.language_id(docs([(1, None), (2, "12 3!"), (3, "word"), (3, "word"), (None, "word"), (4, "")])).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 4)] == ["und"] * 3 and got[1]["score"] == 0 and not got[None]["held_out"]
@@ -113,14 +172,20 @@ def test_quality_held_out(spark):
     got = quality.score(rows, model).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
     share = lambda f: np.mean([r["kept"] for r in got if f(r)])
     assert share(lambda r: r["quality"] == 1 and r["toxic"] == 0) > 0.98
-    assert share(lambda r: r["quality"] == 0) < 0.03 and share(lambda r: r["toxic"] == 1) < 0.4
+    assert share(lambda r: r["quality"] == 0) < 0.03 and share(lambda r: r["toxic"] == 1) < 0.2
+    assert (model.weights > 0).sum() > 20 and (model.weights < 0).sum() > 5
+    bare = {r["doc_id"]: r["kept"] for r in quality.score(rows, quality.fit(rows, None)).collect()}
+    assert np.mean([bare[r["doc_id"]] for r in got if r["quality"] == 1 and r["toxic"] == 0]) > 0.98
+    assert np.mean([bare[r["doc_id"]] for r in got if r["quality"] == 0]) < 0.05  # what toxic documents have in common only annotations tell
 
 
 def test_labeller_model():
     rng = np.random.default_rng(0)
     bad = rng.random(4000) < 0.2
     votes = np.full((len(quality.LABELLERS), 4000), -1)
-    for k, (hit, miss) in enumerate([(0.7, 0.02), (0.5, 0.05), (0.6, 0.01)]):
+    votes[0] = -1  # one that never says anything
+    votes[6] = np.where(rng.random(4000) < 0.4, np.where(rng.random(4000) < 0.9, bad, ~bad), -1)  # an annotator who errs at times
+    for k, (hit, miss) in enumerate([(0.7, 0.02), (0.5, 0.05), (0.6, 0.01)], 1):
         votes[k] = np.where(rng.random(4000) < np.where(bad, hit, miss), 1, 0)
     patterns, counts = np.unique(((votes + 1) * 3 ** np.arange(len(votes))[:, None]).sum(0), return_counts=True)
     posterior = quality.fit_labellers(dict(zip(patterns.tolist(), counts.tolist())))
@@ -348,18 +413,72 @@ def test_best_fit_is_tightest():
 
 
 def test_pipeline(spark, documents):
+    """Every stage on all that the one before it kept, against brute force."""
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "substring_dedup", "benchmark_decontamination", "best_fit_packing"]
-    out = documents
+    kept = [documents]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        new = stage(spark, out, SF)
+        new = stage(spark, kept[-1], SF)
         assert new.columns == documents.columns
-        out = spark.createDataFrame(new.collect(), new.schema)
-    kept = {r["doc_id"] for r in out.collect()}
-    placed = corpus_pipeline.STAGES[-1][1](spark, out, SF)
-    assert {r["doc_id"] for r in placed.collect()} == kept and 0.3 < len(kept) / documents.count() < 0.95
+        kept.append(spark.createDataFrame(new.collect(), new.schema))
+    rows = [{r["doc_id"]: r for r in df.collect()} for df in kept]
+    scores = quality.score(documents, quality.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))).collect()
+    assert set(rows[1]) == {r["doc_id"] for r in scores if r["bad_score"] < quality.REJECT}
+    sets = {i: shingles(r["text"], 5) for i, r in rows[1].items()}
+    roots = components(sets, 4, 5)
+    assert set(rows[2]) == {i for i, root in roots.items() if i == root}
+    for i, r in rows[3].items():  # what is left is what was there, without passages that others have
+        assert set(split(r["text"])) <= set(split(rows[2][i]["text"])) and r["n_chars"] == len(r["text"])
+    bench = [plain(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert set(rows[4]) == {i for i, r in rows[3].items() if not any(f" {b} " in f" {plain(r['text'])} " for b in bench)}
+    placed = corpus_pipeline.STAGES[-1][1](spark, kept[-1], SF).collect()
+    for i, r in rows[4].items():
+        assert sum(p["n_words"] for p in placed if p["doc_id"] == i) == len(split(r["text"]))
+    assert {r["doc_id"] for r in placed} == set(rows[4]) and 0.3 < len(rows[4]) / documents.count() < 0.95
     assert corpus_pipeline.STAGES[1][1](spark, documents.limit(0), SF).count() == 0
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeats, several texts of one doc_id, maps, and columns with the names that the stages use inside."""
+    rng = np.random.default_rng(9)
+    say = lambda n: " ".join(f"t{k}" for k in rng.integers(0, 10**6, n))
+    one, two, three = say(80), say(80), say(80)
+    texts = [(1, one), (1, one), (1, two), (2, None), (3, ""), (None, three), (None, three), (4, one), (5, " \n"), (6, say(70) + " " + three)]
+    names = "place place_ cuts mark key doc copy spans tokens _place _spans pattern vote doc_id_"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, more map<string,int>, " + ", ".join(f"{n} int" for n in names.split())
+    df = spark.createDataFrame([(i, t, "en", None, None, {"a": k}, *range(len(names.split()))) for k, (i, t) in enumerate(texts)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        got = out.collect()
+        if name != "best_fit_packing":
+            assert out.columns == df.columns
+        if name == "ngram_jaccard_join":  # one row of (1, one) stays, and all texts of a doc_id do
+            assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "3", "5", "6", "None", "None"]
+        if name == "substring_dedup":
+            assert {r["doc_id"] for r in got} == {1, 2, 3, 5, 6, None} and len(got) == 9
+        if name == "benchmark_decontamination":
+            assert len(got) == len(texts)
+        if name == "best_fit_packing":
+            assert sorted(r["n_words"] for r in got) == [0, 0, 0, 80, 80, 80, 80, 80, 80, 150]
+
+
+def test_leaks_short_items(spark, docs):
+    """Items shorter than a q-gram are found as whole words, and nowhere else."""
+    bench = spark.createDataFrame([(1, "Cat sat up"), (2, "x9"), (3, "--"), (4, "cat sat up!")], "item_id long, text string")
+    df = docs([(1, "The cat, sat UP there"), (2, "bobcat sat up"), (3, "cat sat upon x9"), (4, "x90 cat sat"), (5, "cat sat"), (6, "up x9"), (7, "cat sat up")])
+    got = sorted((r["doc_id"], r["item_id"], r["start_char"], r["end_char"], r["edits"]) for r in decontaminate.benchmark_leaks(df, bench).collect())
+    assert got == [(1, 1, 4, 15, 0), (1, 4, 4, 15, 0), (3, 2, 13, 15, 0), (6, 2, 3, 5, 0), (7, 1, 0, 10, 0), (7, 4, 0, 10, 0)]
+
+
+def test_sharding_by_a_given_map(docs):
+    """With a map that was made for other rows the numbers of a shard still have no gaps."""
+    first, second = docs([(i, "x" * (i % 90)) for i in range(300)]), docs([(i, "y" * (i % 70)) for i in range(200, 700)])
+    made = sharding.rebalance(sharding.new_map(*sharding.slot_sums(sharding.records(first, "doc_id", "text")), 8), *sharding.slot_sums(sharding.records(first, "doc_id", "text")), 9)
+    got = sharding.shard(second, 9, made).collect()
+    for s in range(9):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    assert all(made.shard[r["virtual_slot"]] == r["shard"] for r in got)
+
+
 def test_rest_without_llm(tmp_path):
     """Without this package and the pipeline the entry point and its other queries are still there."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -369,9 +488,12 @@ shutil.copytree({root!r} + "/sightframe", {str(tmp_path)!r} + "/sightframe", ign
 shutil.copy({root!r} + "/__spark_entry__.py", {str(tmp_path)!r})
 sys.path[:] = [{str(tmp_path)!r}] + [p for p in sys.path if p not in ("", {root!r})]
 import __spark_entry__ as e, json
-print(json.dumps(sorted(e.queries())))
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print(json.dumps([sorted(e.queries()), e.queries()["tool_routes"](spark, {SF!r}).count()]))
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env, check=True)
-    names = json.loads(done.stdout.strip().splitlines()[-1])
+    names, rows = json.loads(done.stdout.strip().splitlines()[-1])
+    assert rows == 1000
     assert "probe_png" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
