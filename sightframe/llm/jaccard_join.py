@@ -15,8 +15,8 @@ the two documents of a similar pair do, a block in which they agree is kept by b
 
 Equal words are found by sorting on them. In a run of documents with the same word each one is paired with the first
 and, in short runs, with all others. Longer runs are looked at again after the pairs have been verified: where they
-reach into different components, rows of these are compared by sketch, and the pairs that remain are verified in turn,
-until nothing is open. So a group of n near copies costs n pairs, not n squared, and the result is exact up to
+reach into different components, rows of these are compared by sketch, block by block, and the pairs that remain are
+verified in turn. So a group of n near copies costs n pairs, not n squared, and the result is exact up to
 collisions of 64-bit hashes.
 """
 
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +33,10 @@ from .groups import KeyRuns, connected_components, mapped
 from .store import materialize
 from .text import mix, shingle_sets, words
 
-#: A run of one row more is short; rows before it in a run that a document is compared with in the next round.
-WINDOW, LATER_WINDOW = 3, 4096
+#: A run of one row more is short.
+WINDOW = 3
+#: Rows of a block of a longer run; rows of it that are compared with another block's at once.
+BLOCK, ROWS_AT_ONCE = 2048, 64
 #: Bits of the smallest parity sketch that is compared before the sets.
 LEAST_BITS = 1024
 #: Pairs that are looked through for repeated ones at once, and whose sketches are compared at once.
@@ -177,33 +178,49 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _out(PAIR, *_distinct(held), names)
 
 
-def _later_rows(window: int, threshold: tuple[int, int]):  # noqa: ANN202
-    """Pairs of different components within ``window`` rows of a run, where sizes and sketches leave them possible."""
-    names = ["kind", "a", "b"]
+def _block_pairs(threshold: tuple[int, int]):  # noqa: ANN202
+    """Pairs of different components in the runs of equal (key, part) of sorted rows, where sizes and sketches leave them possible.
+
+    A part is one block of a key's rows, or two, whose rows then meet those of the other one.
+    """
+    num, den = threshold
+
+    def pairs(part: int, side: np.ndarray, doc: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: list[bytes]) -> Iterator[np.ndarray]:
+        mixed = part >> 31 != part & ((1 << 31) - 1)
+        left, right = (np.flatnonzero(side == k) if mixed else np.arange(len(doc)) for k in (0, 1))
+        for at in range(0, len(left), ROWS_AT_ONCE):
+            i = left[at : at + ROWS_AT_ONCE]
+            m, n = size[i][:, None], size[right][None, :]
+            good = (root[i][:, None] != root[right][None, :]) & (np.abs(m - n) <= (m + n) * (den - num) // (den + num))
+            x, y = np.nonzero(good if mixed else good & (i[:, None] < right[None, :]))
+            x, y = i[x], right[y]
+            for k in range(0, len(x), PAIRS_AT_ONCE):
+                u, v = x[k : k + PAIRS_AT_ONCE], y[k : k + PAIRS_AT_ONCE]
+                near = _close([sketch[j] for j in u.tolist()], [sketch[j] for j in v.tolist()], (size[u] + size[v]) * (den - num) // (den + num))
+                yield np.sort(np.stack([doc[u[near]], doc[v[near]]]), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, opened, held = KeyRuns(window), OpenRuns(window + 1), []
-        sketches: dict[int, tuple[int, bytes]] = {}
+        held: list | None = None
+
+        def out(rows: list) -> Iterator[pa.RecordBatch]:
+            for both in pairs(int(rows[1][0]), *rows[2:]):
+                yield from _batch(both[0], both[1], names=["a", "b"])
+
         for batch in batches:
-            key, doc, root, size = (batch.column(i).to_numpy() for i in range(4))
-            sketches = {d: sketches[d] for d in (runs.kept[1].tolist() if runs.kept is not None else ())} | dict(zip(doc.tolist(), zip(size.tolist(), batch.column(4).to_pylist())))
-            _, _, index, n = runs.feed(key, doc, root, windows=False)
-            all_key, all_doc, all_root = runs.rows
-            _, rows = opened.feed(key, doc, index)
-            yield from _out(OPEN, rows[:, 0], rows[:, 1], names)
-            found: set[tuple[int, int]] = set()
-            for w in range(1, min(window, int(index.max())) + 1):
-                at = np.arange(max(n, w), len(all_key))
-                at = at[(all_key[at] == all_key[at - w]) & (all_root[at] != all_root[at - w])]
-                found.update(zip(all_doc[at - w].tolist(), all_doc[at].tolist()))
-            good = [p for p in found if p[0] != p[1] and _possible(*sketches[p[0]], *sketches[p[1]], threshold)]
-            if good:
-                held.append(np.sort(np.array(good, np.int64), 1))
-            if sum(map(len, held)) >= PAIR_ROWS:
-                yield from _out(PAIR, *_distinct(held), names)
-                held = []
+            if not len(batch):
+                continue
+            rows = [*(batch.column(i).to_numpy() for i in range(6)), batch.column(6).to_pylist()]
+            edge = [0, *(np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1).tolist(), len(rows[0])]
+            for a, b in zip(edge, edge[1:]):
+                now = [x[a:b] for x in rows]
+                if held and (held[0][0], held[1][0]) == (now[0][0], now[1][0]):
+                    held = [np.concatenate([x, y]) if isinstance(x, np.ndarray) else x + y for x, y in zip(held, now)]
+                    continue
+                if held:
+                    yield from out(held)
+                held = now
         if held:
-            yield from _out(PAIR, *_distinct(held), names)
+            yield from out(held)
 
     return run
 
@@ -249,44 +266,35 @@ def _near(threshold: tuple[int, int]):  # noqa: ANN202
             m, n = (batch.column(i).to_numpy() for i in (2, 3))
             most = (m + n) * (den - num) // (den + num)
             good = np.abs(m - n) <= most
-            lengths = np.stack([pc.binary_length(batch.column(i)).to_numpy() for i in (4, 5)])
-            for x, y in np.unique(lengths[:, good], axis=1).T.tolist():
-                rows = np.flatnonzero(good & (lengths[0] == x) & (lengths[1] == y))
-                for at in range(0, len(rows), PAIRS_AT_ONCE):
-                    part = rows[at : at + PAIRS_AT_ONCE]
-                    one, two = (_sketches(batch.column(4 + i), part, min(x, y)) for i in (0, 1))
-                    good[part] = np.bitwise_count(one ^ two).sum(1, dtype=np.int64) <= most[part]
+            rows = np.flatnonzero(good)
+            for at in range(0, len(rows), PAIRS_AT_ONCE):
+                part = pa.array(rows[at : at + PAIRS_AT_ONCE])
+                good[rows[at : at + PAIRS_AT_ONCE]] = _close(*(batch.column(i).take(part).to_pylist() for i in (4, 5)), most[rows[at : at + PAIRS_AT_ONCE]])
             keep = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
 
-def _sketches(column: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+def _close(one: list[bytes], two: list[bytes], most: np.ndarray) -> np.ndarray:
+    """Whether sketches differ in no more bits than ``most``, pair by pair; a longer one is folded to the other's length."""
+    good = np.zeros(len(one), bool)
+    lengths = np.array([[len(x) for x in one], [len(y) for y in two]]).reshape(2, -1)
+    for p, q in np.unique(lengths, axis=1).T.tolist():
+        rows = np.flatnonzero((lengths[0] == p) & (lengths[1] == q))
+        x, y = (_folded([all_[j] for j in rows.tolist()], min(p, q)) for all_ in (one, two))
+        good[rows] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most[rows]
+    return good
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
     """Sketches of equal length as rows of 64-bit words, folded to ``size`` bytes."""
-    x = np.frombuffer(b"".join(column.take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1)
+    x = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
     while x.shape[1] * 8 > size:
         x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
     return x
 
 
-def _possible(m: int, x: bytes, n: int, y: bytes, threshold: tuple[int, int]) -> bool:
-    num, den = threshold
-    most = (m + n) * (den - num) // (den + num)
-    if abs(m - n) > most:
-        return False
-    bits = 8 * min(len(x), len(y))
-    p, q = _folded(int.from_bytes(x, "big"), 8 * len(x), bits), _folded(int.from_bytes(y, "big"), 8 * len(y), bits)
-    return (p ^ q).bit_count() <= most
-
-
-def _folded(sketch: int, bits: int, to: int) -> int:
-    while bits > to:
-        bits //= 2
-        sketch = (sketch >> bits) ^ (sketch & ((1 << bits) - 1))
-    return sketch
-
-
 def _set_rows(n_words: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,26 +361,32 @@ def jaccard_join(docs: DataFrame, n_words: int = 5, threshold: tuple[int, int] =
     of = lambda kind: found.where(F.col("kind") == kind).select("a", "b")
     links = of(COPY)
     pairs, open_rows = of(PAIR).distinct(), of(OPEN).select(F.col("a").alias("key"), F.col("b").alias("doc"))
-    window, roots = LATER_WINDOW, None
-    while True:
-        fresh = _verified(known, outlines, materialize(pairs), n_words, threshold)
-        if roots is None or not fresh.isEmpty():
-            links = links.union(fresh)
-            roots = materialize(connected_components(links))
-            links = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        mine = open_rows.join(roots, open_rows.doc == roots.node, "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-        apart = mine.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        again = materialize(mine.join(apart, "key", "left_semi").select("key", "doc", "root"))
-        if again.isEmpty():
-            break
-        pairs, open_rows = _next_pairs(again, outlines, window, threshold)
-        window *= 16
+    links = links.union(_verified(known, outlines, materialize(pairs), n_words, threshold))
+    roots = materialize(connected_components(links))
+    again = materialize(_apart(open_rows, roots))
+    if not again.isEmpty():
+        fresh = _verified(known, outlines, materialize(_later_pairs(again, outlines, threshold)), n_words, threshold)
+        roots = materialize(connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(fresh)))
     return outlines.join(roots, outlines.doc == roots.node, "left").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
 
 
-def _next_pairs(rows: DataFrame, outlines: DataFrame, window: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the open runs that lie in different components, and the rows that stay open after them."""
-    by_key = rows.join(outlines, "doc").select("key", "doc", "root", "size", "sketch").repartition("key").sortWithinPartitions("key", "doc")
-    found = materialize(by_key.mapInArrow(_later_rows(window, threshold), _FOUND))
-    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
-    return pairs, found.where(F.col("kind") == OPEN).select(F.col("a").alias("key"), F.col("b").alias("doc"))
+def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, doc and root of the open rows whose runs reach into different components."""
+    mine = rows.join(roots, rows.doc == roots.node, "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    apart = mine.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return mine.join(apart, "key", "left_semi").select("key", "doc", "root").distinct()
+
+
+def _later_pairs(rows: DataFrame, outlines: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs of the open runs that lie in different components and may be similar.
+
+    A run is cut into blocks by hash, and every two blocks meet once, so no task holds more of a run than two of them.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.select("key", "doc", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    part = F.least("block", "other").cast("long") * (1 << 31) + F.greatest("block", "other")
+    rows = rows.select("key", part.alias("part"), (F.col("block") > F.col("other")).cast("long").alias("side"), "doc", "root")
+    rows = rows.join(outlines.select("doc", "size", "sketch"), "doc").select("key", "part", "side", "doc", "root", "size", "sketch")
+    by_part = rows.repartition("key", "part").sortWithinPartitions("key", "part")
+    return by_part.mapInArrow(_block_pairs(threshold), "a long, b long").distinct()

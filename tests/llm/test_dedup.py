@@ -62,7 +62,8 @@ def near_copies(count, size, seed):
     return out
 
 
-def test_jaccard_hot_group_and_chain(docs):
+def test_jaccard_hot_group_and_chain(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     chain = [(2000 + i, " ".join(f"c{k}" for k in range(4 * i, 4 * i + 120))) for i in range(12)]
     line = "the same line is in every one of these short texts"
     short = [(3000 + i, f"{line} and then {i} {i * i} {i + 5} {i * 3}") for i in range(60)]
