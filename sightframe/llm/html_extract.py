@@ -332,17 +332,18 @@ def wrappers(read: DataFrame) -> DataFrame:
 
 
 class Matcher:
-    """Places of streams in wrappers, those matched last remembered."""
+    """Places of streams in wrappers, and which slots are declared to be outside; those matched last remembered."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, tuple[list[int], list[bool]]] = {}
 
-    def __call__(self, wrapper: str, stream: str) -> list[int]:
+    def __call__(self, wrapper: str, stream: str) -> tuple[list[int], list[bool]]:
         key = xxhash.xxh3_128_digest(f"{wrapper}\n{stream}")
         if key not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[key] = places(json.loads(wrapper), stream.split("\n") if stream else [])
+            tokens = stream.split("\n") if stream else []
+            self.known[key] = places(json.loads(wrapper), tokens), [t[0] == "#" and _outside(t[1:]) for t, _, _ in labelled(tokens)]
         return self.known[key]
 
 
@@ -354,8 +355,10 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, stream, texts, links, slots, wrapper in zip(*(batch.column(i).to_pylist() for i in range(6))):
             if not texts:
                 continue
-            article = xxhash.xxh64_intdigest(max(texts, key=len)) >> 1
-            at, by = match(wrapper, stream), {}
+            (at, outside), by = match(wrapper, stream), {}
+            # Articles are told apart by the two longest blocks that may be theirs: one may be a notice that all pages have.
+            own = [t for t, slot in zip(texts, slots) if not outside[slot]] or texts
+            article = xxhash.xxh64_intdigest("\n".join(sorted(own, key=lambda t: (-len(t), t))[:2])) >> 1
             for text, n, slot in zip(texts, links, slots):
                 by.setdefault(at[slot], []).append((text, n))
             out += [(host, k, article, xxhash.xxh64_intdigest("\n".join(t for t, _ in own)) >> 1, sum(len(t) for t, _ in own), sum(n for _, n in own)) for k, own in by.items()]
@@ -377,7 +380,7 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         said = []
         for stream, texts, links, slots, wrapper, kept in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
-            said.append(text_of(stream, texts, links, slots, match(wrapper, stream), frozenset(kept)))
+            said.append(text_of(stream, texts, links, slots, match(wrapper, stream)[0], frozenset(kept)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array([len(t) for t in said], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 

@@ -329,12 +329,13 @@ def plain_pages(host, n, seed=0):
     rng = np.random.default_rng(seed)
     say = lambda k: " ".join(rng.choice(WORDS, k))
     menu = "<div><ul><li><a href='/1'>Home of everything</a></li><li><a href='/2'>All of our products</a></li></ul></div>"
+    foot = "All rights are reserved by the owners of this site, who wish you a good day and a pleasant stay. " * 4
     out, want = [], []
     for i in range(n):
         parts = [say(int(rng.integers(15, 40))) for _ in range(int(rng.integers(2, 6)))]
         title = f"{say(4)} {i}"
         body = "".join(f"<p>{p}</p>" for p in parts[:-1]) + "<h2>Summary</h2>" + f"<p>{parts[-1]}</p>"
-        out.append((f"http://{host}/{i}", f"<html><body>{menu}<div><h1>{title}</h1><div>{body}</div></div><div><p>All rights are reserved by the owners of this site, who wish you a good day and a pleasant stay.</p></div></body></html>"))
+        out.append((f"http://{host}/{i}", f"<html><body>{menu}<div><h1>{title}</h1><div>{body}</div></div><div><p>{foot}</p></div></body></html>"))
         want.append("\n\n".join([title, *parts[:-1], "Summary", parts[-1]]))
     return out, want
 
