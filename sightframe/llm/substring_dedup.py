@@ -41,6 +41,10 @@ SHORT, ROUNDS = 4, 4
 #: Places in a chunk that fit beside a hash when minima are taken.
 _PLACE_BITS = 28
 OUT_ROWS = 1 << 16
+#: Segments that are looked at together with all others of a pair.
+AT_ONCE = 256
+#: Least share of t tokens in a row that are shared, all along a stretch that may hold a passage, and somewhere in it.
+SPARSE, NEARLY = 0.35, 0.75
 #: Tokens of documents, and rows, that a task divides at once.
 _TOKENS_AT_ONCE, _ROWS_AT_ONCE = 1 << 21, 1 << 12
 #: ``place`` of a row: the token of its min-hash, and how far before it passages begin, at least and at most.
@@ -216,17 +220,34 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(raw)), pa.array(raw, pa.binary())], names=["doc", "tokens"])
 
 
-def _segments(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+def _dense(hit: np.ndarray, t: int) -> np.ndarray:
+    """Tokens that a passage may hold: those in stretches where t in a row are shared in part, and somewhere nearly all.
+
+    A passage in which ``similarity`` of the tokens are shared has t in a row of which so many are.
+    """
+    total = np.concatenate([[0], np.cumsum(hit)])
+    shared = total[t:] - total[:-t]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], shared >= SPARSE * t, [False]]).astype(np.int8)))
+    inside = np.zeros(len(hit) + 1, np.int64)
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        if shared[a:b].max() >= NEARLY * t:
+            inside[a] += 1
+            inside[b + t - 1] -= 1
+    return np.cumsum(inside[:-1]) > 0
+
+
+def _segments(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, t: int) -> np.ndarray:
     """Stretches of equal tokens, as rows (y0, x0, tokens): all on the diagonals given, and those that tokens lead to."""
     order = np.argsort(x, kind="stable")
     ranked = x[order]
     low, high = np.searchsorted(ranked, y), np.searchsorted(ranked, y, "right")
-    once = np.flatnonzero(high - low == 1)
-    hit = np.flatnonzero(high > low)
+    dense = _dense(high > low, t)
+    if not dense.any():
+        return np.zeros((0, 3), np.int64)
+    once = np.flatnonzero((high - low == 1) & dense)
+    hit = np.flatnonzero((high > low) & dense)
     more = np.unique(np.concatenate([diagonals, order[low[once]] - once]))
     # A token with several places in x also counts where it goes on from the diagonal of its neighbours, so these are all.
-    if not len(hit):
-        return np.zeros((0, 3), np.int64)
     rows = []
     for d in more.tolist():
         at = hit[max(0, np.searchsorted(hit, -d)) : np.searchsorted(hit, len(x) - d)]
@@ -244,14 +265,18 @@ def _chains(seg: np.ndarray) -> Iterator[np.ndarray]:
     seg = seg[np.lexsort((seg[:, 1], seg[:, 0]))]
     y0, x0, n = seg.T
     best, back = n.astype(float), np.full(len(seg), -1)
-    for j in range(1, len(seg)):
-        y_gap, x_gap = y0[j] - y0[:j] - n[:j], x0[j] - x0[:j] - n[:j]
+    for first in range(0, len(seg), AT_ONCE):
+        # What a segment adds to a chain that ends with another one, for some segments and all others at once.
+        j = np.arange(first, min(first + AT_ONCE, len(seg)))
+        y_gap, x_gap = y0[j][:, None] - y0 - n, x0[j][:, None] - x0 - n
         over = np.maximum(0, -np.minimum(y_gap, x_gap))
-        score = best[:j] + n[j] - over - 0.05 * (np.maximum(y_gap, 0) + np.maximum(x_gap, 0))
-        score[(over >= n[j]) | (over >= n[:j])] = -1
-        i = int(score.argmax())
-        if score[i] > best[j]:
-            best[j], back[j] = score[i], i
+        gain = n[j][:, None] - over - 0.05 * (np.maximum(y_gap, 0) + np.maximum(x_gap, 0))
+        gain[(over >= n[j][:, None]) | (over >= n)] = -np.inf
+        for k in range(max(first, 1), first + len(j)):
+            score = best[:k] + gain[k - first, :k]
+            i = int(score.argmax())
+            if score[i] > best[k]:
+                best[k], back[k] = score[i], i
     used = np.zeros(len(seg), bool)
     for j in np.argsort(-best, kind="stable").tolist():
         chain = []
@@ -271,7 +296,7 @@ def passages(x: np.ndarray, y: np.ndarray, shifts: np.ndarray, t: int, least: fl
     """
     if len(x) < t or len(y) < t:
         return []
-    seg = _segments(x, y, np.unique(shifts))
+    seg = _segments(x, y, np.unique(shifts), t)
     if seg[:, 2].sum() < least * t:
         return []
     out, taken = [], np.zeros(len(y), bool)
@@ -294,13 +319,16 @@ def passages(x: np.ndarray, y: np.ndarray, shifts: np.ndarray, t: int, least: fl
         # Tokens that are equal up to each segment, without what two segments share.
         over = np.maximum(0, np.maximum(y1[:-1] - y0[1:], x1[:-1] - x0[1:]) + 1)
         equal = np.cumsum(n - np.concatenate([[0], over]))
-        i = 0
-        while i < len(chain):
-            both = equal[i:] - equal[i] + n[i]
-            size = (y1[i:] - y0[i] + 1) + (x1[i:] - x0[i] + 1)
-            ends = i + np.flatnonzero(both * (1 + least) >= least * size)
-            found = next((j for j in ends[::-1].tolist() if take(int(y0[i]), int(y1[j]), int(x0[i]), int(x1[j]))), None)
-            i = i + 1 if found is None else found + 1
+        free = 0
+        for first in range(0, len(chain), AT_ONCE):
+            i = np.arange(first, min(first + AT_ONCE, len(chain)))
+            both = equal - (equal[i] - n[i])[:, None]
+            long, size = y1 - y0[i][:, None] + 1, (y1 - y0[i][:, None] + 1) + (x1 - x0[i][:, None] + 1)
+            ends = (both * (1 + least) >= least * size) & (long >= t) & (np.arange(len(chain)) >= i[:, None])
+            for k in np.flatnonzero(ends.any(1)).tolist():
+                if i[k] >= free:
+                    found = next((j for j in np.flatnonzero(ends[k])[::-1].tolist() if take(int(y0[i[k]]), int(y1[j]), int(x0[i[k]]), int(x1[j]))), None)
+                    free = free if found is None else found + 1
     for y0, x0, n in seg[np.argsort(-seg[:, 2], kind="stable")].tolist():
         if n < t:
             break
