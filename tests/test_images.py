@@ -189,3 +189,142 @@ def test_legacy_options_paths_and_mime(spark, tmp_path):
     texts = [(0, '{"path": "a", "max_region_dimension": 5, "include_metadata": true}'), (1, '{"path": ""}'), (2, '{"path": "a", "include_ocr": 1}'), (3, '{"path": "a", "max_region_dimension": 0}'), (4, None)]
     rows = spark.createDataFrame(texts, "id int, t string").select("id", read.strict_error(F.col("t")).alias("e")).orderBy("id").collect()
     assert [r["e"] is None for r in rows] == [True, False, False, False, False] and "boolean" in rows[2]["e"]["message"]
+
+
+def test_interlaced_png_and_palette_bmp():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (11, 13, 3)).astype(np.uint8)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    passes = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+    raw = b"".join(b"\0" + row.tobytes() for x0, y0, dx, dy in passes for row in x[y0::dy, x0::dx] if row.size)
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 13, 11, 8, 2, 0, 0, 1)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    assert (pixels.decode(data)[:, :, :3] == x).all()
+    colors = rng.integers(0, 256, (16, 3)).astype(np.uint8)
+    for depth, index in ((4, rng.integers(0, 16, (3, 5))), (8, rng.integers(0, 16, (3, 5))), (1, rng.integers(0, 2, (3, 5)))):
+        lines = b""
+        for row in index[::-1]:
+            bits = "".join(f"{v:0{depth}b}" for v in row)
+            lines += int(bits.ljust(-(-len(bits) // 32) * 32, "0"), 2).to_bytes(-(-len(bits) // 32) * 4, "big")
+        table = b"".join(bytes((b, g, r, 0)) for r, g, b in colors)
+        head = struct.pack("<IiiHHIIiiII", 40, 5, 3, 1, depth, 0, 0, 0, 0, 16, 0)
+        bmp = b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + 64) + head + table + lines
+        assert (pixels.decode(bmp)[:, :, :3] == colors[index]).all()
+
+
+def lzw(values, least, big, early):
+    """Codes of LZW, without forgetting the table."""
+    codes, table, width, now = [(1 << least, least + 1)], {(i,): i for i in range(1 << least)}, least + 1, ()
+    size = (1 << least) + 2
+    for v in values:
+        if (*now, v) in table:
+            now = (*now, v)
+            continue
+        codes.append((table[now], width))
+        table[(*now, v)], size = size, size + 1
+        if size + early > 1 << width:
+            width += 1
+        now = (v,)
+    codes += [(table[now], width)]
+    width += size + 1 + early > 1 << width
+    codes += [((1 << least) + 1, width)]
+    bits = "".join(f"{c:0{w}b}" if big else f"{c:0{w}b}"[::-1] for c, w in codes)
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8] if big else bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+
+
+def test_gif_and_tiff():
+    rng = np.random.default_rng(4)
+    colors, index = rng.integers(0, 256, (8, 3)).astype(np.uint8), rng.integers(0, 8, (9, 14))
+    for interlace in (0, 0x40):
+        order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, 9, step)] if interlace else range(9)
+        packed = lzw(np.concatenate([index[y] for y in order]).tolist(), 3, False, 0)
+        blocks = b"".join(bytes([len(packed[i : i + 255])]) + packed[i : i + 255] for i in range(0, len(packed), 255)) + b"\0"
+        gif = b"GIF89a" + struct.pack("<HHBBB", 16, 10, 0x82, 0, 0) + colors.tobytes() + b"!\xf9\x04\x01\0\0\x05\0" + struct.pack("<BHHHHB", 0x2C, 1, 1, 14, 9, interlace) + b"\x03" + blocks + b";"
+        got = pixels.decode(gif)
+        assert got.shape == (10, 16, 4) and (got[0] == 0).all() and (got[1:, 1:15, 3] == np.where(index == 5, 0, 255)).all()
+        assert (got[1:, 1:15, :3][index != 5] == colors[index[index != 5]]).all()
+    x = rng.integers(0, 256, (7, 6, 3)).astype(np.uint8)
+    x[2:5] = 7
+    differences = np.diff(x.astype(np.uint8), axis=1, prepend=np.zeros((7, 1, 3), np.uint8)).astype(np.uint8)
+    runs = lambda raw: b"".join(bytes([0, v]) for v in raw) + b"\x80"
+    for order in "<>":
+        for packing, pack, predictor in ((1, bytes, 1), (8, zlib.compress, 1), (5, lambda raw: lzw(list(raw), 8, True, 1), 2), (32773, runs, 1)):
+            rows = differences if predictor == 2 else x
+            strips = [pack(rows[k : k + 3].tobytes()) for k in (0, 3, 6)]
+            tags = [(256, 3, [6]), (257, 3, [7]), (258, 3, [8, 8, 8]), (259, 3, [packing]), (262, 3, [2]), (273, 4, None), (277, 3, [3]), (278, 3, [3]), (279, 4, [len(s) for s in strips]), (317, 3, [predictor])]
+            tail = 8 + 2 + 12 * len(tags) + 4
+            places, extra = [tail + 100 + sum(map(len, strips[:k])) for k in range(3)], b""
+            entries = b""
+            for tag, kind, values in tags:
+                raw = struct.pack(f"{order}{len(values or places)}{'H' if kind == 3 else 'I'}", *(values or places))
+                entries += struct.pack(order + "HHI", tag, kind, len(values or places)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", tail + len(extra)))
+                extra += raw if len(raw) > 4 else b""
+            tiff = (b"II" if order == "<" else b"MM") + struct.pack(order + "HIH", 42, 8, len(tags)) + entries + b"\0" * 4 + extra.ljust(100, b"\0") + b"".join(strips)
+            assert (pixels.decode(tiff)[:, :, :3] == x).all(), (order, packing)
+    for broken in (b"GIF89a", b"II*\0\x08\0\0\0\x01", b"\xff\xd8\xff\xc0\0\x11\x08\0\x09\0\x09\x03" + b"\0" * 11, b"\xff\xd8\xff\xc2\0\x04\0\0"):
+        with pytest.raises(pixels.CannotDecode):
+            pixels.decode(broken)
+
+
+def test_colour_jpeg():
+    """Three components, the two of colour with a quarter of the samples, and an interval after which differences begin anew."""
+    segment = lambda kind, body: bytes((0xFF, kind)) + struct.pack(">H", len(body) + 2) + body
+
+    def bits(v, before):
+        size = abs(v - before).bit_length()
+        return f"{size:04b}" + (f"{v - before if v > before else v - before + (1 << size) - 1:0{size}b}" if size else "") + "0"
+
+    macro = [([60, 70, 80, 90], 100, 140), ([150, 160, 170, 180], 128, 128)]
+    parts = []
+    for ys, cb, cr in macro:  # one macro block to an interval
+        line = "".join(bits(y, b) for y, b in zip(ys, [128, *ys])) + bits(cb, 128) + bits(cr, 128)
+        line += "1" * (-len(line) % 8)
+        parts.append(int(line, 2).to_bytes(len(line) // 8, "big").replace(b"\xff", b"\xff\0"))
+    frame = struct.pack(">BHHB", 8, 16, 32, 3) + b"\x01\x22\0\x02\x11\0\x03\x11\0"
+    codes = segment(0xC4, b"\0" + bytes((0, 0, 0, 9, *[0] * 12)) + bytes(range(9))) + segment(0xC4, b"\x10" + bytes((1, *[0] * 15)) + b"\0")
+    data = b"\xff\xd8" + segment(0xDB, b"\0" + bytes([8] * 64)) + segment(0xC0, frame) + codes + segment(0xDD, b"\0\x01") + segment(0xDA, b"\x03\x01\0\x02\0\x03\0\0\x3f\0") + parts[0] + b"\xff\xd0" + parts[1] + b"\xff\xd9"
+    got = pixels.decode(data)
+    assert got.shape == (16, 32, 4)
+    for m, (ys, cb, cr) in enumerate(macro):
+        for k, y in enumerate(ys):
+            want = [y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)]
+            part = got[8 * (k // 2) : 8 * (k // 2) + 8, 16 * m + 8 * (k % 2) : 16 * m + 8 * (k % 2) + 8, :3].reshape(-1, 3)
+            assert (np.abs(part.astype(float) - np.clip(want, 0, 255)) <= 0.5).all()
+
+
+def test_names_that_operators_use_inside(spark):
+    """Columns of any name pass through probe, crop and the read plan."""
+    names = ["before", "sniffed", "size", "cut", "fields", "said", "tsv", "found", "words", "_go", "_all", "failure", "_format", "_size"]
+    df = spark.createDataFrame([(1, "/a/b.png", bytearray(png(8, 4)), (1, 1, 2, 2), *range(len(names)))], "id int, path string, content binary, region struct<x:long,y:long,width:long,height:long>, " + ", ".join(f"`{n}` int" for n in names))
+    for profile in ("shipped", "legacy"):
+        r = read.read_image(df, profile).first()
+        assert r["error"] is None and r["twin"]["region_evidence"]["dimensions"]["width"] == 2 and [r[n] for n in names] == list(range(len(names)))
+
+
+def test_recognised_text_in_legacy_read(spark, tmp_path, monkeypatch):
+    tool = tmp_path / "tool"
+    tool.write_text("#!/bin/sh\n[ \"$1\" = --version ] && exit 0\ncat > /dev/null\nprintf 'level\\tp\\tb\\tq\\tline\\tw\\tleft\\ttop\\twidth\\theight\\tconf\\ttext\\n5\\t1\\t1\\t1\\t1\\t1\\t9\\t8\\t7\\t6\\t90\\tword\\n'\n")
+    tool.chmod(0o755)
+    rows = spark.createDataFrame([(1, bytearray(png(8, 4))), (2, None)], "image_id int, content binary").withColumn("ocr_languages", F.array(F.lit("eng")))
+    got = {r["image_id"]: r for r in ocr.recognise(rows, str(tool)).collect()}
+    assert got[1]["tsv"].endswith("word\n") and got[1]["skipped_reason"] is None and got[2]["tsv"] is None
+    assert [r["lines"][0]["text"] for r in ocr.line_lists(ocr.recognise(rows, str(tool))).collect()] == ["word"]
+    gone = ocr.recognise(rows, "/no/such/tool").collect()[0]
+    assert gone["tsv"] is None and "not installed" in gone["skipped_reason"]
+    asked = spark.createDataFrame([("/x/a.png", bytearray(png(8, 4)), True), ("/x/b.png", bytearray(png(8, 4)), False)], "path string, content binary, include_ocr boolean")
+    twins = {r["path"]: r["twin"] for r in read.read_image(asked, "legacy").collect()}
+    assert twins["/x/a.png"]["ocr"]["lines"] == [] and twins["/x/a.png"]["ocr"]["available"] in (True, False) and twins["/x/b.png"]["ocr"] is None
+
+
+def test_exif_chain_and_unknown_kinds():
+    """A long chain of directories is walked to its end, and a value of an unknown kind is told whatever its size."""
+    n, block = 3000, b"II*\0" + struct.pack("<I", 8)
+    for i in range(n):
+        block += struct.pack("<HHHII", 1, 0x8769, 4, 1, 8 + 18 * (i + 1)) + b"\0" * 4
+    block += struct.pack("<HHHIIHHI4s", 2, 0x0131, 99, 1 << 30, 0, 0x010F, 2, 3, b"abc\0") + b"\0" * 4
+    assert exif.exif_of(block) == {"Software": f'"unknown:tag=305:type=99:count={1 << 30}"', "Make": '"abc"'}
+
+
+def test_metadata_keys_are_escaped(spark):
+    m = F.create_map(F.lit('a"b\\c'), F.lit("1"))
+    assert json.loads(spark.range(1).select(metadata.metadata_json(m)).first()[0]) == {'a"b\\c': 1}
