@@ -32,7 +32,8 @@ def parse_options(requests: DataFrame, input_col: str = "input") -> DataFrame:
     for name in ("path", "region", "include_metadata", "include_region_image", "include_ocr", "ocr_languages", "max_file_bytes", "max_pixels", "max_region_dimension"):
         value[name] = member(asked, name)
     flag = lambda name, default: F.coalesce(F.when(is_kind(value[name], "BOOLEAN"), F.try_variant_get(value[name], "$", "boolean")), F.lit(default))
-    limit = lambda name, default: F.coalesce(F.least(unsigned(value[name]), F.lit(2**63 - 1)).cast("long"), F.lit(default).cast("long"))
+    top = F.lit(2**63 - 1)
+    limit = lambda name, default: F.when(unsigned(value[name]).isNull(), default).otherwise(F.least(unsigned(value[name]), top)).cast("long")
     region, region_fault = parse_region(value["region"])
     has_region = value["region"].isNotNull()
     path = F.when(is_kind(value["path"], "STRING"), F.try_variant_get(value["path"], "$", "string"))
