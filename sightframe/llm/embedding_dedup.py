@@ -38,7 +38,7 @@ RECALL, BLOCK = 0.98, 2048
 #: Rows of a bucket up to which it is looked at together with others.
 TOGETHER = 32
 #: Vectors no farther than this from the mean are coded without it.
-NEAR = 0.75
+NEAR = 0.66
 FAR_KIND, NEAR_KIND = 0, 1
 
 
