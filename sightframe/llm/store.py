@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +40,30 @@ def cleared(spark: SparkSession) -> Iterator[None]:
     """Delete the steps that are written inside, once the results made of them are written too."""
     before = len(_written)
     yield
+    paths, _written[before:] = _written[before:], []
+    _delete(spark, paths)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function like :func:`materialize` whose tables are deleted at the end; what is made of them is written before that."""
+    mine: list[str] = []
+
+    def temporary(df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        mine.append(_written.pop())
+        return out
+
+    try:
+        yield temporary
+    finally:
+        _delete(spark, mine)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    while len(_written) > before:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

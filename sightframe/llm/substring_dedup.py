@@ -23,7 +23,7 @@ agree in 65 min-hashes, and they have been compared with its first row. No round
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groups import KeyRuns, free_name, mapped
-from .store import materialize
+from .store import materialize, scratch
 from .text import mix, shingle_stream, words
 
 N_WORDS, N_HASHES, MIN_HASHES = 5, 6, 3
@@ -360,6 +360,11 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return mapped(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_token_rows, "doc long, tokens binary")
 
 
+def _known(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of ``tokens`` (doc, tokens) whose documents are in ``wanted`` (doc_id)."""
+    return mapped(tokens.withColumnRenamed("doc", "doc_id"), wanted).withColumnRenamed("doc_id", "doc")
+
+
 def _verified(tokens: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """The passages of ``pairs`` (a, b, shifts), from the tokens of their documents."""
     left = tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("tokens_a"))
@@ -367,7 +372,7 @@ def _verified(tokens: DataFrame, pairs: DataFrame, min_words: int, similarity: f
     return pairs.join(left, "a").join(right, "b").select("a", "b", "shifts", "tokens_a", "tokens_b").mapInArrow(_verify(min_words, similarity), SPANS)
 
 
-def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, found: DataFrame, temporary: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id and its rows (key, place) that are still open: no passage found in the document covers their min-hash.
 
     Runs of which rows of only one document are left are done.
@@ -376,7 +381,7 @@ def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
     at = F.shiftright("place", 32)
     covered = F.exists("spans", lambda s: (at >= s["start_word"]) & (at <= s["end_word"] - N_WORDS))
     rows = rows.select(F.col("a").alias("key"), F.col("b").alias("doc_id"), "place").join(spans, "doc_id", "left")
-    rows = materialize(rows.where(~F.coalesce(covered, F.lit(False))).select("key", "doc_id", "place"))
+    rows = temporary(rows.where(~F.coalesce(covered, F.lit(False))).select("key", "doc_id", "place"))
     several = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     return rows.join(several, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("key", "place")).alias("rows"))
 
@@ -412,24 +417,27 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     if not copies.isEmpty():
         others = mapped(docs, copies.select("doc_id")).withColumn("mark", F.unhex(F.md5("text"))).join(copies, ["doc_id", "mark"], "left_anti")
         single = mapped(docs, copies.select("doc_id"), inside=False).union(others.select("doc_id", "text"))
-    rows, found = single.mapInArrow(_window_rows(min_words), _WINDOWS), None
+    rows, found, known = single.mapInArrow(_window_rows(min_words), _WINDOWS), None, None
     for number in range(ROUNDS + 1):
-        by_key = rows.repartition("key").sortWithinPartitions("key", "doc", "place")
-        hits = materialize(by_key.mapInArrow(_pair_rows(number == 0), _PAIRS))
-        pairs = hits.where("place < 0").groupBy("a", "b").agg(F.count("*").alias("hits"), F.collect_set("shift").alias("shifts"))
-        # A row of a later round names more min-hashes than are asked for here.
-        pairs = materialize(pairs.where(F.col("hits") >= (1 if number else MIN_HASHES)).select("a", "b", "shifts"))
-        if number == 0:
-            tokens = materialize(_tokens(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
-        fresh = materialize(_verified(tokens, pairs, min_words, similarity))
-        found = fresh if found is None else found.union(fresh)
-        if number == ROUNDS:
-            break
-        again = materialize(_open(hits.where("place >= 0"), found))
+        with scratch(docs.sparkSession) as temporary:
+            by_key = rows.repartition("key").sortWithinPartitions("key", "doc", "place")
+            hits = temporary(by_key.mapInArrow(_pair_rows(number == 0), _PAIRS))
+            pairs = hits.where("place < 0").groupBy("a", "b").agg(F.count("*").alias("hits"), F.collect_set("shift").alias("shifts"))
+            # A row of a later round names more min-hashes than are asked for here.
+            pairs = temporary(pairs.where(F.col("hits") >= (1 if number else MIN_HASHES)).select("a", "b", "shifts"))
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            tokens = temporary(_tokens(docs, wanted) if known is None else _known(known, wanted))
+            fresh = materialize(_verified(tokens, pairs, min_words, similarity))
+            found = fresh if found is None else found.union(fresh)
+            if number == ROUNDS:
+                break
+            again = materialize(_open(hits.where("place >= 0"), found, temporary))
         if again.isEmpty():
             break
-        if number == 0:  # those of later rounds are among these
-            tokens = materialize(_tokens(docs, again.select("doc_id")))
+        ids = again.select("doc_id")
+        if number == 1:  # few documents are left open, and those of later rounds are among them
+            known = materialize(_tokens(docs, ids))
+        tokens = _tokens(docs, ids) if known is None else _known(known, ids)
         rows = again.join(tokens, F.col("doc_id") == F.col("doc")).select("doc_id", "rows", "tokens").mapInArrow(_divided_rows(t, number + 1), _WINDOWS)
     n, zero = F.col("n_words"), F.lit(0).cast("long")
     whole = copies.select("doc_id", zero.alias("start_word"), n.alias("end_word"), "keep_doc_id", zero.alias("keep_start_word"), n.alias("keep_end_word"), F.lit(1.0).alias("similarity"))
