@@ -264,14 +264,14 @@ def test_url_tree_decides(spark):
     rules = (("block", "spam.org", "/a/"), ("block", "spam.org", "/b/"), ("allow", "spam.org", "/news/"), ("block", "tiny.org", "/a/"))
     made = [f"http://spam.org/{s}/item/{k}" for s in ("a", "b", "c") for k in range(60)]
     made += [f"http://spam.org/{s}/{k}/by/author" for s in ("news", "essay") for k in range(60)]
-    made += [f"http://spam.org/rare/item/{k}" for k in range(3)] + [f"http://tiny.org/{s}/item/{k}" for s in "ac" for k in range(2)]
+    made += [f"http://spam.org/rare/item/{k}" for k in range(3)] + [f"http://spam.org/two/item/{k}" for k in range(2)] + [f"http://spam.org/seven/item/{k}" for k in range(7)] + [f"http://tiny.org/{s}/item/{k}" for s in "ac" for k in range(2)]
     df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
     got = {}
     for r in url_filter.filter_urls(df, rules).collect():
         got.setdefault((r["host"], r["path"].split("/")[1]), set()).add((r["rule"] is None, r["verdict"]))
     assert got == {
         ("spam.org", "a"): {(False, "block")}, ("spam.org", "b"): {(False, "block")}, ("spam.org", "c"): {(True, "block")}, ("spam.org", "news"): {(False, "allow")},
-        ("spam.org", "essay"): {(True, "allow")}, ("spam.org", "rare"): {(True, "allow")}, ("tiny.org", "a"): {(False, "block")}, ("tiny.org", "c"): {(True, "allow")},
+        ("spam.org", "essay"): {(True, "allow")}, ("spam.org", "rare"): {(True, "allow")}, ("spam.org", "two"): {(True, "allow")}, ("spam.org", "seven"): {(True, "allow")}, ("tiny.org", "a"): {(False, "block")}, ("tiny.org", "c"): {(True, "allow")},
     }
     slugs = [f"http://slug.org/{'x' * (i % 20 + 1)}{chr(97 + i % 26)}/a" for i in range(400)]
     assert url_filter.filter_urls(spark.createDataFrame(list(enumerate(slugs)), "page_id long, url string")).count() == 400
