@@ -1,12 +1,11 @@
 """Line dedup, spelling variants and lexical search against plain versions of them."""
 
-import hashlib
+import random
 from collections import Counter
 
-import numpy as np
 import pytest
 
-from sightframe.llm import line_dedup
+from sightframe.llm import line_dedup, spelling
 
 SF = "/root/testdata/sf0.001"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -56,3 +55,64 @@ def test_repeat_filter(spark, docs):
     assert held([f"alone {i}".encode() for i in range(1000)]).sum() < 20
     first = {bytes(r["key"]).decode(): (r["doc_id"], r["line"], r["n"]) for r in line_dedup.first_lines(docs([*rows, (5000, "x\nb\nx"), (None, "b")])).collect()}
     assert first == {f"shared {i}": (i, 0, 2) for i in range(500)} | {"x": (5000, 0, 2), "b": (5000, 1, 2)}
+
+
+def distance_one(w, u):
+    if abs(len(w) - len(u)) > 1 or w == u:
+        return False
+    if len(w) == len(u):
+        return sum(a != b for a, b in zip(w, u)) == 1
+    short, long = sorted((w, u), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def plain_variants(vocab, times):
+    out = {}
+    for w, n in vocab.items():
+        near = [u for u in vocab if distance_one(w, u)]
+        best = min(near, key=lambda u: (-vocab[u], u), default=None)
+        form = best if best is not None and vocab[best] >= times * n else None
+        out[w] = [n, len(near), form, vocab.get(form), w]
+    for w in out:
+        while out[out[w][4]][2] is not None:
+            out[w][4] = out[out[w][4]][2]
+    return {w: tuple(v) for w, v in out.items()}
+
+
+def as_variants(df):
+    return {r["word"]: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("most", [2, 20, 4096])
+def test_variants(spark, most):
+    """Dense vocabularies, in parts of any size: near words, forms and roots are those of comparing all pairs."""
+    r = random.Random(most)
+    vocab = {"".join(r.choices("abé", k=r.randint(2, 7))): r.choice((1, 2, 5, 30, 200, 1000)) for _ in range(400)}
+    vocab |= {"b" * 40 + c + d: 5 for c in "xyz" for d in ("", "p", "q")} | {"prefix" + "".join(r.choices("ab", k=6)): 7 for _ in range(60)}
+    df = spark.createDataFrame(list(vocab.items()), "word string, n long")
+    assert as_variants(spelling.variants(df, 5, most)) == plain_variants(vocab, 5)
+    assert spelling.near_words(df, most).groupBy("word", "near").count().where("count > 1").isEmpty()
+
+
+def test_roots(spark):
+    """Forms are followed over many steps."""
+    chain = {"a" * k: 5**k for k in range(2, 13)}
+    got = as_variants(spelling.variants(spark.createDataFrame(list(chain.items()), "word string, n long")))
+    assert got == plain_variants(chain, 5) and {v[4] for v in got.values()} == {"a" * 12}
+
+
+def test_vocabulary(spark, docs):
+    """Whole texts are counted, only A-Z are lower-cased, and one in so many words of a document loses a code point."""
+    import zlib
+
+    rows = [(1, "Straße ÉTUDES Ünder_ünder éTUDES x÷y×zab"), (None, "straße straße"), (2, None), (3, ""), (3, "straße"), (4, "wordie " * 50_000 + "q" * 100_000), (5, "élèves naïves ABCDEF"), (5, "élèves naïves abcdef")]
+    for every in (None, 3):
+        want = Counter()
+        for i, text in rows:
+            for run in spelling._RUN.findall((text or "").translate(UPPER)):
+                h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+                k = h % len(run)
+                want[run[:k] + run[k + 1 :] if every and h % every == 0 else run] += 1
+        got = {r["word"]: r["n"] for r in spelling.vocabulary(docs(rows), 5, 2, every).collect()}
+        assert got == {w: n for w, n in want.items() if len(w) >= 5 and n >= 2}
+    assert spelling.spelling_variants(docs(rows[2:4])).collect() == []
