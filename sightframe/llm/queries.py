@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_extract, language_id, line_dedup, packing, quality, sharding, spelling, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, html_extract, language_id, lexical_search, line_dedup, packing, quality, sharding, spelling, substring_dedup, url_filter
 from .jaccard_join import jaccard_join
 from .store import shared_dir
 
@@ -60,6 +60,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spelling.spelling_variants(_table(spark, sf_dir, "documents"), shortest=6, least=5, times=5, every=199)
     return rows.select("word", "form", "root", "n", "n_near", "form_n")
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_line_dedup": op13_line_dedup,
 }
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_sharding": sharding.ORACLE_SQL,
     "op8_url_filters": url_filter.ORACLE_SQL,
+    "op11_ranked_lexical_search": lexical_search.ORACLE_SQL,
     "op12_spelling_variants": spelling.ORACLE_SQL,
     "op13_line_dedup": line_dedup.ORACLE_SQL,
 }

@@ -205,7 +205,7 @@ def test_quality_odd_rows(spark, docs):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 

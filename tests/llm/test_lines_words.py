@@ -1,11 +1,13 @@
 """Line dedup, spelling variants and lexical search against plain versions of them."""
 
+import math
 import random
+import re
 from collections import Counter
 
 import pytest
 
-from sightframe.llm import line_dedup, spelling
+from sightframe.llm import lexical_search, line_dedup, spelling
 
 SF = "/root/testdata/sf0.001"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -116,3 +118,40 @@ def test_vocabulary(spark, docs):
         got = {r["word"]: r["n"] for r in spelling.vocabulary(docs(rows), 5, 2, every).collect()}
         assert got == {w: n for w, n in want.items() if len(w) >= 5 and n >= 2}
     assert spelling.spelling_variants(docs(rows[2:4])).collect() == []
+
+
+def plain_search(rows, items, k):
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(UPPER))
+    docs = [(i, Counter(terms(t))) for i, t in rows if terms(t)]
+    n_terms = sum(c.total() for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, c in docs:
+            m = 10 + 90 * c.total() * len(docs) // n_terms
+            scored.append((-sum(math.floor(1000 * math.log((2 * len(docs) + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in set(terms(text)) & set(c)), i is None, i or 0))
+        out += [(item, rank, None if none else i, -s) for rank, (s, none, i) in enumerate(sorted(x for x in scored if x[0])[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_terms", [1 << 18, 8])
+def test_search(spark, docs, monkeypatch, block_terms):
+    """Ties, repeated rows, nulls, long texts and small blocks: the ranks and scores are those of scoring every document."""
+    r = random.Random(5)
+    word = lambda: f"w{min(int(r.expovariate(0.05)), 300)}"
+    rows = [(i, " ".join(word() for _ in range(r.randint(1, 60)))) for i in range(600)]
+    rows += [(1000 + i, "w1 w2 w3 copy") for i in range(40)] + [(None, "w1 w2 w3 copy"), (1000, "w1 w2 w3 copy"), (1, None), (2, ""), (3, "... !"), (4, "ÄÖ_äö-Äö W1 " * 30_000), (5, "w250 " * 9 + "x" * 90_000)]
+    items = [(i, " ".join(word() for _ in range(r.randint(1, 12)))) for i in range(30)] + [(40, None), (41, "nothing known"), (42, "Copy copy COPY"), (43, "äÖ, Äö"), (42, "w1 w1")]
+    table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, q string")
+    monkeypatch.setattr(lexical_search, "BLOCK_CELLS", 1 << 12)
+    got = lexical_search.search(docs(rows).repartition(3), table, 7, block_terms=block_terms)
+    assert sorted(tuple(x) for x in got.collect()) == plain_search(rows, items, 7)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def test_search_nothing(spark, docs):
+    items = spark.createDataFrame([(1, "a"), (2, None)], "item_id long, text string")
+    assert lexical_search.search(docs([]), items).collect() == [] and lexical_search.search(docs([(1, None)]), items).collect() == []
+    assert lexical_search.search(docs([(1, "a")]), items.where("item_id > 2")).collect() == []
+    assert [tuple(r) for r in lexical_search.search(docs([(1, "a b")]), items).collect()] == plain_search([(1, "a b")], [(1, "a")], 10)
