@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
+from .text import give_back
 
 #: Words of a part that is not divided any more.
 MOST = 4096
 #: Distinct words that a task holds before it passes their counts on.
-HELD = 1 << 17
+HELD = 1 << 15
 _RUN = re.compile("[a-zÀ-ÿ]+")
 
 
@@ -63,6 +64,8 @@ def _count_rows(shortest: int, every: int | None) -> Callable[[Iterator[pa.Recor
                     yield batch_of()
                     counts.clear()
         yield batch_of()
+        counts.clear()
+        give_back()
 
     return run
 
@@ -180,6 +183,7 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if len(words) > 1:
         out.extend(_pairs_of(words, counts, *window))
     yield flush()
+    give_back()
 
 
 def near_words(vocab: DataFrame, most: int = MOST) -> DataFrame:
