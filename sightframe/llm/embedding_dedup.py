@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import connected_components, spanning_links
+from .groups import connected_components, in_share, spanning_links
 from .store import materialize
 
 #: Vectors that the rotations are learned on, at most; turns of learning; bits of a substring at least.
@@ -220,8 +220,7 @@ def similar_pairs(classes: DataFrame, least: float) -> DataFrame:
     if n < 2:
         return spark.createDataFrame([], "a long, b long")
     # The bound on what comes to the driver: SAMPLE vectors, by a hash of the id.
-    share = int(min(1, SAMPLE / n) * 1_000_000)
-    sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("id", "vector").collect()
+    sample = classes.where(in_share("id", SAMPLE / n)).select("id", "vector").collect()
     sample.sort(key=lambda r: r["id"])
     by_length: dict[int, list] = {}
     for r in sample:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
@@ -126,6 +126,11 @@ def mapped(rows: DataFrame, wanted: DataFrame, inside: bool = True) -> DataFrame
     return rows.withColumn(free_name(rows), place).mapInArrow(run, rows.schema)
 
 
+def in_share(column: str, share: float) -> Column:
+    """Whether a row is in a sample of this share of all rows, by the whole 64-bit hash of a column: any share above nought draws some of many rows."""
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(F.xxhash64(column), 1) < F.lit(int(share * 2**63))
+
+
 def free_name(rows: DataFrame, name: str = "place") -> str:
     """A name that no column of ``rows`` has, in any case of its letters."""
     taken = {c.lower() for c in rows.columns}

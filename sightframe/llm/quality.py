@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import in_share
 from .store import materialize
 from .text import PUNCTUATION, Words, mix, row_chunks, shingle_stream, words
 
@@ -259,11 +260,10 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     annotated = _annotated(labels)
     known = materialize(rows.where("doc_id is not null and text is not null").select("doc_id").distinct().join(annotated, "doc_id", "left"))
     size = known.agg(F.count("*").alias("n"), F.count("vote").alias("annotated")).first()
-    place, per = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), lambda n: int(min(SAMPLE / 2 / max(n, 1), 1) * 1_000_000)
-    shares = per(size["annotated"]), per(size["n"] - size["annotated"])
+    shares = [SAMPLE / 2 / max(n, 1) for n in (size["annotated"], size["n"] - size["annotated"])]
     # At most about SAMPLE rows, by these shares.
-    chosen = known.where(place < F.when(F.col("vote").isNotNull(), shares[0]).otherwise(shares[1]))
-    texts = rows.where("text is not null").where(place < max(shares)).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    chosen = known.where(F.when(F.col("vote").isNotNull(), in_share("doc_id", shares[0])).otherwise(in_share("doc_id", shares[1])))
+    texts = rows.where("text is not null").where(in_share("doc_id", max(shares))).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_feature_rows, "doc_id long, buckets binary, words binary, marks array<long>")
     sample = sorted(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "vote", "toxic", "buckets", "words", "marks").collect(), key=lambda r: r["doc_id"])
     sample = without_copies(sample)
