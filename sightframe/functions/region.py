@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .errors import INVALID_PARAMS, INVALID_REQUEST, error, first_error
+from .stages import let
 
 FIELDS = ("x", "y", "width", "height")
 _WRAP = 1 << 32
@@ -24,7 +25,12 @@ def is_kind(value: Column, *kinds: str) -> Column:
 def unsigned(value: Column) -> Column:
     """A parsed JSON whole number from nought to 2**64 - 1; null for all else."""
     number = F.when(is_kind(value, "BIGINT", r"DECIMAL\([0-9]+,0\)"), F.try_variant_get(value, "$", "decimal(38,0)"))
-    return F.when((number >= 0) & (number < F.lit(str(2**64)).cast("decimal(38,0)")), number)
+    return let(number, lambda n: F.when((n >= 0) & (n < F.lit(str(2**64)).cast("decimal(38,0)")), n))
+
+
+def region_numbers(value: Column) -> dict[str, Column]:
+    """The fields of a parsed JSON object as numbers that wrap at 2**32; null for bad ones."""
+    return {f: (unsigned(member(value, f)) % F.lit(_WRAP).cast("decimal(38,0)")).cast("long") for f in FIELDS}
 
 
 def parse_region(value: Column) -> tuple[Column, Column]:
@@ -32,7 +38,11 @@ def parse_region(value: Column) -> tuple[Column, Column]:
 
     Strings, negative and broken numbers, nulls and missing fields are bad. Values wrap at 2**32.
     """
-    values = {f: (unsigned(member(value, f)) % F.lit(_WRAP).cast("decimal(38,0)")).cast("long") for f in FIELDS}
+    return region_of(region_numbers(value))
+
+
+def region_of(values: dict[str, Column]) -> tuple[Column, Column]:
+    """:func:`parse_region` of the numbers of :func:`region_numbers`."""
     found = first_error(*(F.when(values[f].isNull(), error(INVALID_PARAMS, f"region.{f} is required")) for f in FIELDS))
     return F.when(found.isNull(), F.struct(*(values[f].alias(f) for f in FIELDS))), found
 

@@ -1,17 +1,14 @@
-"""Format, size and labels of an image from its first bytes, as Spark expressions.
-
-Only JPEG and TIFF sizes, which take a walk over markers or directory entries, use a vectorised Python function; it
-gets null for every other format.
-"""
+"""Format, size and labels of an image from its first bytes, as Spark expressions."""
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stages import let
+
 FORMATS = ("png", "jpeg", "gif", "webp", "tiff", "bmp")
 
 
@@ -25,7 +22,8 @@ def big_endian(content: Column, start: int, n: int) -> Column:
 
 
 def little_endian(content: Column, start: int, n: int) -> Column:
-    return F.conv(F.concat(*(F.hex(_bytes(content, start + i, 1)) for i in reversed(range(n)))), 16, 10).cast("long")
+    turned = lambda h: F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(n))))
+    return F.conv(let(F.hex(_bytes(content, start, n)), turned), 16, 10).cast("long")
 
 
 def image_format(content: Column) -> Column:
@@ -61,56 +59,67 @@ def has_alpha(content: Column, fmt: Column) -> Column:
     return F.when(fmt == "png", png).otherwise(fmt.isin("webp", "gif"))
 
 
-def _jpeg_size(data: bytes) -> tuple[int, int] | None:
-    at = 2
-    while at + 9 <= len(data):
-        if data[at] != 0xFF:
-            return None
-        kind = data[at + 1]
-        if kind == 0xFF:
-            at += 1
-            continue
-        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            height, width = struct.unpack_from(">HH", data, at + 5)
-            return width, height
-        at += 2 if kind == 0x01 or 0xD0 <= kind <= 0xD8 else 2 + struct.unpack_from(">H", data, at + 2)[0]
-    return None
+def _hex_number(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("long")
+
+
+#: Segments that are looked at in the first two rounds of the walk over a JPEG image, and in each further one.
+_ROUNDS, _ROUND = (16, 1024), 4096
+
+
+def jpeg_size(content: Column) -> Column:
+    """struct<width, height> from the first frame header of a JPEG image; null where a walk over its segments finds none.
+
+    The walk is a fold that carries the place of the next marker, -1 where there is none, and -2 minus the place of a frame
+    header. Most images are done in the first short round; an image that isn't gets as many rounds as it may have
+    segments, and those that follow the last segment cost nothing.
+    """
 
+    def after(at: Column, head: Column) -> Column:
+        kind = F.substring(head, 3, 2)
+        size = F.when(kind.rlike("^(01|D[0-8])$"), 0).otherwise(_hex_number(F.substring(head, 5, 4)))
+        return (
+            F.when((F.length(head) < 18) | ~head.startswith("FF"), -1).when(kind == "FF", at + 1)
+            .when(kind.rlike("^C[0-35-79-BD-F]$"), -2 - at).otherwise((at + 2 + size).cast("int"))
+        )
 
-def _tiff_size(data: bytes) -> tuple[int, int] | None:
-    order = "<" if data[:2] == b"II" else ">"
-    try:
-        (at,) = struct.unpack_from(order + "I", data, 4)
-        (n,) = struct.unpack_from(order + "H", data, at)
-        size: dict[int, int] = {}
-        for i in range(n):
-            tag, kind, _ = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-            if tag in (256, 257):
-                size[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), data, at + 10 + 12 * i)[0]
-        return size[256], size[257]
-    except (struct.error, KeyError):
-        return None
+    step = lambda at, _: F.when(at < 0, at).otherwise(let(F.hex(F.substring(content, at + 1, F.lit(9))), lambda head: after(at, head)))
+    rounds = F.concat(F.array(*map(F.lit, _ROUNDS)), F.array_repeat(F.lit(_ROUND), (F.length(content) / _ROUND).cast("int") + 1))
+    walk = F.aggregate(rounds, F.lit(2), lambda at, n: F.when(at < 0, at).otherwise(F.aggregate(F.sequence(F.lit(1), n), at, step)))
+    sides = lambda h: F.struct(_hex_number(F.substring(h, 5, 4)).alias("width"), _hex_number(F.substring(h, 1, 4)).alias("height"))
+    return let(walk, lambda at: F.when(at < -1, let(F.hex(F.substring(content, 4 - at, F.lit(4))), sides)))
 
 
-def _walk(content: pd.Series) -> pd.DataFrame:
-    rows = [None if x is None else _jpeg_size(x) if x[:2] == b"\xff\xd8" else _tiff_size(x) for x in content]
-    return pd.DataFrame({"width": pd.array([r[0] if r else None for r in rows], "Int64"), "height": pd.array([r[1] if r else None for r in rows], "Int64")})
+def tiff_size(content: Column) -> Column:
+    """struct<width, height> from the first directory of a TIFF image, the last of several values; null where it is broken."""
+    digits = lambda start, n: F.hex(F.substring(content, (start + 1).cast("int"), F.lit(n)))
+    turned = lambda x: F.concat(*(F.substring(x, k, 2) for k in (7, 5, 3, 1)))
+    number = lambda x, little: _hex_number(F.when(little, turned(x)).otherwise(x))
+    first = lambda little: F.struct(little.alias("little"), number(digits(F.lit(4), 4), little).alias("at"))
+    directory = lambda v: F.struct(v["little"].alias("little"), v["at"].alias("at"), F.when(v["at"] + 2 <= F.length(content), number(digits(v["at"], 2), v["little"])).alias("n"))
 
+    def size(v: Column) -> Column:
+        entries = F.transform(F.sequence(F.lit(0), (v["n"] - 1).cast("int")), lambda i: digits(v["at"] + 2 + 12 * i, 12))
+        tags = F.array(F.when(v["little"], "0001").otherwise("0100"), F.lit("0101"))  # 256 and 257
+        found = lambda all_: F.transform(tags, lambda t: value(F.try_element_at(F.filter(all_, lambda e: e.startswith(t)), F.lit(-1))))
+        length = lambda e: F.when(F.substring(e, 5, 4) == F.when(v["little"], "0300").otherwise("0003"), 4).otherwise(8)
+        value = lambda e: F.when(F.length(e) >= 16 + length(e), number(F.substring(e, F.lit(17), length(e)), v["little"]))
+        there = (v["n"] > 0) & (v["at"] + 12 * v["n"] - 2 <= F.length(content))
+        pair = lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.struct(p[0].alias("width"), p[1].alias("height")))
+        return F.when(there, let(let(entries, found), pair))
 
-def walked_size(content: Column) -> Column:
-    """struct<width, height> of JPEG and TIFF images; null where it can't be found."""
-    return F.pandas_udf(_walk, "struct<width:long,height:long>")(content)
+    return let(let(let(_bytes(content, 0, 2) == F.lit(b"II"), first), directory), size)
 
 
 def dimensions(content: Column, fmt: Column) -> Column:
     """struct<width, height>, null where the header is too short or broken. EXIF orientation is not applied."""
     pair = lambda w, h: F.struct(w.cast("long").alias("width"), h.cast("long").alias("height"))
-    signed = lambda x: F.when(x >= 2**31, 2**32 - x).otherwise(x)
+    signed = lambda x: let(x, lambda v: F.when(v >= 2**31, 2**32 - v).otherwise(v))
     long_enough = lambda n: F.length(content) >= n
     chunk, packed = _bytes(content, 12, 4), little_endian(content, 21, 4)
     webp = (
         F.when((chunk == F.lit(b"VP8X")) & long_enough(30), pair(little_endian(content, 24, 3) + 1, little_endian(content, 27, 3) + 1))
-        .when((chunk == F.lit(b"VP8L")) & long_enough(25), pair(packed.bitwiseAND(F.lit(0x3FFF).cast("long")) + 1, F.shiftright(packed, 14).bitwiseAND(F.lit(0x3FFF).cast("long")) + 1))
+        .when((chunk == F.lit(b"VP8L")) & long_enough(25), let(packed, lambda v: pair(v % 0x4000 + 1, F.shiftright(v, 14) % 0x4000 + 1)))
         .when((chunk == F.lit(b"VP8 ")) & long_enough(30), pair(little_endian(content, 26, 2) % 0x4000, little_endian(content, 28, 2) % 0x4000))
     )
     old_bmp = little_endian(content, 14, 4) == 12
@@ -120,7 +129,8 @@ def dimensions(content: Column, fmt: Column) -> Column:
         .when((fmt == "bmp") & long_enough(26) & old_bmp, pair(little_endian(content, 18, 2), little_endian(content, 20, 2)))
         .when((fmt == "bmp") & long_enough(26), pair(signed(little_endian(content, 18, 4)), signed(little_endian(content, 22, 4))))
         .when(fmt == "webp", webp)
-        .when(fmt.isin("jpeg", "tiff"), walked_size(F.when(fmt.isin("jpeg", "tiff"), content)))
+        .when(fmt == "jpeg", jpeg_size(content))
+        .when(fmt == "tiff", tiff_size(content))
     )
 
 

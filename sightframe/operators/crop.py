@@ -13,6 +13,7 @@ from ..functions import pixels
 from ..functions.errors import INVALID_REQUEST, error, first_error
 from ..functions.names import free_names
 from ..functions.region import budget_error, region_error, shrunk_size
+from ..functions.stages import staged
 from ..sources.images import MAX_PIXELS
 from .probe import CROP_ROUTE
 
@@ -53,7 +54,7 @@ def crop(probed: DataFrame) -> DataFrame:
     r, most = F.col("region"), F.col("max_pixels")
     width, height, shrinks = shrunk_size(r["width"], r["height"], F.col("max_region_dimension"))
     checks = first_error(region_error(r, F.col("probe.width"), F.col("probe.height")), budget_error(r["width"], r["height"], most), budget_error(width, height, most, "Resized region"))
-    rows = rows.withColumn("error", F.coalesce(F.col("error"), F.when(r.isNotNull(), checks)))
+    rows = staged(rows, error=F.coalesce(F.col("error"), F.when(r.isNotNull(), checks)))
     go = F.col("error").isNull() & r.isNotNull()
     done = F.pandas_udf(_cut, _CUT)(F.when(go, F.col("content")), r, width, height, shrinks, F.col("include_region_image"))
     rows = rows.withColumn(cut, done)

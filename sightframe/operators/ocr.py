@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import free_names
+from ..functions.stages import staged
 
 #: Columns of the recogniser's table: level, line, left, top, width, height, confidence, text; and what a word's level is.
-_LEVEL, _LINE, _LEFT, _TOP, _WIDTH, _HEIGHT, _SURE, _TEXT, WORD = 0, 4, 6, 7, 8, 9, 10, 11, "5"
+_LEVEL, _LINE, _LEFT, _TOP, _WIDTH, _HEIGHT, _SURE, _TEXT, WORD = 0, 4, 6, 7, 8, 9, 10, 11, 5
 _BLANK = r"[\s   -     　﻿]"
 #: Seconds for the check and for a run, and bytes of output.
 CHECK_SECONDS, RUN_SECONDS, MOST_OUTPUT = 2.5, 60, 10 << 20
@@ -35,50 +35,76 @@ def real(text: Column) -> Column:
 
 
 def word_array(tsv: Column) -> Column:
-    """The words of a table: line number, place in the table, box, confidence and text of each."""
-    rows = F.filter(F.split(tsv, "\r?\n"), lambda x: F.length(_trim(x)) > 0)
-    cells = F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda x: F.split(x, "\t"))
-    cell = lambda c, i: F.get(c, F.lit(i))
+    """The words of a table: line number, left, place in the table, top, right, bottom, confidence and text of each."""
+    rows = F.filter(F.filter(F.split(tsv, "\r?\n"), lambda x: F.length(x) > 0), lambda x, i: i > 0)
+    cells = F.transform(rows, lambda x: F.split(x, "\t"))
+    number = lambda c, k: whole(F.get(c, F.lit(k)))
 
     def word(c: Column, i: Column) -> Column:
-        number = lambda k: whole(cell(c, k))
         return F.struct(
-            number(_LINE).alias("line"), i.alias("ord"), number(_LEFT).alias("left"), number(_TOP).alias("top"), F.coalesce(number(_WIDTH), F.lit(0)).cast("long").alias("width"),
-            F.coalesce(number(_HEIGHT), F.lit(0)).cast("long").alias("height"), F.coalesce(real(cell(c, _SURE)), F.lit(0.0)).alias("sure"), _trim(cell(c, _TEXT)).alias("text"), cell(c, _LEVEL).alias("level"),
+            number(c, _LINE).alias("line"), number(c, _LEFT).alias("left"), i.alias("ord"), number(c, _TOP).alias("top"), F.coalesce(number(c, _WIDTH), F.lit(0)).cast("long").alias("width"),
+            F.coalesce(number(c, _HEIGHT), F.lit(0)).cast("long").alias("height"), F.coalesce(real(F.get(c, F.lit(_SURE))), F.lit(0.0)).alias("sure"), _trim(F.get(c, F.lit(_TEXT))).alias("text"),
         )
 
-    full = lambda w: (w["level"] == WORD) & (F.length(w["text"]) > 0) & w["line"].isNotNull() & w["left"].isNotNull() & w["top"].isNotNull()
-    return F.filter(F.transform(cells, word), full)
+    words = F.transform(F.filter(cells, lambda c: (F.size(c) > _TEXT) & (number(c, _LEVEL) == WORD)), word)
+    return F.filter(words, lambda w: (F.length(w["text"]) > 0) & w["line"].isNotNull() & w["left"].isNotNull() & w["top"].isNotNull())
 
 
-def _line(words: Column, number: Column) -> Column:
-    of = lambda f: F.transform(words, f)
-    x, y = F.array_min(of(lambda w: w["left"])), F.array_min(of(lambda w: w["top"]))
-    text = F.transform(F.array_sort(of(lambda w: F.struct(w["left"], w["ord"], w["text"]))), lambda w: w["text"])
-    known = F.filter(of(lambda w: w["sure"]), lambda s: s >= 0)
+#: The line that a fold over words has open: its sums so far.
+_OPEN = "struct<y:bigint,x:bigint,first:int,line:bigint,text:string,right:bigint,bottom:bigint,sure:double,known:bigint>"
+_CLOSED = "array<struct<y:bigint,x:bigint,first:int,line:bigint,text:string,width:bigint,height:bigint,confidence:double>>"
+
+
+def _opened(w: Column) -> Column:
+    known = w["sure"] >= 0
     return F.struct(
-        y.alias("y"), x.alias("x"), F.array_min(of(lambda w: w["ord"])).alias("first"), number.alias("line"), F.array_join(text, " ").alias("text"),
-        F.greatest(F.array_max(of(lambda w: w["left"] + w["width"])) - x, F.lit(0)).alias("width"), F.greatest(F.array_max(of(lambda w: w["top"] + w["height"])) - y, F.lit(0)).alias("height"),
-        F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, b: a + b), F.size(known).cast("double")).alias("confidence"),
+        w["top"].alias("y"), w["left"].alias("x"), w["ord"].alias("first"), w["line"].alias("line"), w["text"].alias("text"), (w["left"] + w["width"]).alias("right"), (w["top"] + w["height"]).alias("bottom"),
+        F.when(known, w["sure"]).otherwise(0.0).alias("sure"), known.cast("long").alias("known"),
     )
 
 
-def with_lines(tables: DataFrame, tsv_col: str = "tsv", out: str = "lines") -> DataFrame:
-    """``tables`` with the lines of each word table, from top to bottom and then left to right, as an array.
+def _extended(o: Column, w: Column) -> Column:
+    n = _opened(w)
+    return F.struct(
+        F.least(o["y"], n["y"]).alias("y"), F.least(o["x"], n["x"]).alias("x"), F.least(o["first"], n["first"]).alias("first"), o["line"].alias("line"), F.concat(o["text"], F.lit(" "), n["text"]).alias("text"),
+        F.greatest(o["right"], n["right"]).alias("right"), F.greatest(o["bottom"], n["bottom"]).alias("bottom"), (o["sure"] + n["sure"]).alias("sure"), (o["known"] + n["known"]).alias("known"),
+    )
+
+
+def _closed(o: Column) -> Column:
+    """The open line as an array of one line; none is open before the first word."""
+    line = F.struct(
+        o["y"].alias("y"), o["x"].alias("x"), o["first"].alias("first"), o["line"].alias("line"), o["text"].alias("text"),
+        F.greatest(o["right"] - o["x"], F.lit(0)).alias("width"), F.greatest(o["bottom"] - o["y"], F.lit(0)).alias("height"), F.try_divide(o["sure"], o["known"].cast("double")).alias("confidence"),
+    )
+    return F.when(o.isNull(), F.array().cast(_CLOSED)).otherwise(F.array(line))
+
+
+def line_array(tsv: Column) -> Column:
+    """The lines of a word table, from top to bottom and then left to right; null for null.
 
     Words belong together by line number alone. They go from left to right; words at the same place keep the table's
-    order, and so do lines. The confidence is the mean of those that are not negative, null if there are none. A table
-    is one row and is worked on where it is.
+    order, and so do lines. The confidence is the mean of those that are not negative, null if there are none. The words
+    are sorted by line and place and folded once, with one line open at a time.
     """
-    (words,) = free_names(tables, "words")
-    numbers = F.array_distinct(F.transform(words, lambda w: w["line"]))
-    made = F.transform(numbers, lambda n: _line(F.filter(words, lambda w: w["line"] == n), n))
-    return tables.withColumn(words, word_array(F.col(tsv_col))).withColumn(out, F.array_sort(made)).drop(words)
+    nothing = F.struct(F.array().cast(_CLOSED).alias("done"), F.lit(None).cast(_OPEN).alias("open"))
+
+    def step(state: Column, w: Column) -> Column:
+        same = state["open"]["line"] == w["line"]
+        done = F.when(same, state["done"]).otherwise(F.concat(state["done"], _closed(state["open"])))
+        return F.struct(done.alias("done"), F.when(same, _extended(state["open"], w)).otherwise(_opened(w)).alias("open"))
+
+    return F.aggregate(F.array_sort(word_array(tsv)), nothing, step, lambda s: F.array_sort(F.concat(s["done"], _closed(s["open"]))))
+
+
+def with_lines(tables: DataFrame, tsv_col: str = "tsv", out: str = "lines") -> DataFrame:
+    """``tables`` with :func:`line_array` of each word table. A table is one row and is worked on where it is."""
+    return staged(tables, **{out: line_array(F.col(tsv_col))})
 
 
 def lines(tables: DataFrame, id_col: str = "image_id", tsv_col: str = "tsv") -> DataFrame:
     """One row per line of an image: text, box, mean confidence, and the place of its first word in the table."""
-    rows = with_lines(tables.select(id_col, tsv_col), tsv_col, "found").select(id_col, F.inline("found"))
+    rows = tables.select(id_col, F.inline_outer(line_array(F.col(tsv_col)))).where("line is not null")
     return rows.select(id_col, "line", "text", "x", "y", "width", "height", "confidence", "first")
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import metadata as meta
 from ..functions.errors import INVALID_PARAMS, UNSUPPORTED_TOOL, error, first_error, tool_route
 from ..functions.exif import exif_fields
-from ..functions.region import FIELDS, budget_error, is_kind, member, parse_region, unsigned
+from ..functions.region import FIELDS, budget_error, is_kind, member, region_numbers, region_of, unsigned
 from ..functions.sniff import basename
 from ..functions.names import free_names
+from ..functions.stages import staged
 from ..operators import ocr
 from ..operators.crop import crop
 from ..operators.probe import READ_ROUTE, probe
@@ -28,21 +29,27 @@ def parse_options(requests: DataFrame, input_col: str = "input") -> DataFrame:
     ``path`` must be a string. Other options of a wrong type take their defaults, silently. A region that is there but
     null or broken is an error, which comes before anything that the file could say.
     """
-    asked, value = F.try_parse_json(F.col(input_col)), {}
-    for name in ("path", "region", "include_metadata", "include_region_image", "include_ocr", "ocr_languages", "max_file_bytes", "max_pixels", "max_region_dimension"):
-        value[name] = member(asked, name)
+    names = ("path", "region", "include_metadata", "include_region_image", "include_ocr", "ocr_languages", "max_file_bytes", "max_pixels", "max_region_dimension")
+    asked, *said = free_names(requests, "asked", *(f"said_{n}" for n in names))
+    rows = staged(requests, **{asked: F.try_parse_json(F.col(input_col))})
+    rows = staged(rows, **{at: member(F.col(asked), n) for at, n in zip(said, names)})
+    value = {n: F.col(at) for at, n in zip(said, names)}
     flag = lambda name, default: F.coalesce(F.when(is_kind(value[name], "BOOLEAN"), F.try_variant_get(value[name], "$", "boolean")), F.lit(default))
+    limits = ("max_file_bytes", "max_pixels", "max_region_dimension")
+    most, box = free_names(rows, *(f"most_{n}" for n in limits)), free_names(rows, *(f"box_{f}" for f in FIELDS))
+    rows = staged(rows, **{at: unsigned(value[n]) for at, n in zip(most, limits)}, **dict(zip(box, region_numbers(value["region"]).values())))
+    number = {n: F.col(at) for at, n in zip(most, limits)}
     top = F.lit(2**63 - 1)
-    limit = lambda name, default: F.when(unsigned(value[name]).isNull(), default).otherwise(F.least(unsigned(value[name]), top)).cast("long")
-    region, region_fault = parse_region(value["region"])
+    limit = lambda name, default: F.when(number[name].isNull(), default).otherwise(F.least(number[name], top)).cast("long")
+    region, region_fault = region_of({f: F.col(at) for at, f in zip(box, FIELDS)})
     has_region = value["region"].isNotNull()
     path = F.when(is_kind(value["path"], "STRING"), F.try_variant_get(value["path"], "$", "string"))
     fault = first_error(F.when(path.isNull(), error(INVALID_PARAMS, "path is required")), F.when(has_region, region_fault))
     languages = F.when(is_kind(value["ocr_languages"], "ARRAY<STRING>"), F.try_variant_get(value["ocr_languages"], "$", "array<string>"))
-    return requests.select(
-        "*", path.alias("path"), flag("include_metadata", True).alias("include_metadata"), flag("include_region_image", False).alias("include_region_image"),
+    return rows.select(
+        *requests.columns, path.alias("path"), flag("include_metadata", True).alias("include_metadata"), flag("include_region_image", False).alias("include_region_image"),
         limit("max_file_bytes", MAX_FILE_BYTES).alias("max_file_bytes"), limit("max_pixels", MAX_PIXELS).alias("max_pixels"),
-        (unsigned(value["max_region_dimension"]) % 2**32).cast("long").alias("max_region_dimension"), F.when(has_region, region).alias("region"),
+        (number["max_region_dimension"] % 2**32).cast("long").alias("max_region_dimension"), F.when(has_region, region).alias("region"),
         flag("include_ocr", False).alias("include_ocr"), F.coalesce(languages, F.array(F.lit("eng"))).alias("ocr_languages"), fault.alias("fault"),
     )
 
@@ -73,13 +80,14 @@ def read_image(images: DataFrame, profile: str = "shipped") -> DataFrame:
     have = lambda name, value: F.coalesce(F.col(name), F.lit(value)) if name in images.columns else F.lit(value)
     if profile == "legacy":
         over = budget_error(F.col("probe.width"), F.col("probe.height"), have("max_pixels", MAX_PIXELS).cast("long"), "Image")
-        rows = rows.withColumn("error", F.coalesce("error", over))
+        rows = staged(rows, error=F.coalesce("error", over))
     if "region" in images.columns:
         rows = crop(rows)
     else:
         rows = rows.withColumn("region_evidence", F.lit(None).cast("struct<bbox:struct<x:bigint,y:bigint,width:bigint,height:bigint>,width:bigint,height:bigint,pixel_count:bigint,region_hash:string,pixel_hash:string,mime:string,route:string,resized:boolean,image_base64:string>"))
     fields, said, tsv, found = free_names(rows, "fields", "said", "tsv", "found")
     added = [fields]
+    rows = staged(rows, error=F.col("error"), probe=F.col("probe"), region_evidence=F.col("region_evidence"))
     wanted = have("include_metadata", True) & F.col("error").isNull()
     rows = rows.withColumn(fields, exif_fields(F.when(wanted, F.col("content"))))
     text = None
@@ -91,7 +99,7 @@ def read_image(images: DataFrame, profile: str = "shipped") -> DataFrame:
         none = F.array().cast(ocr.LINES)
         text = F.when(asked, F.struct(F.col(tsv).isNotNull().alias("available"), F.coalesce(ocr.shown(F.col(found)), none).alias("lines"), F.col(said)["skipped_reason"].alias("skipped_reason")))
         added += [said, tsv, found]
-    return rows.withColumn("twin", F.when(F.col("error").isNull(), twin(profile, wanted, F.col(fields), text))).drop(*added)
+    return staged(rows, twin=F.when(F.col("error").isNull(), twin(profile, wanted, F.col(fields), text))).drop(*added)
 
 
 def twin(profile: str, wanted: Column, fields: Column, text: Column | None = None) -> Column:
@@ -139,8 +147,7 @@ def answer(requests: DataFrame, profile: str = "shipped") -> DataFrame:
     rows = read_requested(rows).withColumn("error", F.coalesce("fault", "error"))
     unknown = F.when(tool_route(F.col("tool")).isNull(), error(UNSUPPORTED_TOOL, F.concat(F.lit("Unsupported tool: "), F.coalesce("tool", F.lit("null")))))
     missing = F.when((F.col("tool") == "crop_region") & F.col("region").isNull(), error(INVALID_PARAMS, "region is required"))
-    rows = rows.withColumn("error", first_error(unknown, F.col("fault"), missing, F.col("error")))
-    rows = rows.withColumn("region", F.when(F.col("tool") != "image_probe", F.col("region")))
+    rows = staged(rows, error=first_error(unknown, F.col("fault"), missing, F.col("error")), region=F.when(F.col("tool") != "image_probe", F.col("region")))
     rows = envelope(read_image(rows, profile))
     base = [F.lit("ok").alias("status"), F.lit(ENGINE).alias("engine"), F.lit(VERSION).alias("version")]
     good = (
