@@ -18,8 +18,9 @@ PLACE_KEYS = ("lat", "lon", "lng")
 EDITORS = ("photoshop", "gimp", "ai", "generative", "midjourney", "stable diffusion")
 ODD_CAMERAS = ("unknown", "fake", "synthetic")
 REDACTED = "[redacted]"
-#: Texts of the warnings.
+#: Texts of the warnings; the software's name stands between the two parts of the second.
 GPS_WARNING = "GPS coordinates were present in metadata and have been redacted from the response."
+SOFTWARE_WARNING = ('EXIF Software field suggests possible editing or synthetic origin: "', '".')
 CAMERA_WARNING = "Camera make/model metadata looks inconsistent or synthetic."
 
 _PLACE = "^(?i)(" + "|".join(PLACE_PREFIXES) + ")"
@@ -91,7 +92,7 @@ def _string(metadata: Column, key: str) -> Column:
 def trust_warnings(metadata: Column, had_gps: Column) -> Column:
     """Warnings from the metadata as it was, in order; an empty array if there are none."""
     software, make, model = (_string(metadata, k) for k in ("Software", "Make", "Model"))
-    edited = F.when(software.rlike("(?i)" + "|".join(EDITORS)), F.concat(F.lit('EXIF Software field suggests possible editing or synthetic origin: "'), software, F.lit('".')))
+    edited = F.when(software.rlike("(?i)" + "|".join(EDITORS)), F.concat(F.lit(SOFTWARE_WARNING[0]), software, F.lit(SOFTWARE_WARNING[1])))
     odd = F.when(F.concat(make, F.lit(" "), model).rlike("(?i)" + "|".join(ODD_CAMERAS)), F.lit(CAMERA_WARNING))
     return F.array_compact(F.array(F.when(had_gps, F.lit(GPS_WARNING)), edited, odd))
 

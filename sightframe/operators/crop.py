@@ -5,37 +5,77 @@ from __future__ import annotations
 import base64
 import hashlib
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels
 from ..functions.errors import INVALID_REQUEST, error, first_error
 from ..functions.names import free_names
-from ..functions.region import budget_error, region_error, shrunk_size
+from ..functions.region import FIELDS, budget_error, region_error, shrunk_size
 from ..functions.stages import staged
 from ..sources.images import MAX_PIXELS
 from .probe import CROP_ROUTE
 
 _CUT = "region_hash string, pixel_hash string, image_base64 string, failure string"
+_NO_CUT = (None, None, None, None)
 
 
-def _cut(content: pd.Series, region: pd.DataFrame, width: pd.Series, height: pd.Series, shrinks: pd.Series, image: pd.Series) -> pd.DataFrame:
-    """What is cut out of each image; rows without content, which are not to be cut, get nulls."""
-    out: list[tuple] = []
-    for i, data in enumerate(content):
-        if data is None:
-            out.append((None, None, None, None))
-            continue
-        x0, y0, w, h = (int(region[f].iat[i]) for f in ("x", "y", "width", "height"))
-        try:
-            x = pixels.decode(data, y0 + h)[y0 : y0 + h, x0 : x0 + w]
-            x = pixels.shrink(x, int(width.iat[i]), int(height.iat[i])) if shrinks.iat[i] else x
-            png = pixels.encode_png(x)
-            out.append((hashlib.sha256(png).hexdigest(), hashlib.sha256(x.tobytes()).hexdigest(), base64.b64encode(png).decode() if image.iat[i] else None, None))
-        except (pixels.CannotDecode, ValueError, IndexError) as e:
-            out.append((None, None, None, f"Failed to decode image for crop: {e}"))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _CUT.split(", ")])
+def _piece(image: np.ndarray, x: int, y: int, width: int, height: int, to: tuple[int, int] | None, shown: bool) -> tuple:
+    """Hashes and base64 of a region of decoded pixels, shrunk where ``to`` says so."""
+    cut = image[y : y + height, x : x + width]
+    cut = pixels.shrink(cut, *to) if to else cut
+    png = pixels.encode_png(cut)
+    return hashlib.sha256(png).hexdigest(), hashlib.sha256(cut.tobytes()).hexdigest(), base64.b64encode(png).decode() if shown else None, None
+
+
+def _cut_all(data: bytes | None, wanted: list[dict | None]) -> list[tuple]:
+    """What is cut out of one image for every region wanted; the image is decoded once, down to the last row that is needed.
+
+    Null for regions that are null, and for all where there is no content.
+    """
+    boxes = [w for w in wanted if w is not None]
+    if data is None or not boxes:
+        return [_NO_CUT] * len(wanted)
+    try:
+        image = pixels.decode(data, max(w["y"] + w["height"] for w in boxes))
+        return [_NO_CUT if w is None else _piece(image, w["x"], w["y"], w["width"], w["height"], (w["to_width"], w["to_height"]) if w["shrinks"] else None, bool(w["shown"])) for w in wanted]
+    except (pixels.CannotDecode, ValueError, IndexError) as e:
+        return [_NO_CUT if w is None else (None, None, None, f"Failed to decode image for crop: {e}") for w in wanted]
+
+
+_CUTS = pa.list_(pa.struct([(c.split()[0], pa.string()) for c in _CUT.split(", ")]))
+
+
+def _cut(content: pa.Array, wanted: pa.Array) -> pa.Array:
+    names = [f.name for f in _CUTS.value_type]
+    rows = (None if not w.is_valid else [dict(zip(names, row)) for row in _cut_all(c.as_py(), w.as_py())] for c, w in zip(content, wanted))
+    return pa.array(rows, _CUTS)
+
+
+def cuts(content: Column, wanted: Column) -> Column:
+    """Array of struct<region_hash, pixel_hash, image_base64, failure>, one for each of an array of :func:`cut_wanted`."""
+    return F.arrow_udf(_cut, f"array<struct<{_CUT.replace(' ', ':').replace(',:', ',')}>>")(content, wanted)
+
+
+def cut_wanted(region: Column, width: Column, height: Column, shrinks: Column, shown: Column, go: Column) -> Column:
+    """What :func:`cuts` asks of one region; null where ``go`` is not true."""
+    box = F.struct(*(region[f].alias(f) for f in FIELDS), width.alias("to_width"), height.alias("to_height"), shrinks.alias("shrinks"), shown.alias("shown"))
+    return F.when(go, box)
+
+
+def region_checks(region: Column, image_width: Column, image_height: Column, width: Column, height: Column, most: Column) -> Column:
+    """The first error of a region: its box, its own pixels, its pixels after shrinking."""
+    return first_error(region_error(region, image_width, image_height), budget_error(region["width"], region["height"], most), budget_error(width, height, most, "Resized region"))
+
+
+def evidence(region: Column, width: Column, height: Column, shrinks: Column, cut: Column) -> Column:
+    found = F.struct(
+        region.alias("bbox"), width.alias("width"), height.alias("height"), (width * height).alias("pixel_count"), cut["region_hash"].alias("region_hash"), cut["pixel_hash"].alias("pixel_hash"),
+        F.lit("image/png").alias("mime"), F.lit(CROP_ROUTE).alias("route"), shrinks.alias("resized"), cut["image_base64"].alias("image_base64"),
+    )
+    return F.when(cut["region_hash"].isNotNull(), found)
 
 
 def crop(probed: DataFrame) -> DataFrame:
@@ -53,15 +93,10 @@ def crop(probed: DataFrame) -> DataFrame:
     (cut,) = free_names(rows, "cut")
     r, most = F.col("region"), F.col("max_pixels")
     width, height, shrinks = shrunk_size(r["width"], r["height"], F.col("max_region_dimension"))
-    checks = first_error(region_error(r, F.col("probe.width"), F.col("probe.height")), budget_error(r["width"], r["height"], most), budget_error(width, height, most, "Resized region"))
+    checks = region_checks(r, F.col("probe.width"), F.col("probe.height"), width, height, most)
     rows = staged(rows, error=F.coalesce(F.col("error"), F.when(r.isNotNull(), checks)))
     go = F.col("error").isNull() & r.isNotNull()
-    done = F.pandas_udf(_cut, _CUT)(F.when(go, F.col("content")), r, width, height, shrinks, F.col("include_region_image"))
-    rows = rows.withColumn(cut, done)
-    evidence = F.struct(
-        r.alias("bbox"), width.alias("width"), height.alias("height"), (width * height).alias("pixel_count"),
-        F.col(cut)["region_hash"].alias("region_hash"), F.col(cut)["pixel_hash"].alias("pixel_hash"), F.lit("image/png").alias("mime"), F.lit(CROP_ROUTE).alias("route"), shrinks.alias("resized"), F.col(cut)["image_base64"].alias("image_base64"),
-    )
+    rows = rows.withColumn(cut, F.get(cuts(F.when(go, F.col("content")), F.array(cut_wanted(r, width, height, shrinks, F.col("include_region_image"), go))), F.lit(0)))
     failure = F.col(cut)["failure"]
-    rows = rows.withColumn("region_evidence", F.when(F.col(cut)["region_hash"].isNotNull(), evidence))
+    rows = rows.withColumn("region_evidence", evidence(r, width, height, shrinks, F.col(cut)))
     return rows.withColumn("error", F.coalesce("error", F.when(failure.isNotNull(), error(INVALID_REQUEST, failure)))).drop(cut)

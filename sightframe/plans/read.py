@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metadata as meta
+from ..functions import packets
 from ..functions.errors import INVALID_PARAMS, UNSUPPORTED_TOOL, error, first_error, tool_route
 from ..functions.exif import exif_fields
 from ..functions.region import FIELDS, budget_error, is_kind, member, region_numbers, region_of, unsigned
@@ -74,7 +75,8 @@ def read_image(images: DataFrame, profile: str = "shipped") -> DataFrame:
 
     Metadata that can't be read is never an error; a region that can't be cut is. With the ``legacy`` profile an image
     over the pixel budget as a whole is one as well, the orientation is told, and so is recognised text where
-    ``include_ocr`` asks for it; a recogniser that does not run is told in its place.
+    ``include_ocr`` asks for it; a recogniser that does not run is told in its place. Its metadata are EXIF fields, then XMP
+    and IPTC ones of other names.
     """
     rows = probe(images)
     have = lambda name, value: F.coalesce(F.col(name), F.lit(value)) if name in images.columns else F.lit(value)
@@ -89,9 +91,14 @@ def read_image(images: DataFrame, profile: str = "shipped") -> DataFrame:
     added = [fields]
     rows = staged(rows, error=F.col("error"), probe=F.col("probe"), region_evidence=F.col("region_evidence"))
     wanted = have("include_metadata", True) & F.col("error").isNull()
-    rows = rows.withColumn(fields, exif_fields(F.when(wanted, F.col("content"))))
-    text = None
+    content = F.when(wanted, F.col("content"))
+    rows = rows.withColumn(fields, exif_fields(content))
+    text = tree = None
     if profile == "legacy":
+        rows = staged(rows, **{fields: packets.merged(F.col(fields), packets.xmp_fields(content), packets.iptc_fields(content))})
+        (tree,) = free_names(rows, "tree")
+        rows = rows.withColumn(tree, meta.redact_tree(F.when(F.size(fields) > 0, meta.metadata_json(F.col(fields)))))
+        added += [tree]
         asked = have("include_ocr", False) & F.col("error").isNull()
         languages = F.col("ocr_languages") if "ocr_languages" in images.columns else F.array(F.lit("eng"))
         rows = rows.withColumn(said, ocr.recognised(F.when(asked, F.col("content")), languages)).withColumn(tsv, F.col(said)["tsv"])
@@ -99,14 +106,18 @@ def read_image(images: DataFrame, profile: str = "shipped") -> DataFrame:
         none = F.array().cast(ocr.LINES)
         text = F.when(asked, F.struct(F.col(tsv).isNotNull().alias("available"), F.coalesce(ocr.shown(F.col(found)), none).alias("lines"), F.col(said)["skipped_reason"].alias("skipped_reason")))
         added += [said, tsv, found]
-    return staged(rows, twin=F.when(F.col("error").isNull(), twin(profile, wanted, F.col(fields), text))).drop(*added)
+    return staged(rows, twin=F.when(F.col("error").isNull(), twin(profile, wanted, F.col(fields), text, F.col(tree) if tree else None))).drop(*added)
 
 
-def twin(profile: str, wanted: Column, fields: Column, text: Column | None = None) -> Column:
-    """The record from the columns path, probe and region_evidence, the EXIF fields, and recognised text."""
+def twin(profile: str, wanted: Column, fields: Column, text: Column | None = None, tree: Column | None = None) -> Column:
+    """The record from the columns path, probe and region_evidence, the metadata fields, and recognised text.
+
+    ``tree`` is struct<json, had_gps> of fields that may hold objects, redacted; without it no value is an object.
+    """
     p, region = F.col("probe"), F.col("region_evidence")
     present = F.size(fields) > 0
     clean, had_gps = meta.redact_flat(fields)
+    shown_fields, had_gps = (meta.metadata_json(clean), had_gps) if tree is None else (tree["json"], tree["had_gps"])
     none = F.array().cast("array<string>")
     warnings = F.concat(
         F.array(F.concat(F.lit("Decode route: "), p["route"], F.lit(" (source hash "), F.substring(p["source_hash"], 1, 12), F.lit("…)."))),
@@ -117,7 +128,7 @@ def twin(profile: str, wanted: Column, fields: Column, text: Column | None = Non
     orientation = [F.element_at(fields, F.lit("Orientation")).try_cast("int").alias("orientation")] if profile == "legacy" else []
     return F.struct(
         basename(F.col("path")).alias("filename"), p["mime"].alias("mime"), F.struct(p["width"].alias("width"), p["height"].alias("height")).alias("dimensions"), *orientation, p["has_alpha"].alias("has_alpha"), p["color_type"].alias("color_space"),
-        F.when(wanted & present, meta.metadata_json(clean)).alias("metadata"), F.when(region.isNotNull(), shown).alias("region_evidence"), *([text.alias("ocr")] if text is not None else []), warnings.alias("trust_warnings"),
+        F.when(wanted & present, shown_fields).alias("metadata"), F.when(region.isNotNull(), shown).alias("region_evidence"), *([text.alias("ocr")] if text is not None else []), warnings.alias("trust_warnings"),
     )
 
 

@@ -20,6 +20,10 @@ REQUEST = "tool string, input string"
 BATCH_BYTES = 1 << 26
 
 
+def too_large(size: int, most: int) -> str | None:
+    return f"Image file exceeds maximum size of {most} bytes." if size > most else None
+
+
 def _read(path: str | None, most: int | None) -> tuple[int | None, bytes | None, str | None]:
     """Size, content and message; the size is looked at before anything is read."""
     if path is None:
@@ -31,8 +35,8 @@ def _read(path: str | None, most: int | None) -> tuple[int | None, bytes | None,
         return None, None, f"Unable to access image at '{path}': {e}"
     if not stat.S_ISREG(found.st_mode):
         return None, None, f"Path '{path}' is not a regular file."
-    if found.st_size > most:
-        return found.st_size, None, f"Image file exceeds maximum size of {most} bytes."
+    if message := too_large(found.st_size, most):
+        return found.st_size, None, message
     try:
         with open(path, "rb") as f:
             return found.st_size, f.read(), None
