@@ -94,7 +94,7 @@ def tiff_size(content: Column) -> Column:
     """struct<width, height> from the first directory of a TIFF image, the last of several values; null where it is broken."""
     digits = lambda start, n: F.hex(F.substring(content, (start + 1).cast("int"), F.lit(n)))
     turned = lambda x: F.concat(*(F.substring(x, k, 2) for k in (7, 5, 3, 1)))
-    number = lambda x, little: _hex_number(F.when(little, turned(x)).otherwise(x))
+    number = lambda x, little: _hex_number(let(x, lambda d: F.when(little, turned(d)).otherwise(d)))
     first = lambda little: F.struct(little.alias("little"), number(digits(F.lit(4), 4), little).alias("at"))
     directory = lambda v: F.struct(v["little"].alias("little"), v["at"].alias("at"), F.when(v["at"] + 2 <= F.length(content), number(digits(v["at"], 2), v["little"])).alias("n"))
 
@@ -114,26 +114,49 @@ def tiff_size(content: Column) -> Column:
 def dimensions(content: Column, fmt: Column) -> Column:
     """struct<width, height>, null where the header is too short or broken. EXIF orientation is not applied."""
     pair = lambda w, h: F.struct(w.cast("long").alias("width"), h.cast("long").alias("height"))
-    signed = lambda x: let(x, lambda v: F.when(v >= 2**31, 2**32 - v).otherwise(v))
     long_enough = lambda n: F.length(content) >= n
-    chunk, packed = _bytes(content, 12, 4), little_endian(content, 21, 4)
-    webp = (
-        F.when((chunk == F.lit(b"VP8X")) & long_enough(30), pair(little_endian(content, 24, 3) + 1, little_endian(content, 27, 3) + 1))
-        .when((chunk == F.lit(b"VP8L")) & long_enough(25), let(packed, lambda v: pair(v % 0x4000 + 1, F.shiftright(v, 14) % 0x4000 + 1)))
-        .when((chunk == F.lit(b"VP8 ")) & long_enough(30), pair(little_endian(content, 26, 2) % 0x4000, little_endian(content, 28, 2) % 0x4000))
-    )
-    old_bmp = little_endian(content, 14, 4) == 12
     return (
         F.when((fmt == "png") & long_enough(24), pair(big_endian(content, 16, 4), big_endian(content, 20, 4)))
         .when((fmt == "gif") & long_enough(10), pair(little_endian(content, 6, 2), little_endian(content, 8, 2)))
-        .when((fmt == "bmp") & long_enough(26) & old_bmp, pair(little_endian(content, 18, 2), little_endian(content, 20, 2)))
-        .when((fmt == "bmp") & long_enough(26), pair(signed(little_endian(content, 18, 4)), signed(little_endian(content, 22, 4))))
-        .when(fmt == "webp", webp)
+        .when(fmt == "bmp", let(F.hex(_bytes(content, 0, 26)), _bmp_size))
+        .when(fmt == "webp", let(F.hex(_bytes(content, 0, 30)), _webp_size))
         .when(fmt == "jpeg", jpeg_size(content))
         .when(fmt == "tiff", tiff_size(content))
     )
 
 
+def _sides(values: Column) -> Column:
+    return F.when(values.isNotNull(), F.struct(values[0].alias("width"), values[1].alias("height")))
+
+
+def _little(head: Column, n: int, starts: tuple[int, int]) -> Column:
+    """The little-endian numbers in n bytes from the two places in a head in hexadecimal digits."""
+    return F.transform(F.array(*map(F.lit, starts)), lambda at: _hex_number(F.concat(*(F.substring(head, 2 * at + 2 * i + 1, F.lit(2)) for i in reversed(range(n))))))
+
+
+def _bmp_size(head: Column) -> Column:
+    """Sides of a BMP by its first 26 bytes; a negative one says that rows go down."""
+    signed = F.transform(_little(head, 4, (18, 22)), lambda v: F.when(v >= 2**31, 2**32 - v).otherwise(v))
+    old = F.substring(head, 29, 8) == "0C000000"
+    return let(F.when(F.length(head) == 52, F.when(old, _little(head, 2, (18, 20))).otherwise(signed)), _sides)
+
+
+def _webp_size(head: Column) -> Column:
+    """Sides of a WebP by its first 30 bytes and the kind of its first chunk."""
+    kind, full = F.substring(head, 25, 8), F.length(head) == 60
+    packed = F.transform(_little(head, 4, (21, 21)), lambda v, i: F.when(i == 0, v).otherwise(F.shiftright(v, 14)) % 0x4000 + 1)
+    values = (
+        F.when((kind == _hex(b"VP8X")) & full, F.transform(_little(head, 3, (24, 27)), lambda v: v + 1))
+        .when((kind == _hex(b"VP8L")) & (F.length(head) >= 50), packed)
+        .when((kind == _hex(b"VP8 ")) & full, F.transform(_little(head, 2, (26, 28)), lambda v: v % 0x4000))
+    )
+    return let(values, _sides)
+
+
+def _hex(magic: bytes) -> str:
+    return magic.hex().upper()
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 

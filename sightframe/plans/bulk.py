@@ -49,16 +49,15 @@ def crop_many(requests: DataFrame, files: DataFrame, most: int = TOGETHER) -> Da
     alone. Rows that repeat are answered as often as they are there; an empty table gives an empty result. Other columns
     of ``requests`` come back as they are and must be of types that can be grouped.
     """
+    option = dict(zip([*_OPTIONS, "region"], free_names(requests, *(f"used_{n}" for n in [*_OPTIONS, "region"]))))
     rows = requests
-    for name, (kind, default) in _OPTIONS.items():
+    for name, (kind, default) in [*_OPTIONS.items(), ("region", (_REGION, None))]:
         given = F.col(name).cast(kind) if name in requests.columns else F.lit(None).cast(kind)
-        rows = rows.withColumn(name, F.coalesce(given, F.lit(default).cast(kind)))
-    if "region" not in requests.columns:
-        rows = rows.withColumn("region", F.lit(None).cast(_REGION))
+        rows = rows.withColumn(option[name], F.coalesce(given, F.lit(default).cast(kind)))
     groups = together(rows, most)
     known = files.select(F.col("path").alias("path"), F.col("length").alias("listed"))
     groups = groups.join(known, "path", "left")
-    limit = F.array_max(F.transform("asked", lambda q: q["max_file_bytes"]))
+    limit = F.array_max(F.transform("asked", lambda q: q[option["max_file_bytes"]]))
     found = first_error(
         F.when(F.col("path").isNull(), error(INVALID_PARAMS, "path is required")),
         F.when(F.col("listed").isNull(), error(INVALID_REQUEST, F.concat(F.lit("Unable to access image at '"), F.col("path"), F.lit("': not in the listing")))),
@@ -68,30 +67,30 @@ def crop_many(requests: DataFrame, files: DataFrame, most: int = TOGETHER) -> Da
     good = read_requested(groups.where("fault is null"))
     bad = groups.where("fault is not null").select("*", F.col("listed").alias("length"), F.lit(None).cast("binary").alias("content"), F.col("fault").alias("error"))
     probed = probe(good.unionByName(bad))
-    return _answers(probed).select(*requests.columns, "length", "probe", "region_evidence", "error")
+    return _answers(probed, option).select(*requests.columns, "length", "probe", "region_evidence", "error")
 
 
-def _answers(probed: DataFrame) -> DataFrame:
-    """One row per request of the parts in ``probed``."""
+def _answers(probed: DataFrame, option: dict[str, str]) -> DataFrame:
+    """One row per request of the parts in ``probed``; ``option`` names the fields of a request with its options."""
     w, h, shared = F.col("probe.width"), F.col("probe.height"), F.col("error")
 
     def judged(q: Column) -> Column:
-        width, height, shrinks = shrunk_size(q["region"]["width"], q["region"]["height"], q["max_region_dimension"])
+        width, height, shrinks = shrunk_size(q[option["region"]]["width"], q[option["region"]]["height"], q[option["max_region_dimension"]])
         size = F.struct(width.alias("width"), height.alias("height"), shrinks.alias("shrinks"))
         return let(size, lambda s: with_error(q, s))
 
     def with_error(q: Column, s: Column) -> Column:
-        own = F.when(q["region"].isNotNull(), region_checks(q["region"], w, h, s["width"], s["height"], q["max_pixels"]))
-        fault = first_error(size_error(F.coalesce("length", "listed"), q["max_file_bytes"]), shared, own)
+        own = F.when(q[option["region"]].isNotNull(), region_checks(q[option["region"]], w, h, s["width"], s["height"], q[option["max_pixels"]]))
+        fault = first_error(size_error(F.coalesce("length", "listed"), q[option["max_file_bytes"]]), shared, own)
         return F.struct(q.alias("q"), s.alias("s"), fault.alias("fault"))
 
     rows = staged(probed, asked=F.transform("asked", judged))
-    wanted = F.transform("asked", lambda a: cut_wanted(a["q"]["region"], a["s"]["width"], a["s"]["height"], a["s"]["shrinks"], a["q"]["include_region_image"], a["fault"].isNull() & a["q"]["region"].isNotNull()))
+    wanted = F.transform("asked", lambda a: cut_wanted(a["q"][option["region"]], a["s"]["width"], a["s"]["height"], a["s"]["shrinks"], a["q"][option["include_region_image"]], a["fault"].isNull() & a["q"][option["region"]].isNotNull()))
     rows = staged(rows, wanted=wanted)
     content = F.when(F.exists("wanted", lambda x: x.isNotNull()), F.col("content"))
     rows = rows.withColumn("cut", cuts(content, F.col("wanted"))).select("path", "length", "probe", F.inline(F.arrays_zip("asked", "cut")))
     failure = F.when(F.col("cut.failure").isNotNull(), error(INVALID_REQUEST, F.col("cut.failure")))
     q, s = F.col("asked.q"), F.col("asked.s")
-    rows = rows.select("path", "length", q.alias("q"), F.coalesce("asked.fault", failure).alias("error"), F.col("probe").alias("found"), evidence(q["region"], s["width"], s["height"], s["shrinks"], F.col("cut")).alias("region_evidence"))
+    rows = rows.select("path", "length", q.alias("q"), F.coalesce("asked.fault", failure).alias("error"), F.col("probe").alias("found"), evidence(q[option["region"]], s["width"], s["height"], s["shrinks"], F.col("cut")).alias("region_evidence"))
     rows = rows.select("path", "length", F.when(F.col("error").isNull(), F.col("found")).alias("probe"), "region_evidence", "error", "q.*")
     return rows.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sightframe import queries
+from sightframe import file_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
