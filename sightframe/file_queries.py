@@ -22,7 +22,7 @@ from .operators import ocr
 from .plans import bulk, read
 from .queries import _query, _table
 from .sources import files
-from .sources.images import read_folder, read_json_requests, write_json
+from .sources.images import read_folder, read_json_requests
 
 
 def _picture(key: int) -> np.ndarray:
@@ -91,9 +91,9 @@ def bulk_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _requests(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """``rows`` (tool, input), written as lines of JSON and read again."""
-    at = f"file://{files.new_folder(spark)}/requests"
-    write_json(rows.select("tool", "input"), at)
-    return read_json_requests(spark, at)
+    at = f"{files.new_folder(spark)}/requests"
+    files.write_records(rows.select("tool", "input"), at)
+    return read_json_requests(spark, f"file://{at}")
 
 
 @_query(f"""WITH p AS (SELECT *, (p_partkey + 3 * (p_partkey % 5) + 5 * (p_size % 4)) % 256 AS v, (p_partkey + 3 * (p_partkey % 5 + 1) + 5 * (p_size % 4)) % 256 AS u, p_partkey % 3 AS k, p_partkey % 3 = 2 AND p_partkey % 7 = 0 AS over FROM part)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import signal
 import subprocess
+import tempfile
+import threading
 from functools import cache
 
 import pandas as pd
@@ -130,14 +133,30 @@ def available(tool: str = TOOL) -> bool:
 def _run(content: bytes, languages: list[str], tool: str) -> tuple[str | None, str | None]:
     if not available(tool):
         return None, "The text recogniser is not installed or not on the path."
-    try:
-        done = subprocess.run([tool, "stdin", "stdout", "-l", "+".join(languages) or "eng", "tsv"], input=content, capture_output=True, timeout=RUN_SECONDS, check=False)
-    except (OSError, subprocess.TimeoutExpired) as e:
-        return None, f"The text recogniser failed to start: {e}"
-    if len(done.stdout) > MOST_OUTPUT:
-        return None, f"The text recogniser failed to start: more than {MOST_OUTPUT} bytes of output"
-    said = done.stderr.decode("utf-8", "replace").strip()
-    return (done.stdout.decode("utf-8", "replace"), None) if done.returncode == 0 else (None, said or f"The text recogniser exited with status {done.returncode}.")
+    with tempfile.TemporaryFile() as given, tempfile.TemporaryFile() as said:
+        given.write(content)
+        given.seek(0)
+        try:
+            run = subprocess.Popen([tool, "stdin", "stdout", "-l", "+".join(languages) or "eng", "tsv"], stdin=given, stdout=subprocess.PIPE, stderr=said)
+        except OSError as e:
+            return None, f"The text recogniser failed to start: {e}"
+        late = threading.Timer(RUN_SECONDS, run.kill)
+        late.start()
+        try:
+            out = run.stdout.read(MOST_OUTPUT + 1)  # no more is ever held; what is left is not read
+            if len(out) > MOST_OUTPUT:
+                run.kill()
+            status = run.wait()
+        finally:
+            late.cancel()
+            run.stdout.close()
+        if len(out) > MOST_OUTPUT:
+            return None, f"The text recogniser failed to start: more than {MOST_OUTPUT} bytes of output"
+        if status == -signal.SIGKILL:
+            return None, f"The text recogniser failed to start: no end after {RUN_SECONDS} seconds"
+        said.seek(0)
+        told = said.read(MOST_OUTPUT).decode("utf-8", "replace").strip()
+    return (out.decode("utf-8", "replace"), None) if status == 0 else (None, told or f"The text recogniser exited with status {status}.")
 
 
 def recognised(content: Column, languages: Column, tool: str = TOOL) -> Column:

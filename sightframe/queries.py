@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import errors, exif, metadata, pixels, region, sniff
+from .functions import errors, exif, metadata, pixels, region, sniff, sql
 from .operators import crop as crop_op
 from .operators import diagnostics, exif_dedup, ocr
 from .operators import probe as probe_op
@@ -476,3 +476,18 @@ def strict_options(spark: SparkSession, sf_dir: str) -> DataFrame:
              '{"path": "/a", "ocr_languages": ["eng", ""]}', '{"path": "/a", "include_metadata": false, "region": {"x": 1, "y": 2, "width": 3, "height": 4}, "ocr_languages": []}', "not json"]
     text = F.get(F.array(F.concat(F.lit('{"path": "/in/'), user, F.lit('"}')), *map(F.lit, texts[1:])), (F.col("event_id") % 8).cast("int"))
     return _table(spark, sf_dir, "events").select("event_id", read.strict_error(text)["message"].alias("message"))
+
+
+@_query("""SELECT p_partkey, 'png' AS format, 'image/png' AS mime, (p_partkey + 1)::BIGINT AS width, p_size::BIGINT AS height, CASE WHEN p_partkey % 4 = 0 OR p_size % 4 = 0 THEN 'Region width and height must be positive.'
+WHEN 2 + p_partkey % 4 > p_partkey + 1 OR 1 + p_size % 4 > p_size THEN 'Region (2, 1, ' || p_partkey % 4 || ', ' || p_size % 4 || ') exceeds image bounds (' || p_partkey + 1 || 'x' || p_size || ').' END AS fault,
+CASE WHEN greatest(p_partkey + 1, p_size) > 10 THEN greatest(floor((p_partkey + 1) * (10::DOUBLE / greatest(p_partkey + 1, p_size)::DOUBLE) + 0.5), 1) ELSE p_partkey + 1 END::BIGINT AS shrunk,
+'["[redacted]","[redacted]"]' AS gps, '"' || p_brand || '"' AS make, true AS had_place FROM part""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query in SQL alone, by the functions of :mod:`.functions.sql`."""
+    sql.register(spark)
+    return spark.sql(
+        """WITH images AS (SELECT p_partkey, p_size, p_brand, unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(p_partkey + 1), 8, '0'), lpad(hex(p_size), 8, '0'), '080600000000000000')) AS content FROM parquet.`{path}`),
+        sized AS (SELECT *, png_size(content) AS size, map('gpsPlace', '[1,2]', 'Make', concat('"', p_brand, '"')) AS fields FROM images)
+        SELECT p_partkey, image_format(content) AS format, image_mime(content) AS mime, size.width, size.height, region_fault(2, 1, p_partkey % 4, p_size % 4, size.width, size.height) AS fault,
+        shrunk_side(size.width, size.width, size.height, 10) AS shrunk, redact_fields(fields)['gpsPlace'] AS gps, redact_fields(fields)['Make'] AS make, has_place(fields) AS had_place FROM sized""".replace("{path}", f"{sf_dir}/part.parquet")
+    )

@@ -1,9 +1,10 @@
-"""Files on storage that the driver and all tasks mount: writing them, and a data source that lists first and reads late."""
+"""Files on storage that the driver and all tasks mount: a source that lists first and reads late, and sinks that leave whole files."""
 
 from __future__ import annotations
 
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,7 +13,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
 from .images import BATCH_BYTES, MAX_FILE_BYTES, too_large
 
@@ -164,6 +165,63 @@ class ImageFilesReader(DataSourceReader):
             yield batch(rows)
 
 
+@dataclass
+class _Attempt(WriterCommitMessage):
+    """The file that a task wrote, and its lines."""
+
+    path: str
+    lines: int
+
+
+class JsonRecords(DataSource):
+    """``df.write.format("json_records").mode("append").save(folder)``: the column ``value`` as lines of JSON.
+
+    A task writes to a file of its own below ``.attempts-...`` and tells its name. The driver renames the files of the tasks
+    that count, one for each partition, and deletes the others, so a task that failed halfway, ran twice or was told too
+    late leaves no line behind; after an abort nothing is there. Readers never see half a file.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "json_records"
+
+    def writer(self, schema: object, overwrite: bool) -> DataSourceArrowWriter:
+        if overwrite:
+            raise ValueError("json_records appends only")
+        return JsonRecordsWriter(mounted(self.options["path"]))
+
+
+class JsonRecordsWriter(DataSourceArrowWriter):
+    def __init__(self, folder: str) -> None:
+        self.folder, self.job = folder, uuid.uuid4().hex
+        self.attempts = f"{folder}/.attempts-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Attempt:
+        os.makedirs(self.attempts, exist_ok=True)
+        path, n = f"{self.attempts}/{uuid.uuid4().hex}", 0
+        with open(path, "w", encoding="utf-8") as f:
+            for batch in iterator:
+                for value in batch.column(0):
+                    f.write(value.as_py() + "\n")
+                    n += 1
+        return _Attempt(path, n)
+
+    def commit(self, messages: list[_Attempt | None]) -> None:
+        os.makedirs(self.folder, exist_ok=True)
+        for i, m in enumerate(m for m in messages if m is not None and m.lines):
+            os.replace(m.path, f"{self.folder}/part-{self.job}-{i:05d}.json")
+        shutil.rmtree(self.attempts, ignore_errors=True)
+
+    def abort(self, messages: list[_Attempt | None]) -> None:
+        shutil.rmtree(self.attempts, ignore_errors=True)
+
+
+def write_records(records: DataFrame, folder: str) -> None:
+    """Append one line of JSON per row to ``folder``."""
+    records.sparkSession.dataSource.register(JsonRecords)
+    records.select(F.to_json(F.struct(*records.columns)).alias("value")).write.format("json_records").mode("append").save(folder)
+
+
 def register(spark: SparkSession) -> None:
     """Make ``image_files`` known to a session, and let Spark push filters into Python sources (``spark.sql.python.filterPushdown.enabled``)."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

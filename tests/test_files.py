@@ -2,15 +2,20 @@
 
 import os
 import random
+import socket
 import struct
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, LessThanOrEqual, Not, StringEndsWith
 
-from sightframe.functions import packets, pixels, sniff
+from sightframe.functions import packets, pixels, sniff, sql
 from sightframe.functions.stages import let, staged
 from sightframe.operators import crop as crop_op
+from sightframe.operators import diagnostics, ocr
 from sightframe.plans import bulk, read
 from sightframe.sources import files
 from sightframe.sources.images import read_requested
@@ -235,3 +240,102 @@ def test_stages(spark):
     assert df.select(let(F.col("x"), lambda v: F.concat(v, v)).alias("v")).first()["v"] == "a,ba,b"
     requests = spark.createDataFrame([("read_image", "{}")], "tool string, input string")
     assert len(read.answer(requests)._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+
+
+def lines_in(folder):
+    return sorted(line for p in folder.glob("*.json") for line in p.read_text().splitlines())
+
+
+def test_records(spark, tmp_path):
+    """Only attempts that count leave lines: not one that failed halfway, nor a second one of the same rows; an abort leaves none."""
+    at = tmp_path / "out"
+    files.write_records(spark.range(10).repartition(3), str(at))
+    files.write_records(spark.range(10, 12), f"file://{at}")
+    assert lines_in(at) == sorted(f'{{"id":{i}}}' for i in range(12)) and not [p for p in at.iterdir() if p.name.startswith(".")]
+    batch = lambda *v: pa.RecordBatch.from_pydict({"value": list(v)})
+
+    def failing():
+        yield batch("lost")
+        raise RuntimeError
+
+    writer = files.JsonRecordsWriter(str(tmp_path / "two"))
+    with pytest.raises(RuntimeError):
+        writer.write(failing())
+    writer.write(iter([batch("a", "b")]))
+    writer.commit([writer.write(iter([batch("a", "b")])), writer.write(iter([])), None])
+    assert lines_in(tmp_path / "two") == ["a", "b"] and len(list((tmp_path / "two").iterdir())) == 1
+    gone = files.JsonRecordsWriter(str(tmp_path / "two"))
+    gone.abort([gone.write(iter([batch("c")])), None])
+    assert lines_in(tmp_path / "two") == ["a", "b"] and len(list((tmp_path / "two").iterdir())) == 1
+
+
+RETRIED = """
+import os, sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from sightframe.sources import files
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+def run(batches):
+    for batch in batches:
+        yield batch
+        if 7 in batch.column(0).to_pylist() and not os.path.exists({flag!r}):
+            open({flag!r}, "w").close()
+            raise RuntimeError("once")
+spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+files.write_records(spark.range(0, 20, 1, 4).mapInArrow(run, "id long"), {out!r})
+"""
+
+
+def test_task_that_fails_once(tmp_path):
+    """A task that fails after some of its rows and runs again leaves each of them once."""
+    root, out = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), tmp_path / "out"
+    done = subprocess.run([sys.executable, "-c", RETRIED.format(root=root, flag=str(tmp_path / "flag"), out=str(out))], capture_output=True, timeout=300, env={**os.environ, "PYTHONPATH": root}, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert (tmp_path / "flag").exists() and lines_in(out) == sorted(f'{{"id":{i}}}' for i in range(20)) and not [p for p in out.iterdir() if p.name.startswith(".")]
+
+
+def script(tmp_path, name, body):
+    at = tmp_path / name
+    at.write_text("#!/bin/sh\n" + body)
+    at.chmod(0o700)
+    return str(at)
+
+
+def test_recogniser_is_bounded(tmp_path, monkeypatch):
+    """Output is read up to the bound, and a run that does not end is ended."""
+    endless = script(tmp_path, "endless", '[ "$1" = --version ] && exit 0\nexec yes\n')
+    tsv, said = ocr._run(b"", ["eng"], endless)
+    assert tsv is None and "bytes of output" in said
+    monkeypatch.setattr(ocr, "RUN_SECONDS", 0.5)
+    asleep = script(tmp_path, "asleep", '[ "$1" = --version ] && exit 0\nexec sleep 60\n')
+    assert "no end after" in ocr._run(b"", [], asleep)[1]
+    failing = script(tmp_path, "failing", '[ "$1" = --version ] && exit 0\necho "$4" >&2; exit 3\n')
+    assert ocr._run(b"x" * 1_000_000, ["eng", "deu"], failing) == (None, "eng+deu")
+    echo = script(tmp_path, "echo", '[ "$1" = --version ] && exit 0\nexec cat\n')
+    assert ocr._run(b"y" * 1_000_000, [], echo) == ("y" * 1_000_000, None)
+
+
+def test_doctor_where_tasks_run(spark, tmp_path):
+    """Every slot is looked at at once, and a recogniser that one process lacks shows as a warning of its host."""
+    once = script(tmp_path, "once", f"mkdir {tmp_path}/lock 2>/dev/null && exit 0\nexit 1\n")
+    rows = diagnostics.executor_checks(spark, 2, str(tmp_path), once).collect()
+    by = {r["id"]: r for r in rows}
+    assert by["text_recogniser"]["status"] == "warn" and by["text_recogniser"]["host"] == socket.gethostname() and by["shared_folder"]["status"] == "ok" and len(rows) == 5
+    gone = diagnostics.executor_checks(spark, 2, str(tmp_path / "no"), once)
+    assert diagnostics.overall(gone).first()["status"] == "unavailable"
+    whole = {(r["id"], r["host"]) for r in diagnostics.doctor(spark, 2).collect()}
+    assert ("spark", "driver") in whole and ("python", socket.gethostname()) in whole
+
+
+def test_sql_functions(spark):
+    """Functions in SQL alone tell what the expressions tell, and Catalyst puts their bodies in place."""
+    sql.register(spark)
+    heads = [b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 70_000, 3), b"\xff\xd8\xff", b"GIF89a", b"RIFF....WEBP", b"MM\0*", b"BM", b"", None]
+    df = spark.createDataFrame([(None if h is None else bytearray(h),) for h in heads], "content binary")
+    df.createOrReplaceTempView("heads")
+    rows = spark.sql("SELECT content, image_format(content) AS f, png_size(content) AS s, content_hash(content) AS h FROM heads")
+    want = df.select(sniff.image_format(F.col("content")).alias("f"), F.when(sniff.image_format(F.col("content")) == "png", sniff.dimensions(F.col("content"), F.lit("png"))).alias("s"), sniff.content_hash(F.col("content")).alias("h"))
+    assert rows.select("f", "s", "h").collect() == want.collect()
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQLFunction" not in plan and "EvalPython" not in plan
+    assert spark.sql("SELECT region_fault(4294967290, 0, 8, 1, 10, 10) AS a, shrunk_side(10, 20, 10, 5) AS b, is_place_key('Lat') AS c, has_place(map('lng', '1')) AS d").first()[1:] == (3, False, True)
