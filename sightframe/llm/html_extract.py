@@ -10,8 +10,8 @@ Every page is then matched with its host's wrapper, and what its pages have in e
 how many of them are in links, and how many different texts in how many different articles. So the wrapper tells the
 template, whose slots have the same text in different articles, from the data. The element of the wrapper that holds
 the data is the article: an ``article`` or ``main`` with a fair share of it, or else the smallest element with most of
-it. Elements that HTML or their name declare to be no part of it are set aside; where a name may mean either, the slots
-decide. What remains of the article's slots is kept, and a page's main text is what it has at the kept slots' places.
+it. Elements that HTML or their name declare to be no part of it are set aside; where a name may mean either, or inside an
+article its subject, the slots decide, and what readers write is told by repeated groups below a name for it. What remains of the article's slots is kept, and a page's main text is what it has at the kept slots' places.
 """
 
 from __future__ import annotations
@@ -51,6 +51,10 @@ _ASIDE_ROLE = frozenset("navigation banner contentinfo complementary search form
 _ASIDE_NAME = re.compile(r"(?:^|[\s._-])(?:ads?|adverts?|advertisements?|advertising|sponsored|cookies?|consent|popup|modal|newsletter|subscri(?:be|ption)|sign-?up|login|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|footer|masthead|site-?header|comments?|comment-?list|disqus)(?:$|[\s._-])", re.I)
 #: Names that may mean either; only where the element's slots are layout is it set aside.
 _MAYBE_NAME = re.compile(r"(?:^|[\s._-])(?:sponsors?|promo(?:tion)?s?|banner|notices?|alert|page-?header|respond|discussion|replies|share|sharing|social|related|recommended|widget|tags?|tags?-?list)(?:$|[\s._-])", re.I)
+#: Names that inside an article may also be its subject; there they are set aside only where the slots say so too.
+_TOPIC_NAME = re.compile(r"(?:^|[\s._-])(?:menu|cookies?|login|advertising)(?:$|[\s._-])", re.I)
+#: Names of what readers write, if groups repeat below them.
+_READERS = re.compile(r"(?:^|[\s._-])(?:comments|feedback|reviews?|responses?|opinions)(?:$|[\s._-])", re.I)
 #: Elements of text, which names don't set aside and which are no article by themselves.
 _TEXT = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre caption figcaption summary td th tr tbody thead tfoot address html body".split())
 #: Elements whose adjacent copies fold though they have no name.
@@ -223,6 +227,11 @@ def _tag(name: str) -> str:
     return re.split(r"[.@]", name, maxsplit=1)[0]
 
 
+def _said(name: str) -> str:
+    """Class and id of an element."""
+    return name.partition("@")[0].partition(".")[2]
+
+
 def _outside(path: str) -> bool:
     """Whether an element on the path is declared to be no part of an article."""
     within = False
@@ -230,7 +239,8 @@ def _outside(path: str) -> bool:
         tag, role = _tag(name), name.partition("@")[2]
         if tag in _ASIDE or tag == "header" and not within or role in _ASIDE_ROLE:
             return True
-        if tag not in _TEXT and _ASIDE_NAME.search(name.partition("@")[0].partition(".")[2]):
+        said = _said(name)
+        if tag not in _TEXT and _ASIDE_NAME.search(_TOPIC_NAME.sub(" ", said) if within else said):
             return True
         within = within or tag in ("article", "main")
     return False
@@ -241,7 +251,8 @@ def kept_slots(wrapper: list[list], seen: dict[int, tuple[int, int, int, int]])
     paths: list[str] = []
     inside: dict[int, list[int]] = {}
     stack: list[int] = []
-    for i, (token, _, _) in enumerate(wrapper):
+    groups: set[int] = set()  # elements with repeated elements below them
+    for i, (token, _, again) in enumerate(wrapper):
         kind, path = token[0], token[1:]
         around = path.rpartition(">")[0] if kind == "<" else path
         while stack and paths[stack[-1]] != around and not around.startswith(paths[stack[-1]] + ">"):
@@ -251,6 +262,8 @@ def kept_slots(wrapper: list[list], seen: dict[int, tuple[int, int, int, int]])
             stack.append(len(paths) - 1)
         elif kind == "/" and stack and paths[stack[-1]] == path:
             stack.pop()
+            if again:
+                groups |= set(stack)
         elif kind == "#" and i in seen:
             inside[i] = list(stack)
     of: list[list[int]] = [[] for _ in paths]
@@ -264,7 +277,11 @@ def kept_slots(wrapper: list[list], seen: dict[int, tuple[int, int, int, int]])
         name = paths[e].rpartition(">")[2]
         chars, links = (sum(seen[i][k] for i in of[e]) for k in (2, 3))
         linked, fixed = links >= HALF * chars, all(varied[i] < HALF for i in of[e])
-        return linked or fixed if _MAYBE_NAME.search(name.partition("@")[0].partition(".")[2]) else linked and fixed
+        if _TOPIC_NAME.search(_said(name)) and max(seen[i][0] for i in of[e]) < 2:
+            return True  # one article tells nothing of its host's slots, so the name decides
+        if _READERS.search(_said(name)) and e in groups:
+            return True
+        return linked or fixed if _MAYBE_NAME.search(_said(name)) or _TOPIC_NAME.search(_said(name)) else linked and fixed
 
     aside = {e for e in range(len(paths)) if of[e] and _tag(paths[e].rpartition(">")[2]) not in _TEXT and layout(e)}
     slots = [i for i, elements in inside.items() if not aside & set(elements) and not _outside(wrapper[i][0][1:])]

@@ -3,6 +3,7 @@
 import html
 import json
 import os
+import random
 import re
 import subprocess
 import sys
@@ -365,6 +366,22 @@ def test_extract_names_that_may_mean_either(spark):
     assert extracted(spark, pages) == dict(enumerate(want))
 
 
+def test_extract_topics_and_readers(spark):
+    """A name that may be an article's subject doesn't set aside text that varies; what readers write in groups goes, and so do the host's own notices."""
+    r = random.Random(8)
+    say = lambda n: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(24):
+        name = ("menu", "cookies", "login", "advertising")[i % 4]
+        first, second = say(60), say(40)
+        entries = "".join(f"<div class='entry'><b>{say(1)}</b><p>{say(12)}</p></div>" for _ in range(2 + i % 3))
+        notice = "<div class='cookies'><p>This site keeps cookies</p></div><div class='login'><a href='/in'>Log in here</a></div>"
+        rows.append((i, f"http://{name}.org/{i}", f"<body><article><p>{first}</p><div class='{name}'><p>{second}</p></div>{notice if name == 'menu' else ''}<section class='feedback'>{entries}</section></article></body>"))
+        want[i] = f"{first}\n\n{second}"
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_wrapper_language():
     """A wrapper matches the streams that it was made of."""
     streams = [html_extract.Page(x).stream()[0] for x in ("<div><h1>a</h1><p>b</p><p>c</p></div>", "<div><h1>a</h1><p>b</p></div>", "<div><p>b</p><ul><li>x</li><li>y</li></ul></div>")]
