@@ -278,7 +278,12 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark text, and with the same columns."""
+    """``docs`` without the rows that hold a benchmark text, and with the same columns, whatever their names.
+
+    Null and empty texts hold none and stay; texts are searched whole, however long. Rows that repeat stay or go each by
+    its text; ids are not read. Null and empty items are held by nothing. An empty table gives an empty result, and an
+    empty benchmark all rows.
+    """
     spark = docs.sparkSession
     for known in _blocks(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(known)

@@ -297,7 +297,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model keeps, with the same columns."""
+    """The rows of ``docs`` that the model keeps, with the same columns, whatever their names.
+
+    Null and empty texts have no words and are judged by the bias; texts are judged whole, however long. Rows that repeat
+    are judged alike and each stay or go; null ids don't matter. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,11 +37,13 @@ _written: list[str] = []
 
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
-    """Delete the steps that are written inside, once the results made of them are written too."""
+    """Delete the steps that are written inside, once the results made of them are written too, or when that fails."""
     before = len(_written)
-    yield
-    paths, _written[before:] = _written[before:], []
-    _delete(spark, paths)
+    try:
+        yield
+    finally:
+        paths, _written[before:] = _written[before:], []
+        _delete(spark, paths)
 
 
 @contextmanager

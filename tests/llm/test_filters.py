@@ -515,3 +515,13 @@ print(json.dumps([sorted(e.queries()), e.queries()["tool_routes"](spark, {SF!r})
     names, rows = json.loads(done.stdout.strip().splitlines()[-1])
     assert rows == 1000
     assert "probe_png" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
+
+
+def test_empty_tables(spark, docs, tmp_path):
+    """Decontamination and the whole pipeline with tables without rows."""
+    items = spark.createDataFrame([(1, "some benchmark text of ten words that is long enough")], "item_id long, text string")
+    assert decontaminate.decontaminate(docs([]), items).collect() == []
+    assert decontaminate.decontaminate(docs([(1, "a"), (None, None)]), items.where("item_id > 1")).count() == 2
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
