@@ -339,3 +339,14 @@ def test_sql_functions(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "SQLFunction" not in plan and "EvalPython" not in plan
     assert spark.sql("SELECT region_fault(4294967290, 0, 8, 1, 10, 10) AS a, shrunk_side(10, 20, 10, 5) AS b, is_place_key('Lat') AS c, has_place(map('lng', '1')) AS d").first()[1:] == (3, False, True)
+
+
+def test_hints(spark):
+    """An error says what to do next, by what was wrong and by the tool."""
+    import json
+
+    rows = [("read_image", "{}", "path"), ("crop_region", '{"path": "/no/such"}', "region"), ("image_probe", '{"path": "/no/such"}', "image_probe"), ("read_video", "{}", "image_probe"),
+            ("crop_region", '{"path": "/no/such", "region": {"x": 0, "y": 0, "width": 1, "height": 1}}', "crop_region"), ("read_image", '{"path": "/", "region": {"x": -1}}', "region")]
+    got = [json.loads(r["answer"]) for r in read.answer(spark.createDataFrame(rows, "tool string, input string, want string").coalesce(1)).collect()]
+    assert [a["status"] for a in got] == ["error"] * 6
+    assert [a["next_action"] for a in got] == [read.HINTS[w] for _, _, w in rows]
