@@ -487,7 +487,9 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, similarity: float = 0.
     """``docs`` without the passages of :func:`repeated_passages`, and with the same columns.
 
     A document of which nothing is left goes. ``chars_col``, where given, is set to the new number of characters.
-    Rows without repeated passages stay as they are.
+    Rows without repeated passages stay as they are, and so do null and empty texts, short ones, and rows without a
+    doc_id. Rows that repeat a doc_id are one document and lose the same words. Texts are worked on whole, however long.
+    An empty table gives an empty result; other columns come back as they are, whatever their names.
     """
     spans = repeated_passages(docs, min_words, similarity, id_col, text_col)
     by_doc = materialize(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("cuts")))
