@@ -41,6 +41,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in four partitions for each core: a table of small rows is one file of a few splits, and much is done for each row."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _be(x: Column, n: int) -> Column:
     return F.unhex(F.lpad(F.hex(x.cast("long")), 2 * n, "0"))
 

@@ -46,16 +46,22 @@ def write_files(rows: DataFrame, folder: str, name_col: str = "name", content_co
     """Write one file per row into ``folder``, and tell how many.
 
     A file is written under another name and then renamed, so that a task that is run again or twice leaves whole files
-    and none beside them. Rows without name or content are left out; of rows with one name any one stays.
+    and none beside them. Rows without name or content are left out; of rows with one name any one stays. Names may lie
+    in folders below ``folder``, which are made: in one folder, files are written one at a time and listed by one thread.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = {folder}
         for batch in batches:
             n = 0
             for name, content in zip(batch.column(0), batch.column(1)):
                 if name.is_valid and content.is_valid:
                     at = os.path.join(folder, name.as_py())
-                    part = os.path.join(folder, f".{uuid.uuid4().hex}")
+                    below = os.path.dirname(at)
+                    if below not in made:
+                        os.makedirs(below, exist_ok=True)
+                        made.add(below)
+                    part = os.path.join(below, f".{uuid.uuid4().hex}")
                     with open(part, "wb") as f:
                         f.write(content.as_py())
                     os.replace(part, at)

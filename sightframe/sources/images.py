@@ -18,6 +18,8 @@ MAX_FILE_BYTES, MAX_PIXELS = 33_554_432, 67_108_864
 REQUEST = "tool string, input string"
 #: Bytes of file content that one batch holds, unless a single file is larger.
 BATCH_BYTES = 1 << 26
+#: Spark's file partitions that one task of :func:`read_folder` reads, where there are enough of them: each holds 32 files at most.
+PARTITIONS = 64
 
 
 def too_large(size: int, most: int) -> str | None:
@@ -84,10 +86,12 @@ def read_folder(spark: SparkSession, path: str, pattern: str | None = None, max_
     """path, length, content and error of the files below a folder, by Spark's own reader.
 
     Files over the limit are rows with an error and are never opened. Spark leaves out empty files and names that begin
-    with a dot or underscore; :func:`read_requested` does not.
+    with a dot or underscore; :func:`read_requested` does not. A task reads several of Spark's partitions, which hold 32
+    files at most however small those are, so that small files don't become a task for every 32 of them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (files.option("pathGlobFilter", pattern) if pattern else files).load(path)
+    files = files.coalesce(max(4 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // PARTITIONS))
     small = files.where(F.col("length") <= max_file_bytes).select("path", "length", "content", F.lit(None).cast("struct<code:string,message:string>").alias("error"))
     large = files.where(F.col("length") > max_file_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"), size_error(F.col("length"), F.lit(max_file_bytes)).alias("error"))
     return small.union(large)
