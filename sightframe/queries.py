@@ -231,7 +231,7 @@ def _drawn(made: Callable[[int], bytes]):  # noqa: ANN202
 
 
 def _cropped(spark: SparkSession, sf_dir: str, made: Callable[[int], bytes], box: Column, limit: int | None = None) -> DataFrame:
-    rows = _table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(_drawn(made), "p_partkey long, p_size int, content binary")
+    rows = _spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size")).mapInArrow(_drawn(made), "p_partkey long, p_size int, content binary")
     rows = rows.withColumn("region", box).withColumn("include_region_image", F.lit(True)).withColumn("max_region_dimension", F.lit(limit).cast("long"))
     return crop_op.crop(probe_op.probe(rows))
 
