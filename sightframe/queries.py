@@ -197,7 +197,7 @@ def _sums(png: pd.Series) -> pd.DataFrame:
 @_query("""WITH p AS (SELECT p_partkey, p_partkey % 5 AS x, p_size % 4 AS y FROM part), px AS (SELECT p_partkey, x, y, (p_partkey + 3 * (x + i) + 5 * (y + j)) % 256 AS v FROM p, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(2)) AS j))
 SELECT p_partkey, 3::BIGINT AS width, 2::BIGINT AS height, 6::BIGINT AS pixel_count, sum(v)::BIGINT AS red, sum(v // 2)::BIGINT AS green, sum(255 - v)::BIGINT AS blue FROM px GROUP BY p_partkey, x, y""")
 def crop_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(_draw, "p_partkey long, p_size int, content binary")
+    rows = _spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size")).mapInArrow(_draw, "p_partkey long, p_size int, content binary")
     c = lambda x: x.cast("long")
     box = F.struct(c(F.col("p_partkey") % 5).alias("x"), c(F.col("p_size") % 4).alias("y"), F.lit(3).cast("long").alias("width"), F.lit(2).cast("long").alias("height"))
     e = F.col("region_evidence")
@@ -348,7 +348,7 @@ def exif_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     block = F.concat(_raw(b"II*\0"), n(8, 4), directory, _le(F.col("p_size"), 4), n(4, 4), n(1, 2), entry(0x0001, 2, F.lit(2), _raw(b"N\0\0\0")), n(0, 4), make, model)
     content = F.when(k % 2 == 0, block).otherwise(F.concat(_raw(b"\xff\xd8\xff\xe1"), _be(F.length(block) + 8, 2), _raw(b"Exif\0\0"), block, _raw(b"\xff\xda")))
-    rows = _table(spark, sf_dir, "part").select("p_partkey", exif.exif_fields(content).alias("m"))
+    rows = _spread(_table(spark, sf_dir, "part")).select("p_partkey", exif.exif_fields(content).alias("m"))
     clean, _ = metadata.redact_flat(F.col("m"))
     text = lambda name: F.get_json_object(F.concat(F.lit('{"v":'), clean[name], F.lit("}")), "$.v")
     return rows.select("p_partkey", text("Make").alias("make"), text("Model").alias("model"), clean["Orientation"].alias("orientation"), clean["ExposureTime"].cast("double").alias("exposure"), clean["GPSLatitudeRef"].alias("gps"))
@@ -444,7 +444,7 @@ def exif_png_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.concat(_raw(b"II*\0"), n(8, 4), directory, make)
     png = F.concat(_raw(b"\x89PNG\r\n\x1a\n\0\0\0\0tEXt\0\0\0\0"), _be(F.length(block), 4), _raw(b"eXIf"), block, _raw(b"\0\0\0\0"))
     webp = F.concat(_raw(b"RIFF\0\0\0\0WEBPVP8 \x01\0\0\0\0\0EXIF"), _le(F.length(block), 4), block)
-    rows = _table(spark, sf_dir, "part").select("p_partkey", exif.exif_fields(F.when(F.col("p_partkey") % 2 == 0, png).otherwise(webp)).alias("m"))
+    rows = _spread(_table(spark, sf_dir, "part")).select("p_partkey", exif.exif_fields(F.when(F.col("p_partkey") % 2 == 0, png).otherwise(webp)).alias("m"))
     make = F.get_json_object(F.concat(F.lit('{"v":'), F.col("m")["Make"], F.lit("}")), "$.v")
     return rows.select("p_partkey", make.alias("make"), F.col("m")["Orientation"].alias("orientation"), F.col("m")["Software"].alias("software"))
 
