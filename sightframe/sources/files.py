@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .images import BATCH_BYTES, MAX_FILE_BYTES, too_large
 
 #: Bytes of files that one partition of :class:`ImageFiles` reads, unless a single file is larger, and what opening a file counts for.
-PARTITION_BYTES, OPEN_BYTES = 128 << 20, 1 << 20
+PARTITION_BYTES, OPEN_BYTES = 128 << 20, 1 << 16
 
 
 def mounted(path: str) -> str:
