@@ -23,3 +23,16 @@ def staged(rows: DataFrame, **columns: Column) -> DataFrame:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, and not written out wherever it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Bytes of a batch that goes to Python, unless the session sets its own bound; Spark's is 64 MB, and objects made of them take several times that.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows``, in a session whose batches for Python are bounded by bytes: a row with long text or a long array is not one of ten thousand."""
+    conf = rows.sparkSession.conf
+    if _BATCHES not in conf.getAll:
+        conf.set(_BATCHES, str(BATCH_BYTES))
+    return rows

@@ -33,14 +33,16 @@ def _piece(image: np.ndarray, x: int, y: int, width: int, height: int, to: tuple
 def _cut_all(data: bytes | None, wanted: list[dict | None]) -> list[tuple]:
     """What is cut out of one image for every region wanted; the image is decoded once, down to the last row that is needed.
 
-    Null for regions that are null, and for all where there is no content.
+    Null for regions that are null, and for all where there is no content. Regions that are wanted several times are cut once.
     """
     boxes = [w for w in wanted if w is not None]
     if data is None or not boxes:
         return [_NO_CUT] * len(wanted)
     try:
         image = pixels.decode(data, max(w["y"] + w["height"] for w in boxes))
-        return [_NO_CUT if w is None else _piece(image, w["x"], w["y"], w["width"], w["height"], (w["to_width"], w["to_height"]) if w["shrinks"] else None, bool(w["shown"])) for w in wanted]
+        keys = [None if w is None else tuple(w.values()) for w in wanted]
+        found = {k: _piece(image, w["x"], w["y"], w["width"], w["height"], (w["to_width"], w["to_height"]) if w["shrinks"] else None, bool(w["shown"])) for k, w in dict(zip(keys, wanted)).items() if w is not None}
+        return [_NO_CUT if k is None else found[k] for k in keys]
     except (pixels.CannotDecode, ValueError, IndexError) as e:
         return [_NO_CUT if w is None else (None, None, None, f"Failed to decode image for crop: {e}") for w in wanted]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.errors import INVALID_PARAMS, INVALID_REQUEST, error, first_error
 from ..functions.names import free_names
 from ..functions.region import FIELDS, shrunk_size
-from ..functions.stages import let, staged
+from ..functions.stages import bounded, let, staged
 from ..operators.crop import cut_wanted, cuts, evidence, region_checks
 from ..operators.probe import probe
 from ..sources.images import MAX_FILE_BYTES, MAX_PIXELS, read_requested, size_error
@@ -64,7 +64,7 @@ def crop_many(requests: DataFrame, files: DataFrame, most: int = TOGETHER) -> Da
         size_error(F.col("listed"), limit),
     )
     groups = staged(groups, fault=found, max_file_bytes=limit)
-    good = read_requested(groups.where("fault is null"))
+    good = read_requested(bounded(groups.where("fault is null")))  # each row holds up to TOGETHER requests
     bad = groups.where("fault is not null").select("*", F.col("listed").alias("length"), F.lit(None).cast("binary").alias("content"), F.col("fault").alias("error"))
     probed = probe(good.unionByName(bad))
     return _answers(probed, option).select(*requests.columns, "length", "probe", "region_evidence", "error")
