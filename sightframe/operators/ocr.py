@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stages import staged
+from ..functions.stages import bounded, staged
 
 #: Columns of the recogniser's table: level, line, left, top, width, height, confidence, text; and what a word's level is.
 _LEVEL, _LINE, _LEFT, _TOP, _WIDTH, _HEIGHT, _SURE, _TEXT, WORD = 0, 4, 6, 7, 8, 9, 10, 11, 5
@@ -171,4 +171,4 @@ def recognised(content: Column, languages: Column, tool: str = TOOL) -> Column:
 
 def recognise(images: DataFrame, tool: str = TOOL) -> DataFrame:
     """image_id, tsv and skipped_reason of images (image_id, content, ocr_languages)."""
-    return images.select("image_id", recognised(F.col("content"), F.col("ocr_languages"), tool).alias("r")).select("image_id", "r.*")
+    return bounded(images).select("image_id", recognised(F.col("content"), F.col("ocr_languages"), tool).alias("r")).select("image_id", "r.*")
