@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import signal
 import subprocess
 import tempfile
 import threading
+from collections.abc import Callable
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,98 +21,107 @@ from ..functions.stages import bounded, staged
 
 #: Columns of the recogniser's table: level, line, left, top, width, height, confidence, text; and what a word's level is.
 _LEVEL, _LINE, _LEFT, _TOP, _WIDTH, _HEIGHT, _SURE, _TEXT, WORD = 0, 4, 6, 7, 8, 9, 10, 11, 5
-_BLANK = r"[\s   -     　﻿]"
+#: What counts as blank, in texts and before numbers.
+_BLANKS = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Seconds for the check and for a run, and bytes of output.
 CHECK_SECONDS, RUN_SECONDS, MOST_OUTPUT = 2.5, 60, 10 << 20
 TOOL = "tesseract"
 LINES = "array<struct<text:string,x:long,y:long,width:long,height:long,confidence:double>>"
-
-
-def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
-
-
-def whole(text: Column) -> Column:
-    """The whole number that a text begins with, after blanks; null if none."""
-    return F.regexp_extract(text, f"^{_BLANK}*([+-]?[0-9]+)", 1).try_cast("long")
-
-
-def real(text: Column) -> Column:
-    """The number that a text begins with, after blanks; null if none."""
-    return F.regexp_extract(text, rf"^{_BLANK}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
-
-
-def word_array(tsv: Column) -> Column:
-    """The words of a table: line number, left, place in the table, top, right, bottom, confidence and text of each."""
-    rows = F.filter(F.filter(F.split(tsv, "\r?\n"), lambda x: F.length(x) > 0), lambda x, i: i > 0)
-    cells = F.transform(rows, lambda x: F.split(x, "\t"))
-    number = lambda c, k: whole(F.get(c, F.lit(k)))
-
-    def word(c: Column, i: Column) -> Column:
-        return F.struct(
-            number(c, _LINE).alias("line"), number(c, _LEFT).alias("left"), i.alias("ord"), number(c, _TOP).alias("top"), F.coalesce(number(c, _WIDTH), F.lit(0)).cast("long").alias("width"),
-            F.coalesce(number(c, _HEIGHT), F.lit(0)).cast("long").alias("height"), F.coalesce(real(F.get(c, F.lit(_SURE))), F.lit(0.0)).alias("sure"), _trim(F.get(c, F.lit(_TEXT))).alias("text"),
-        )
-
-    words = F.transform(F.filter(cells, lambda c: (F.size(c) > _TEXT) & (number(c, _LEVEL) == WORD)), word)
-    return F.filter(words, lambda w: (F.length(w["text"]) > 0) & w["line"].isNotNull() & w["left"].isNotNull() & w["top"].isNotNull())
-
-
-#: The line that a fold over words has open: its sums so far.
-_OPEN = "struct<y:bigint,x:bigint,first:int,line:bigint,text:string,right:bigint,bottom:bigint,sure:double,known:bigint>"
 _CLOSED = "array<struct<y:bigint,x:bigint,first:int,line:bigint,text:string,width:bigint,height:bigint,confidence:double>>"
+_FIELDS = ["y", "x", "first", "line", "text", "width", "height", "confidence"]
 
 
-def _opened(w: Column) -> Column:
-    known = w["sure"] >= 0
-    return F.struct(
-        w["top"].alias("y"), w["left"].alias("x"), w["ord"].alias("first"), w["line"].alias("line"), w["text"].alias("text"), (w["left"] + w["width"]).alias("right"), (w["top"] + w["height"]).alias("bottom"),
-        F.when(known, w["sure"]).otherwise(0.0).alias("sure"), known.cast("long").alias("known"),
-    )
-
+def _whole(text: str) -> int | None:
+    """The whole number that a text begins with, after blanks; null if none, or if it is not a long."""
+    found = re.match("[+-]?[0-9]+", text.lstrip(_BLANKS))
+    digits = found and found[0].lstrip("+-").lstrip("0")
+    value = None if found is None or len(digits) > 19 else int(digits or 0) * (-1 if found[0][0] == "-" else 1)
+    return value if value is not None and -(1 << 63) <= value < 1 << 63 else None
 
-def _extended(o: Column, w: Column) -> Column:
-    n = _opened(w)
-    return F.struct(
-        F.least(o["y"], n["y"]).alias("y"), F.least(o["x"], n["x"]).alias("x"), F.least(o["first"], n["first"]).alias("first"), o["line"].alias("line"), F.concat(o["text"], F.lit(" "), n["text"]).alias("text"),
-        F.greatest(o["right"], n["right"]).alias("right"), F.greatest(o["bottom"], n["bottom"]).alias("bottom"), (o["sure"] + n["sure"]).alias("sure"), (o["known"] + n["known"]).alias("known"),
-    )
 
-
-def _closed(o: Column) -> Column:
-    """The open line as an array of one line; none is open before the first word."""
-    line = F.struct(
-        o["y"].alias("y"), o["x"].alias("x"), o["first"].alias("first"), o["line"].alias("line"), o["text"].alias("text"),
-        F.greatest(o["right"] - o["x"], F.lit(0)).alias("width"), F.greatest(o["bottom"] - o["y"], F.lit(0)).alias("height"), F.try_divide(o["sure"], o["known"].cast("double")).alias("confidence"),
-    )
-    return F.when(o.isNull(), F.array().cast(_CLOSED)).otherwise(F.array(line))
+def _real(text: str) -> float | None:
+    """The number that a text begins with, after blanks; null if none."""
+    found = re.match(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", text.lstrip(_BLANKS))
+    return found and float(found[0])
+
+
+def _numbers(cells: pa.Array, plain: str, one: Callable[[str], float | None], kind: pa.DataType) -> pa.Array:
+    """``one`` of each cell; those that match ``plain`` are cast all at once."""
+    usual = pc.match_substring_regex(cells, plain)
+    out = pc.cast(pc.if_else(usual, cells, None), kind)
+    odd = pc.invert(usual)
+    return pc.replace_with_mask(out, odd, pa.array([one(c) for c in cells.filter(odd).to_pylist()], kind)) if pc.any(odd).as_py() else out
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a + b, as near as a long comes to it."""
+    s = a + b
+    return np.where(((a ^ s) & (b ^ s)) < 0, np.where(a < 0, -1 << 63, (1 << 63) - 1), s)
+
+
+def _folded(tsv: pa.Array) -> pa.Array:
+    """:func:`line_array` of a batch of tables: all their cells are split and parsed at once, words sorted by table, line and place, and folded."""
+    texts = pc.split_pattern(pc.replace_substring(tsv, "\r\n", "\n"), "\n")
+    owner, rows = pc.list_parent_indices(texts).to_numpy(), texts.flatten()
+    full = pc.greater(pc.binary_length(rows), 0)
+    owner, rows = owner[full.to_numpy(zero_copy_only=False)], rows.filter(full)
+    cells = pc.split_pattern(rows, "\t", max_splits=_TEXT + 1)
+    start, flat = cells.offsets.to_numpy()[:-1], cells.values
+    good = np.diff(cells.offsets.to_numpy()) > _TEXT
+    good[:1] = False  # the first row of each table is its head
+    good[1:] &= owner[1:] == owner[:-1]
+    owner, start = owner[good], start[good]
+    column = lambda k: flat.take(pa.array(start + k))
+    whole = lambda k: _numbers(column(k), r"^-?[0-9]{1,18}\z", _whole, pa.int64())
+    word = pc.fill_null(pc.equal(whole(_LEVEL), WORD), False).to_numpy(zero_copy_only=False)
+    owner, start = owner[word], start[word]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    text, number = pc.utf8_trim(column(_TEXT), _BLANKS), [whole(k) for k in (_LINE, _LEFT, _TOP)]
+    seen = pc.greater(pc.binary_length(text), 0)
+    for n in number:
+        seen = pc.and_(seen, n.is_valid())
+    at = np.flatnonzero(seen.to_numpy(zero_copy_only=False))
+    line, left, top = (n.take(pa.array(at)).to_numpy() for n in number)
+    order = np.lexsort((left, line, owner[at]))
+    at, line, left, top = at[order], line[order], left[order], top[order]
+    owner, start, place, text = owner[at], start[at], place[at], text.take(pa.array(at))
+    width, height = (pc.fill_null(whole(k), 0).to_numpy() for k in (_WIDTH, _HEIGHT))
+    sure = pc.fill_null(_numbers(column(_SURE), r"^-?[0-9]{1,15}(\.[0-9]{1,15})?\z", _real, pa.float64()), 0.0).to_numpy()
+    new = np.ones(len(at), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    of = lambda f, x: f.reduceat(x, first) if len(first) else x
+    x, y, earliest = (of(np.minimum, v) for v in (left, top, place))
+    wide, high = (np.maximum(_sum(of(np.maximum, _sum(a, b)), -np.maximum(c, 1 - (1 << 63))), 0) for a, b, c in ((left, width, x), (top, height, y)))
+    known = np.bincount(group, sure >= 0, len(first))
+    total = np.bincount(group, np.where(sure >= 0, sure, 0.0), len(first))
+    mean = pa.array(total / np.maximum(known, 1), pa.float64(), mask=known == 0)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), text), " ")
+    order = np.lexsort((earliest, x, y, owner[first]))
+    columns = [y, x, earliest.astype(np.int32), line[first], joined, wide, high, mean]
+    lines = pa.StructArray.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).take(pa.array(order)) for c in columns], _FIELDS)
+    ends = np.append(0, np.cumsum(np.bincount(owner[first], minlength=len(tsv))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines, mask=tsv.is_null())
 
 
 def line_array(tsv: Column) -> Column:
     """The lines of a word table, from top to bottom and then left to right; null for null.
 
     Words belong together by line number alone. They go from left to right; words at the same place keep the table's
-    order, and so do lines. The confidence is the mean of those that are not negative, null if there are none. The words
-    are sorted by line and place and folded once, with one line open at a time.
+    order, and so do lines. The confidence is the mean of those that are not negative, null if there are none. Many
+    tables are folded at once, a batch of them at a time.
     """
-    nothing = F.struct(F.array().cast(_CLOSED).alias("done"), F.lit(None).cast(_OPEN).alias("open"))
-
-    def step(state: Column, w: Column) -> Column:
-        same = state["open"]["line"] == w["line"]
-        done = F.when(same, state["done"]).otherwise(F.concat(state["done"], _closed(state["open"])))
-        return F.struct(done.alias("done"), F.when(same, _extended(state["open"], w)).otherwise(_opened(w)).alias("open"))
-
-    return F.aggregate(F.array_sort(word_array(tsv)), nothing, step, lambda s: F.array_sort(F.concat(s["done"], _closed(s["open"]))))
+    return F.arrow_udf(_folded, _CLOSED)(F.make_valid_utf8(tsv))
 
 
 def with_lines(tables: DataFrame, tsv_col: str = "tsv", out: str = "lines") -> DataFrame:
     """``tables`` with :func:`line_array` of each word table. A table is one row and is worked on where it is."""
-    return staged(tables, **{out: line_array(F.col(tsv_col))})
+    return staged(bounded(tables), **{out: line_array(F.col(tsv_col))})
 
 
 def lines(tables: DataFrame, id_col: str = "image_id", tsv_col: str = "tsv") -> DataFrame:
     """One row per line of an image: text, box, mean confidence, and the place of its first word in the table."""
-    rows = tables.select(id_col, F.inline_outer(line_array(F.col(tsv_col)))).where("line is not null")
+    rows = bounded(tables).select(id_col, F.inline_outer(line_array(F.col(tsv_col)))).where("line is not null")
     return rows.select(id_col, "line", "text", "x", "y", "width", "height", "confidence", "first")
 
 

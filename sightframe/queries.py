@@ -359,9 +359,11 @@ def _word_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda c: c.cast("string")
     cells = [F.lit("5"), F.lit("1"), (F.col("l_linenumber") % 2).cast("string"), F.lit("1"), s(F.col("l_linenumber")), F.lit("1"), s(F.col("l_partkey")), s(F.col("l_suppkey")), s(F.col("l_quantity").cast("long")), s(F.col("l_linenumber") + 5), sure, F.concat(F.lit(" "), F.col("l_returnflag"), s(F.col("l_partkey")), F.lit(" "))]
     row = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", F.concat_ws("\t", *cells).alias("text"))
-    rows = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["text"])
+    rows = F.sort_array(F.collect_list(row))["text"]
     noise = F.array(F.lit("level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"), F.lit("1\t1\t0\t0\t0\t0\t0\t0\t9\t9\t-1\t"), F.lit(""))
-    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.array_join(F.concat(noise, rows), "\r\n").alias("tsv"))
+    # Dealt by image as plain rows: lists made before that would be of one word each, and take longer to write than words.
+    words = _table(spark, sf_dir, "lineitem").repartition("l_orderkey")
+    return words.groupBy(F.col("l_orderkey").alias("image_id")).agg(F.array_join(F.concat(noise, rows), "\r\n").alias("tsv"))
 
 
 @_query("""WITH w AS (SELECT l_orderkey AS image_id, l_linenumber AS line, l_partkey AS l, l_suppkey AS t, (l_quantity::BIGINT) AS w, l_linenumber + 5 AS h, CASE WHEN l_suppkey % 4 = 0 THEN -1 ELSE l_partkey % 100 END AS sure, l_shipdate, l_extendedprice, l_returnflag || l_partkey AS text FROM lineitem),
