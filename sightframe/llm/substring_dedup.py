@@ -356,8 +356,8 @@ def _verify(min_words: int, least: float):  # noqa: ANN202
 
 
 def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc and tokens of the documents in ``wanted`` (doc_id)."""
-    return mapped(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_token_rows, "doc long, tokens binary")
+    """doc and tokens of the documents in ``wanted`` (doc_id), and of a few more: joins on doc leave those out, so no text is shuffled."""
+    return mapped(docs, wanted).select("doc_id", "text").mapInArrow(_token_rows, "doc long, tokens binary")
 
 
 def _known(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -367,8 +367,9 @@ def _known(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _verified(tokens: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """The passages of ``pairs`` (a, b, shifts), from the tokens of their documents."""
-    left = tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("tokens_a"))
-    right = tokens.select(F.col("doc").alias("b"), F.col("tokens").alias("tokens_b"))
+    by_doc = tokens.repartition("doc")  # both joins read what is dealt once
+    left = by_doc.select(F.col("doc").alias("a"), F.col("tokens").alias("tokens_a"))
+    right = by_doc.select(F.col("doc").alias("b"), F.col("tokens").alias("tokens_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "shifts", "tokens_a", "tokens_b").mapInArrow(_verify(min_words, similarity), SPANS)
 
 
@@ -426,7 +427,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
             # A row of a later round names more min-hashes than are asked for here.
             pairs = temporary(pairs.where(F.col("hits") >= (1 if number else MIN_HASHES)).select("a", "b", "shifts"))
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            tokens = temporary(_tokens(docs, wanted) if known is None else _known(known, wanted))
+            tokens = _tokens(docs, wanted) if known is None else _known(known, wanted)
             fresh = materialize(_verified(tokens, pairs, min_words, similarity))
             found = fresh if found is None else found.union(fresh)
             if number == ROUNDS:
