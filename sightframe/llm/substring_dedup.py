@@ -19,6 +19,7 @@ minima. Texts that share no more than a line part company soon; passages that ar
 seldom. The parts are paired like the rows of the first round. After
 round k 4 ** (k - 1) further functions have had their turn, so rows that are in one run after the last of the ROUNDS
 agree in 65 min-hashes, and they have been compared with its first row. No round compares more pairs than SHORT times its rows, however large a run is.
+Rows that are open even then are all compared with one another, run by run, which is quadratic in those rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .groups import KeyRuns, free_name, mapped
 from .store import materialize, scratch
-from .text import mix, shingle_stream, words
+from .text import mix, power_tables, shingle_stream, words
 
 N_WORDS, N_HASHES, MIN_HASHES = 5, 6, 3
 #: Rows at the beginning of a run that are all paired; rounds in which longer runs are divided.
@@ -236,18 +237,19 @@ def _dense(hit: np.ndarray, t: int) -> np.ndarray:
     return np.cumsum(inside[:-1]) > 0
 
 
-def _segments(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, t: int) -> np.ndarray:
-    """Stretches of equal tokens, as rows (y0, x0, tokens): all on the diagonals given, and those that tokens lead to."""
+def _segments(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of equal tokens, as rows (y0, x0, tokens): all on the diagonals given, and those that tokens lead to; and which tokens of y are in x."""
     order = np.argsort(x, kind="stable")
     ranked = x[order]
     low, high = np.searchsorted(ranked, y), np.searchsorted(ranked, y, "right")
     dense = _dense(high > low, t)
     if not dense.any():
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 3), np.int64), high > low
     once = np.flatnonzero((high - low == 1) & dense)
     hit = np.flatnonzero((high > low) & dense)
     more = np.unique(np.concatenate([diagonals, order[low[once]] - once]))
-    # A token with several places in x also counts where it goes on from the diagonal of its neighbours, so these are all.
+    # A token with several places in x also counts where it goes on from the diagonal of its neighbours. Text that repeats
+    # itself may have others; what it holds that is equal is found by _equal.
     rows = []
     for d in more.tolist():
         at = hit[max(0, np.searchsorted(hit, -d)) : np.searchsorted(hit, len(x) - d)]
@@ -257,7 +259,41 @@ def _segments(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, t: int) -> np
         cut = np.flatnonzero(np.diff(at) > 1)
         first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
         rows.append(np.stack([first, first + d, last - first + 1], 1))
-    return np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
+    return np.concatenate(rows) if rows else np.zeros((0, 3), np.int64), high > low
+
+
+def _in_a_row(x: np.ndarray, t: int) -> np.ndarray:
+    """The hash of the t tokens that begin at each token."""
+    up, down = power_tables(len(x) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(x) * up[: len(x)])])
+    return (total[t:] - total[:-t]) * down[: len(x) - t + 1]
+
+
+def _equal(x: np.ndarray, y: np.ndarray, hit: np.ndarray, taken: np.ndarray, t: int) -> Iterator[tuple[int, int, int]]:
+    """Stretches (y0, x0, tokens) of at least t equal tokens, until every t tokens in a row that x holds anywhere are ``taken``.
+
+    ``hit`` tells which tokens of y are in x.
+    """
+    total = np.concatenate([[0], np.cumsum(hit)])
+    inside, free = total[t:] - total[:-t] == t, np.concatenate([[0], np.cumsum(~taken)])
+    if not (inside & (free[t:] > free[:-t])).any():
+        return
+    of_x, of_y = _in_a_row(x, t), _in_a_row(y, t)
+    order = np.argsort(of_x, kind="stable")
+    place = order[np.minimum(np.searchsorted(of_x[order], of_y), len(of_x) - 1)]
+    at = np.flatnonzero(of_x[place] == of_y)
+    ends = np.zeros(len(y) + 1, np.int64)
+    ends[at] += 1
+    ends[at + t] -= 1
+    held, done = np.flatnonzero((np.cumsum(ends[:-1]) > 0) & ~taken), 0
+    while (i := int(np.searchsorted(held, done))) < len(held):
+        y0 = int(at[np.searchsorted(at, held[i], "right") - 1])
+        x0 = int(place[y0])
+        n = min(len(x) - x0, len(y) - y0)
+        other = np.flatnonzero(x[x0 : x0 + n] != y[y0 : y0 + n])
+        n = int(other[0]) if len(other) else n
+        yield y0, x0, n
+        done = y0 + n
 
 
 def _chains(seg: np.ndarray) -> Iterator[np.ndarray]:
@@ -292,13 +328,12 @@ def passages(x: np.ndarray, y: np.ndarray, shifts: np.ndarray, t: int, least: fl
     """Verified passages of y that are near duplicates of passages of x, as tokens [y0, y1], [x0, x1] and similarity.
 
     Stretches of equal tokens are chained, and the longest parts of a chain that are similar enough are the passages,
-    however long the gaps and shifts inside them. What no passage holds but is equal for t tokens is one by itself.
+    however long the gaps and shifts inside them. What no passage holds whole but is equal for t tokens is one by itself,
+    wherever x has it, so of text that repeats itself nothing is left over.
     """
     if len(x) < t or len(y) < t:
         return []
-    seg = _segments(x, y, np.unique(shifts), t)
-    if seg[:, 2].sum() < least * t:
-        return []
+    seg, hit = _segments(x, y, np.unique(shifts), t)
     out, taken = [], np.zeros(len(y), bool)
 
     def take(y0: int, y1: int, x0: int, x1: int) -> bool:
@@ -313,7 +348,7 @@ def passages(x: np.ndarray, y: np.ndarray, shifts: np.ndarray, t: int, least: fl
         out.append((y0, y1, x0, x1, similarity))
         return True
 
-    for chain in _chains(seg):
+    for chain in _chains(seg) if seg[:, 2].sum() >= least * t else ():
         y0, x0, n = chain.T
         y1, x1 = y0 + n - 1, x0 + n - 1
         # Tokens that are equal up to each segment, without what two segments share.
@@ -333,7 +368,7 @@ def passages(x: np.ndarray, y: np.ndarray, shifts: np.ndarray, t: int, least: fl
         if n < t:
             break
         take(y0, y0 + n - 1, x0, x0 + n - 1)
-    return out
+    return out + [(y0, y0 + n - 1, x0, x0 + n - 1, 1.0) for y0, x0, n in _equal(x, y, hit, taken, t)]
 
 
 def _verify(min_words: int, least: float):  # noqa: ANN202
@@ -387,6 +422,14 @@ def _open(rows: DataFrame, found: DataFrame, temporary: Callable[[DataFrame], Da
     return rows.join(several, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("key", "place")).alias("rows"))
 
 
+def _all_pairs(again: DataFrame) -> DataFrame:
+    """a, b and shifts of all pairs of documents with open rows in one run."""
+    rows = again.select("doc_id", F.inline("rows"))
+    a = rows.select("key", F.col("doc_id").alias("a"), F.shiftright("place", 32).alias("at_a"))
+    b = rows.select("key", F.col("doc_id").alias("b"), F.shiftright("place", 32).alias("at_b"))
+    return a.join(b, "key").where("a < b").groupBy("a", "b").agg(F.collect_set(F.col("at_a") - F.col("at_b")).alias("shifts"))
+
+
 def _copies(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, mark of the text, keep_doc_id and n_words of the documents whose text an earlier one has, byte by byte."""
     marks = docs.where("text is not null").select("doc_id", F.unhex(F.md5("text")).alias("mark"))
@@ -430,12 +473,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
             tokens = _tokens(docs, wanted) if known is None else _known(known, wanted)
             fresh = materialize(_verified(tokens, pairs, min_words, similarity))
             found = fresh if found is None else found.union(fresh)
-            if number == ROUNDS:
-                break
             again = materialize(_open(hits.where("place >= 0"), found, temporary))
         if again.isEmpty():
             break
         ids = again.select("doc_id")
+        if number == ROUNDS:
+            tokens = _tokens(docs, ids) if known is None else _known(known, ids)
+            found = found.union(materialize(_verified(tokens, _all_pairs(again), min_words, similarity)))
+            break
         if number == 1:  # few documents are left open, and those of later rounds are among them
             known = materialize(_tokens(docs, ids))
         tokens = _tokens(docs, ids) if known is None else _known(known, ids)

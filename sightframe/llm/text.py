@@ -39,7 +39,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse, n of each and more."""
     if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, CHUNK_BYTES + 1)
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
@@ -108,7 +109,7 @@ def _chunk(text: np.ndarray, bounds: np.ndarray, first: int, separates: np.ndarr
     before[bounds[:-1][full]] = True
     after[bounds[1:][full] - 1] = True
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    up, down = _power_tables(n + 1)
+    up, down = power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_LETTER[text] * up[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts])
@@ -133,7 +134,7 @@ def shingle_stream(hashes: np.ndarray, n: int) -> np.ndarray:
 def sequence_hash(hashes: np.ndarray) -> int:
     """One hash for a whole sequence of words."""
     n = len(hashes)
-    up, _ = _power_tables(n + 1)
+    up, _ = power_tables(n + 1)
     return int(mix(np.array([(hashes * up[:n]).sum(dtype=np.uint64)], np.uint64), n)[0])
 
 
