@@ -3,8 +3,8 @@
 Per host the paths form a tree. Segments that vary (they hold digits, are long, or are rare among many siblings) become
 the wildcard ``*``; deeper segments than DEPTH become one ``**``. Branches of the same parent that cannot be told apart
 are merged: by the Hoeffding bound, neither the shares of what lies right below them nor their shares of blocked URLs
-differ, and each of them has enough URLs for the bound to be able to tell (8). A branch without labels is compared by what lies
-below it alone, so it may come to a template with labels. The branch with most labels, then most URLs, leads; every
+differ, and together they have enough URLs for the bound to be able to tell; a branch that follows another has enough of
+its own (8). A branch without labels is compared by what lies below it alone, so it may come to a template with labels. The branch with most labels, then most URLs, leads; every
 other one goes to the first leader that it is like. A template is rejected when the share of blocked URLs among its
 labelled ones, with one more of either kind, reaches REJECT. Labels are the verdicts of the rules.
 
@@ -75,13 +75,13 @@ def _bound(n: Column, m: Column) -> Column:
 
 
 def _like(one: Column, two: Column) -> Column:
-    """Whether two branches (labelled, n, blocked, below) can't be told apart, though they have URLs enough for that."""
+    """Whether branch two, which would follow one (labelled, n, blocked, below), can't be told apart from it, though they have URLs enough for that."""
     share = lambda k, c: F.aggregate(k["below"], F.lit(0.0), lambda sum_, e: sum_ + F.when(e["c"] == c, e["share"]).otherwise(F.lit(0.0)))
     kinds = F.array_distinct(F.concat(F.transform(one["below"], lambda e: e["c"]), F.transform(two["below"], lambda e: e["c"])))
     differ = F.coalesce(F.array_max(F.transform(kinds, lambda c: F.abs(share(one, c) - share(two, c)))), F.lit(0.0))
     blocked = F.abs(F.try_divide(one["blocked"], one["labelled"]) - F.try_divide(two["blocked"], two["labelled"]))
-    fewer = F.least(one["n"], two["n"])
-    return (_bound(fewer, fewer) < 1) & (differ < _bound(one["n"], two["n"])) & ~F.coalesce(blocked >= _bound(one["labelled"], two["labelled"]), F.lit(False))
+    bound = _bound(one["n"], two["n"])
+    return (_bound(two["n"], two["n"]) < 1) & (bound < 1) & (differ < bound) & ~F.coalesce(blocked >= _bound(one["labelled"], two["labelled"]), F.lit(False))
 
 
 def _level(tree: DataFrame, d: int) -> DataFrame:
@@ -156,7 +156,7 @@ def _oracle() -> str:
         names = ["host", *(f"t{i}" for i in range(d))]
         up = ", ".join(names)
         of = lambda x: ", ".join(f"{x}.{n}" for n in names)
-        alike = f"coalesce(abs(a.blocked / nullif(a.labelled, 0) - b.blocked / nullif(b.labelled, 0)) < {bound('nullif(a.labelled, 0)', 'nullif(b.labelled, 0)')}, true) AND {bound('least(a.n, b.n)', 'least(a.n, b.n)')} < 1"
+        alike = f"coalesce(abs(a.blocked / nullif(a.labelled, 0) - b.blocked / nullif(b.labelled, 0)) < {bound('nullif(a.labelled, 0)', 'nullif(b.labelled, 0)')}, true) AND {bound('b.n', 'b.n')} < 1 AND {bound('a.n', 'b.n')} < 1"
         first = "(a.labelled > b.labelled OR a.labelled = b.labelled AND (a.n > b.n OR a.n = b.n AND a.g < b.g))"
         sql += [
             f"groups{d} AS (SELECT {up}, f{d} AS g, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM tree{d} GROUP BY ALL)",
